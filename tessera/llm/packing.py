@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, texts_of
+from tessera.llm.common import cut, table
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 #: Tokens of a window, and windows that a partition keeps open.
@@ -120,11 +120,9 @@ def _pack(path: str, length: int, open_windows: int, end_id: int, keep_ids: bool
         part = TaskContext.get().partitionId()
         ids_of, windows, out = tokenizer(path, "<u4"), Windows(length, open_windows), Out(part << 32, keep_ids)
         for b in it:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
-                for doc, ids in zip(rows.column(0).to_pylist(), ids_of.batch(texts_of(rows.column(1))), strict=True):
-                    for w in windows.add((doc, 0, ids + end, len(ids) // 4 + 1)):
-                        out.window(w)
+            for doc, ids in zip(b.column(0).to_pylist(), ids_of.batch(b.column(1)), strict=True):
+                for w in windows.add((doc, 0, ids + end, len(ids) // 4 + 1)):
+                    out.window(w)
                 yield from out.ready()
         for w in windows.rest():
             out.window(w, part)

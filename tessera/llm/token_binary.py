@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table, texts_of
+from tessera.llm.common import table
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 #: Ids of a row; ids of a block, which bounds a task's memory.
@@ -102,14 +102,12 @@ def _pack(path: str, length: int, end_id: int, dtype: str, block: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 512], strict=True), ARROW.types, strict=True)], schema=ARROW)
 
         for b in it:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                for doc, raw in zip(part.column(0).to_pylist(), encode.batch(texts_of(part.column(1))), strict=True):
-                    ids = np.append(np.frombuffer(raw, dtype), np.array(end_id, dtype))
-                    pieces += [(doc, s, ids[s : s + length]) for s in range(0, len(ids), length)]
-                    held += len(ids)
-                    if held >= block:
-                        yield from flush()
+            for doc, raw in zip(b.column(0).to_pylist(), encode.batch(b.column(1)), strict=True):
+                ids = np.append(np.frombuffer(raw, dtype), np.array(end_id, dtype))
+                pieces += [(doc, s, ids[s : s + length]) for s in range(0, len(ids), length)]
+                held += len(ids)
+                if held >= block:
+                    yield from flush()
         if pieces:
             yield from flush()
 
