@@ -10,7 +10,7 @@ shingles plus k ln k darts.
 Bands of the signature give buckets. Texts with equal words are one node. Of each bucket, every node is linked to the first one only
 and the similarity of that pair verified exactly. What that leaves in doubt, nodes of one bucket in different
 groups, goes to an exact prefix-filtered join: each such node looks up its rarest shingles, as many as a partner of similarity
-THRESHOLD must share one of; pairs in different groups within the length bounds are verified too. So no pair
+THRESHOLD must share one of; pairs in different groups within the bounds of length and place are verified too. So no pair
 that shares a bucket is lost, and no bucket is expanded into all its pairs. Groups are connected components.
 
 Defined results: a null text is empty; texts without words are one class if they are equal; documents with
@@ -282,12 +282,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # the size - ceil(t * size) + 1 rarest items of a node; a partner shares one of them
     prefix = ranked.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
     length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    prefix = prefix.select("node", "size", F.explode(F.slice("items", F.lit(1), length)).alias("i")).select("node", "size", "i.item", "i.n").filter("n > 1").drop("n").join(unsure, "node")
+    prefix = prefix.select("node", "size", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "i")).select("node", "size", "at", "i.item", "i.n").filter("n > 1").drop("n").join(unsure, "node")
     prefix = cut(prefix, "prefixes")
     mixed = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("item")
     prefix = cut(salted_join(prefix, mixed, ["item"], ["node"], "left_semi"), "mixed-prefixes")
-    a, b = prefix.withColumnsRenamed({"node": "a", "root": "ra", "size": "sa"}), prefix.withColumnsRenamed({"node": "b", "root": "rb", "size": "sb"})
+    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}"}) for x in "ab")
+    # by length; and by place: from a pair's first common item on, enough items must be left in both
     near = (F.col("ra") < F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
+    near &= F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9
     more = cut(a.join(b, "item").filter(near).select("a", "b").distinct(), "prefix-pairs")
     found = cut(verify(more, sets, threshold), "prefix-links")
     roots = components(links.unionByName(found), "all") if not found.isEmpty() else groups
