@@ -232,3 +232,13 @@ named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
   coalesce(m.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)"""
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the contaminated rows; all columns are kept."""
+    from tessera.llm.common import join_counted
+
+    key = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no")
+    bad = cut(contamination(docs, benchmark).filter("contaminated").select(*key, F.col("row_no").alias("_hash")).distinct(), "contaminated")
+    keyed = docs.withColumns({"_id": key[0], "_no": key[1], "_hash": F.xxhash64("text")})
+    return join_counted(keyed, bad, ["_id", "_no", "_hash"], "left_anti").select(*docs.columns)

@@ -282,14 +282,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # the size - ceil(t * size) + 1 rarest items of a node; a partner shares one of them
     prefix = ranked.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
     length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    prefix = prefix.select("node", "size", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "i")).select("node", "size", "at", "i.item", "i.n").filter("n > 1").drop("n").join(unsure, "node")
+    prefix = prefix.select("node", "size", F.explode(F.transform(F.slice("items", F.lit(1), length), lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"), x["n"].alias("n"), F.when(i > 0, F.get(F.col("items"), i - 1)["item"]).alias("prev")))).alias("i")).select("node", "size", "i.*").filter("n > 1").drop("n").join(unsure, "node")
     prefix = cut(prefix, "prefixes")
     mixed = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("item")
     prefix = cut(salted_join(prefix, mixed, ["item"], ["node"], "left_semi"), "mixed-prefixes")
-    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}"}) for x in "ab")
+    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}", "prev": f"q{x}"}) for x in "ab")
     # by length; and by place: from a pair's first common item on, enough items must be left in both
     near = (F.col("ra") < F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
     near &= F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9
+    # a pair's first common item can't follow the same item in both, so of a run of common items only the first is joined
+    near &= F.col("qa").isNull() | F.col("qb").isNull() | (F.col("qa") != F.col("qb"))
     more = cut(a.join(b, "item").filter(near).select("a", "b").distinct(), "prefix-pairs")
     found = cut(verify(more, sets, threshold), "prefix-links")
     roots = components(links.unionByName(found), "all") if not found.isEmpty() else groups

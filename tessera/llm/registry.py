@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontamination import OP8_SQL, op8_decontamination
+from tessera.llm.html_text import op4_html_text
 from tessera.llm.line_dedup import op10_line_dedup
 from tessera.llm.minhash import op1_minhash
 from tessera.llm.packing import op5_packing
@@ -10,6 +11,7 @@ from tessera.llm.secrets import op2_secrets
 from tessera.llm.token_binary import op3_token_binary
 from tessera.llm.toxicity import op9_toxicity
 from tessera.llm.vector_file import OP6_SQL, op6_vector_file
+from tessera.llm.warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_secrets, op3_token_binary, op5_packing, op6_vector_file, op8_decontamination, op9_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_secrets, op3_token_binary, op4_html_text, op5_packing, op6_vector_file, op7_warc, op8_decontamination, op9_toxicity, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op6_vector_file": OP6_SQL, "op8_decontamination": OP8_SQL}

@@ -176,3 +176,8 @@ def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, model(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those predicted toxic; all columns are kept."""
+    return score(docs, model(docs, labels)).filter("predicted = 0").select(*docs.columns)
