@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of one generation of a worker's cache of chunks, and of that of words; two generations are kept.
-CHUNKS, WORDS = 50_000, 400_000
+CHUNKS, WORDS = 40_000, 250_000
 #: Longer chunks are encoded each time.
 LONG = 64
 #: Bytes of text looked at at once.
-PART = 12_000_000
+PART = 8_000_000
 #: Only in chunks of these characters are words found here; the tokenizer itself sees to all others.
 #: A plain chunk is one word of letters and at most one sign.
 SIMPLE = re.compile(r"[\x21-įı-ɏ]+")

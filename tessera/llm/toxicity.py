@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,28 +64,41 @@ def document(text: str) -> Counter:
 
 def train(positive: list[str], unlabelled: list[str], prior: float) -> dict[str, float]:
     """Weights by feature; "" holds the bias."""
-    docs = [document(t) for t in positive + unlabelled]
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u:
         return {"": -30.0}
-    p, u = Counter(f for d in docs[:n_p] for f in d), Counter(f for d in docs[n_p:] for f in d)
+    # texts are read anew in each pass, so that memory holds counts and numbers, but no text's features
+    p: Counter = Counter()
+    for t in positive:
+        p.update(document(t).keys())
+    p = {f: n for f, n in p.items() if n >= 3}
+    u = dict.fromkeys(p, 0)
+    for t in unlabelled:
+        for f in document(t):
+            if f in u:
+                u[f] += 1
     # telling features: more frequent in P than in U by so many standard errors; the most telling come first
-    gain = {f: (n / n_p - u[f] / n_u) / math.sqrt((n + u[f]) / (n_p + n_u) * (1 / n_p + 1 / n_u)) for f, n in p.items() if n >= 3}
+    gain = {f: (n / n_p - u[f] / n_u) / math.sqrt((n + u[f]) / (n_p + n_u) * (1 / n_p + 1 / n_u)) for f, n in p.items()}
     chosen = sorted((f for f, x in gain.items() if x >= TELLING), key=lambda f: (-gain[f], f))[:FEATURES]
     number = {f: i for i, f in enumerate(chosen)}
-    rows, cols, vals = [], [], []
-    for r, d in enumerate(docs):
-        got = [(number[f], n) for f, n in d.items() if f in number]
-        rows += [r] * len(got)
-        cols += [c for c, _ in got]
-        vals += [n / length(d_words(d)) for _, n in got]
-    rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
+    del p, u, gain
+    rows, cols, vals = array("q"), array("q"), array("d")
+    for r, t in enumerate(chain(positive, unlabelled)):
+        d = document(t)
+        size = length(d_words(d))
+        for f, n in d.items():
+            if f in number:
+                rows.append(r)
+                cols.append(number[f])
+                vals.append(n / size)
+    n_docs = n_p + n_u
+    rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, np.float64)
     w, b = np.zeros(len(chosen)), math.log(prior / (1 - prior))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    is_p = np.arange(len(docs)) < n_p
+    is_p = np.arange(n_docs) < n_p
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, vals * w[cols], len(docs)) + b
+        z = np.bincount(rows, vals * w[cols], n_docs) + b
         s = sigmoid(z)
         softplus = np.logaddexp(0, z)  # the loss of label 0; that of label 1 is softplus - z
         rest = softplus[~is_p].mean() - prior * softplus[is_p].mean()
