@@ -4,6 +4,9 @@ joins that survive a hot key, and joins that broadcast only a side whose size wa
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -70,5 +73,14 @@ def batches(fn):
     return run
 
 
-def input_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def trimmed(run):
+    """run, giving memory back at its end: workers live on, and what they hold counts against the executor."""
+
+    def outer(it):
+        yield from run(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer

@@ -95,12 +95,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         if tag in RAW and not attrs.endswith("/"):
             # the element's content is passed over as far as its end tag
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, m.end())
-            if tag in ("head", "svg", "math", "select", "button", "object", "noscript", "audio", "video", "canvas", "iframe", "template") or tag in ("script", "style", "textarea", "title"):
-                if tag == "head" and not end:
-                    continue
+            if end or tag not in ("head", "button", "select", "object"):
                 skip, ends = tag, end.end() if end else len(page)
-                if tag not in ("button", "select"):
-                    flush()
             continue
         if tag in VOID:
             if tag == "hr":

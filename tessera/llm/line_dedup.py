@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_counted, salted_join, table, texts_of
+from tessera.llm.common import cut, join_counted, salted_join, table, texts_of, trimmed
 
 #: Shorter lines aren't looked at: a word is too much of them.
 MIN_WORDS = 8
@@ -139,7 +139,7 @@ def _verify(it):
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, numbers: lines to remove, a row for each document that has any."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    lines = cut(keyed.mapInArrow(_lines(min_words), LINES), "lines")
+    lines = cut(keyed.mapInArrow(trimmed(_lines(min_words)), LINES), "lines")
     once = lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = cut(once, "distinct-lines")
     # lines that share a half with another distinct line

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_counted, salted_join, table, texts_of
+from tessera.llm.common import cut, join_counted, salted_join, table, texts_of, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
@@ -259,7 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     """doc_id, node (hash of the words), class_id of every document."""
     from tessera.llm.line_dedup import _batched
 
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(bands, rows), "doc_id long, node binary, size long, bands array<long>"), "signatures")
+    signed = cut(docs.select("doc_id", "text").mapInArrow(trimmed(_signatures(bands, rows)), "doc_id long, node binary, size long, bands array<long>"), "signatures")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     centres = places.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, table, trimmed
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 #: Tokens of a window, and windows that a partition keeps open.
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     path = tokenizer_path or default_tokenizer()
-    first = cut(docs.select("doc_id", "text").mapInArrow(_pack(path, length, open_windows, end_id, keep_ids), SCHEMA), "packed")
+    first = cut(docs.select("doc_id", "text").mapInArrow(trimmed(_pack(path, length, open_windows, end_id, keep_ids)), SCHEMA), "packed")
     left = first.filter("left_over is not null")
     groups = left.select((F.col("left_over") / F.lit(group)).cast("long").alias("g")).distinct().count()
     merged = left.withColumn("g", F.expr(f"left_over div {group}")).repartition(max(1, groups), "g").sortWithinPartitions("g", "left_over", "sequence_id", "offset").drop("g").mapInArrow(_merge(length, open_windows, group, keep_ids), SCHEMA)

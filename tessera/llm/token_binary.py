@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import table, trimmed
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 #: Ids of a row; ids of a block, which bounds a task's memory.
@@ -116,7 +116,7 @@ def _pack(path: str, length: int, end_id: int, dtype: str, block: int):
 
 def pack_rows(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH, end_id: int = END_ID, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """Packs all documents; dtype is "<u2" for vocabularies of at most 65,536 ids, else "<u4"."""
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path or default_tokenizer(), length, end_id, dtype, block), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_pack(tokenizer_path or default_tokenizer(), length, end_id, dtype, block)), SCHEMA)
 
 
 def write_shards(rows: DataFrame, path: str, rows_a_shard: int = 1024, dtype: str = "<u2") -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of one generation of a worker's cache of chunks, and of that of words; two generations are kept.
-CHUNKS, WORDS = 40_000, 250_000
+CHUNKS, WORDS = 30_000, 120_000
 #: Longer chunks are encoded each time.
 LONG = 64
 #: Bytes of text looked at at once.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, texts_of
+from tessera.llm.common import table, texts_of, trimmed
 
 FOLDS = 5
 #: Bounds of the training sample, in rows, and of the features.
@@ -166,7 +166,7 @@ def model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         w = train([t for _, t in sorted(found[1])], [t for _, t in sorted(found[0])], prior)
         yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array(list(w.values()))], names=["feature", "weight"])
 
-    return {r[0]: r[1] for r in p.unionByName(u).repartition(1).mapInArrow(fit, "feature string, weight double").collect()} or {"": -30.0}
+    return {r[0]: r[1] for r in p.unionByName(u).repartition(1).mapInArrow(trimmed(fit), "feature string, weight double").collect()} or {"": -30.0}
 
 
 def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -185,7 +185,7 @@ def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     from pyspark.sql import types as T
 
     fields = [docs.schema[c] for c in names] + [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

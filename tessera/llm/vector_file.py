@@ -102,7 +102,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             if kth > left:
                 break
             m = min(n, 4 * m)
-        best = np.lexsort((cid[seen], -score))[:k]
+        best = np.lexsort((cid[seen], ~score))[:k]
         yield seen[best], score[best]
 
 
