@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, table, trimmed
 
 WINDOW, SHINGLE = 13, 3
 #: Item words of one block: what is broadcast at once is at most some 40 MB.
@@ -181,14 +181,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
         counts = {g: np.zeros(len(s), np.int64) for g, s in index.shingles.items()}
         shared = spark.sparkContext.broadcast(index)
         # at most one row a shingle of the block comes to the driver
-        for g, no, n in docs.select("text").mapInArrow(_count(shared), "g int, no long, n long").groupBy("g", "no").agg(F.sum("n")).collect():
+        for g, no, n in docs.select("text").mapInArrow(trimmed(_count(shared)), "g int, no long, n long").groupBy("g", "no").agg(F.sum("n")).collect():
             counts[g][no] = n
         index.choose(counts)
-        found.append(texts_.mapInArrow(_find(spark.sparkContext.broadcast(index)), SCHEMA))
+        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index))), SCHEMA))
     if not found:
         index = Index([])
         index.choose({g: np.zeros(0, np.int64) for g in index.shingles})
-        found.append(texts_.mapInArrow(_find(spark.sparkContext.broadcast(index)), SCHEMA))
+        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index))), SCHEMA))
     one = found[0]
     if len(found) > 1:  # rows with the same id and text have the same hits, so they may be joined as one and counted
         every = cut(found[0].unionByName(found[1]) if len(found) == 2 else _union(found), "hits")

@@ -147,7 +147,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     near = salted_join(half, shared, ["half"], ["line"], "left_semi").select("line").distinct()
     chosen = cut(near.join(distinct, "line").select("line", "first.*").drop("no_id"), "chosen-lines")
-    variants = cut(_holders(keyed, chosen).mapInArrow(_batched(_variants), VARIANTS), "variants")
+    variants = cut(_holders(keyed, chosen).mapInArrow(trimmed(_batched(_variants)), VARIANTS), "variants")
     first = chosen.select("line", place().alias("place"))
     # replacements: equal but for the word at one place; omissions: a whole line that equals another's variant
     crowded = variants.filter("at >= 0").groupBy("k1", "k2", "at").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -189,7 +189,7 @@ def _texts(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
                 split = (text or "").split("\n")
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array([" ".join(words_of(split[n])) for n in numbers])], names=["line", "words"])
 
-    return _holders(keyed, chosen).mapInArrow(_batched(run, 5000), "line binary, words string").dropDuplicates(["line"])
+    return _holders(keyed, chosen).mapInArrow(trimmed(_batched(run, 5000)), "line binary, words string").dropDuplicates(["line"])
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -32,7 +32,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
 BANDS, ROWS = 30, 5
 #: Documents' shingles worked on at once.
-PART = 150_000
+PART = 60_000
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,7 +218,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["node", "items"])
 
     asked = nodes.filter("doc_id is not null")
-    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("node", "text").mapInArrow(run, "node binary, items binary")
+    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("node", "text").mapInArrow(trimmed(run), "node binary, items binary")
     if asked.count() < nodes.count():  # nodes of null ids are found by their hash
         lost = nodes.filter("doc_id is null").select("node")
         hashed = docs.filter("doc_id is null").select("text").mapInArrow(_nodes, "node binary, text string")
@@ -245,7 +245,7 @@ def _verified(threshold: float):
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose similarity is at least the threshold; exact."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    return joined.select("a", "b", "ia", "ib").mapInArrow(_verified(threshold), "a binary, b binary")
+    return joined.select("a", "b", "ia", "ib").mapInArrow(trimmed(_verified(threshold)), "a binary, b binary")
 
 
 def _items(it):
@@ -275,7 +275,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     grouped = cut(grouped, "grouped")
     doubt = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
     unsure = cut(salted_join(grouped, doubt, ["bucket"], ["node"], "left_semi").select("node", "root").distinct(), "unsure")
-    items = cut(sets.join(unsure.select("node"), "node", "left_semi").mapInArrow(_batched(_items), "node binary, item long, size long"), "items")
+    items = cut(sets.join(unsure.select("node"), "node", "left_semi").mapInArrow(trimmed(_batched(_items)), "node binary, item long, size long"), "items")
     often = items.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
     # an item of one node only joins nothing, but counts among the rarest
     ranked = salted_join(items, often, ["item"], ["node"], "left").withColumn("n", F.coalesce("n", F.lit(1)))

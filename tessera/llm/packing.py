@@ -127,6 +127,7 @@ def _pack(path: str, length: int, open_windows: int, end_id: int, keep_ids: bool
         for w in windows.rest():
             out.window(w, part)
         yield from out.ready(True)
+        ids_of.forget()
 
     return run
 

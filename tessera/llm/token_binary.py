@@ -110,6 +110,7 @@ def _pack(path: str, length: int, end_id: int, dtype: str, block: int):
                     yield from flush()
         if pieces:
             yield from flush()
+        encode.forget()
 
     return run
 

@@ -78,6 +78,10 @@ class ChunkTokenizer:
         # an isolated digit or sign outside \w and \d as this vocabulary counts them must not be taken for another class
         self.odd = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x21, 0x250)) if unicodedata.category(c)[0] not in "LN" and re.match(r"\w", c) and c != "_" or unicodedata.category(c) in ("No", "Nl") or c.isspace() or (unicodedata.category(c)[0] == "L") != bool(re.match(r"[^\W\d_]", c)))) + "]")
 
+    def forget(self) -> None:
+        """Empties the caches, at the end of a task."""
+        self.chunks, self.words = Cache(CHUNKS), Cache(WORDS)
+
     def _raw(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
