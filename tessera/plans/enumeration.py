@@ -44,7 +44,7 @@ dual AS (SELECT o.dmu_id, (f.v1 * o.x1 + f.v2 * o.x2 + f.t) / o.y AS phi, f.t /
 
 SCORE = f"""WITH {UNITS}, {FACETS},
 best AS (SELECT dmu_id, greatest(1.0, min(phi)) AS phi FROM dual GROUP BY dmu_id)
-SELECT b.dmu_id, round(b.phi, 6) AS phi, round(1 / b.phi, 6) AS eff, round(b.phi * r.y, 1) AS y_target, 1 / b.phi >= 1 - 1e-9 AS efficient
+SELECT b.dmu_id, round(b.phi, 6) AS phi, round(1 / b.phi, 6) AS eff, round(b.phi * r.y, 4) AS y_target, 1 / b.phi >= 1 - 1e-9 AS efficient
 FROM best b JOIN raw r ON b.dmu_id = r.dmu_id"""
 
 #: Ways to reach a unit's inputs by mixing up to three units, with the output of each.

@@ -24,7 +24,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dea_bcc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frontier.dea_bcc(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
-    return out.select("dmu_id", F.round("phi", 6).alias("phi"), F.round("eff", 6).alias("eff"), F.round("target_y", 1).alias("y_target"), "efficient")
+    return out.select("dmu_id", F.round("phi", 6).alias("phi"), F.round("eff", 6).alias("eff"), F.round("target_y", 4).alias("y_target"), "efficient")
 
 
 def _enumerated(sql: str):
