@@ -62,6 +62,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(it, rows: int = 512):
+    """The record batches of it, cut to so many rows: what Python holds as objects at once is a slice."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def batches(fn):
     """A mapInArrow function out of fn(RecordBatch) -> RecordBatch or None."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, trimmed
+from tessera.llm.common import batches, cut, slices, table, trimmed
 
 WINDOW, SHINGLE = 13, 3
 #: Item words of one block: what is broadcast at once is at most some 40 MB.
@@ -33,6 +33,7 @@ BLOCK_WORDS = 500_000
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 SCHEMA = "doc_id long, n_words long, hits array<int>, items array<long>, row_no long"
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, row_no long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -121,7 +122,7 @@ def _count(index):
     def run(it):
         x, total = index.value, None
         total = {g: np.zeros(len(s), np.int64) for g, s in x.shingles.items()}
-        for b in it:
+        for b in slices(it):
             for text in texts(b.column(0)):
                 ids = x.ids(words(text))
                 for g, s in total.items():
@@ -135,17 +136,20 @@ def _count(index):
     return run
 
 
-def _find(index):
+def _find(index, last: bool):
+    """Hits of each text; with `last` their digest at once, so that a task needs one worker only."""
+
     def run(it):
         x = index.value
-        for b in it:
+        for b in slices(it):
             out = []
             for text in texts(b.column(1)):
                 ws = words(text)
                 hit, items = x.hits(x.ids(ws))
                 out.append((len(ws), [] if hit is None else np.flatnonzero(hit).tolist(), sorted(items)))
             n, hits, items = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n_words", "hits", "items", "row_no"])
+            found = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n_words", "hits", "items", "row_no"])
+            yield _digest(found) if last else found
 
     return run
 
@@ -154,11 +158,11 @@ def _digest(part: pa.RecordBatch) -> pa.RecordBatch:
     rows = part.to_pydict()
     hashes = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in rows["items"]]
     hit = [len(x) for x in rows["hits"]]
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in rows["items"]], pa.int64()), pa.array(hashes), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, rows["n_words"], strict=True)])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in rows["items"]], pa.int64()), pa.array(hashes), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, rows["n_words"], strict=True)]), part.column("row_no")], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "row_no"])
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
-    """Blocks of items; the driver holds one at a time."""
+    """Blocks of items; the driver holds two at most."""
     block, n = [], 0
     for r in benchmark.select("item_id", "text").filter("item_id is not null").toLocalIterator():
         ws = words((r[1] or "").encode())
@@ -175,34 +179,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row_no (xxhash64 of the text)."""
     spark = docs.sparkSession
     texts_ = docs.select("doc_id", "text", F.xxhash64("text").alias("row_no"))
-    found = []
-    for block in _blocks(benchmark, block_words) or ():
+    found, blocks = [], _blocks(benchmark, block_words)
+    block, more = next(blocks, []), next(blocks, None)
+    single = more is None
+    while block is not None:
         index = Index(block)
         counts = {g: np.zeros(len(s), np.int64) for g, s in index.shingles.items()}
-        shared = spark.sparkContext.broadcast(index)
-        # at most one row a shingle of the block comes to the driver
-        for g, no, n in docs.select("text").mapInArrow(trimmed(_count(shared)), "g int, no long, n long").groupBy("g", "no").agg(F.sum("n")).collect():
-            counts[g][no] = n
+        if block:
+            shared = spark.sparkContext.broadcast(index)
+            # at most one row a shingle of the block comes to the driver
+            for g, no, n in docs.select("text").mapInArrow(trimmed(_count(shared)), "g int, no long, n long").groupBy("g", "no").agg(F.sum("n")).collect():
+                counts[g][no] = n
         index.choose(counts)
-        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index))), SCHEMA))
-    if not found:
-        index = Index([])
-        index.choose({g: np.zeros(0, np.int64) for g in index.shingles})
-        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index))), SCHEMA))
-    one = found[0]
-    if len(found) > 1:  # rows with the same id and text have the same hits, so they may be joined as one and counted
-        every = cut(found[0].unionByName(found[1]) if len(found) == 2 else _union(found), "hits")
-        one = every.groupBy("doc_id", "row_no", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
-        one = one.select("doc_id", "n_words", "hits", "items", "row_no", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, row_no long"
-
-    def digest(it):
-        for b in it:
-            if b.num_rows:
-                d = _digest(b)
-                yield pa.RecordBatch.from_arrays([*d.columns, b.column("row_no")], names=[*d.schema.names, "row_no"])
-
-    return one.mapInArrow(digest, schema)
+        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index), single)), DIGEST if single else SCHEMA))
+        block, more = more, next(blocks, None)
+    if single:
+        return found[0]
+    # rows with the same id and text have the same hits, so they may be joined as one and counted
+    every = cut(_union(found), "hits")
+    one = every.groupBy("doc_id", "row_no", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
+    one = one.select("doc_id", "n_words", "hits", "items", "row_no", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
+    return one.mapInArrow(batches(_digest), DIGEST)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

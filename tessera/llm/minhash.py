@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_counted, salted_join, table, texts_of, trimmed
+from tessera.llm.common import cut, join_counted, salted_join, slices, table, texts_of, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
@@ -234,7 +234,7 @@ def _nodes(it):
 
 def _verified(threshold: float):
     def run(it):
-        for b in it:
+        for b in slices(it):
             r = b.to_pydict()
             ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(r["ia"], r["ib"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))

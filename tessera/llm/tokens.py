@@ -22,7 +22,7 @@ CHUNKS, WORDS = 30_000, 120_000
 #: Longer chunks are encoded each time.
 LONG = 64
 #: Bytes of text looked at at once.
-PART = 8_000_000
+PART = 4_000_000
 #: Only in chunks of these characters are words found here; the tokenizer itself sees to all others.
 #: A plain chunk is one word of letters and at most one sign.
 SIMPLE = re.compile(r"[\x21-įı-ɏ]+")
