@@ -10,7 +10,7 @@ shingles plus k ln k darts.
 Bands of the signature give buckets. Texts with equal words are one node. Of each bucket, every node is linked to the first one only
 and the similarity of that pair verified exactly. What that leaves in doubt, nodes of one bucket in different
 groups, goes to an exact prefix-filtered join: each such node looks up its rarest shingles, as many as a partner of similarity
-THRESHOLD must share one of; pairs in different groups within the bounds of length and place are verified too. So no pair
+THRESHOLD must share one of; pairs in different groups within the bounds of length, place and bitmaps are verified too. So no pair
 that shares a bucket is lost, and no bucket is expanded into all its pairs. Groups are connected components.
 
 Defined results: a null text is empty; texts without words are one class if they are equal; documents with
@@ -31,6 +31,8 @@ from tessera.llm.common import cut, join_counted, salted_join, slices, table, te
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
 BANDS, ROWS = 30, 5
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
 #: Documents' shingles worked on at once.
 PART = 60_000
 
@@ -144,6 +146,12 @@ def counted(h: np.ndarray) -> np.ndarray:
     return np.sort(np.where(copy > 0, mix(h + copy * GOLD), h))
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """In each of 64 * BITMAP cells the parity of how many items fall into it: sets with d items not in common differ in at most d bits."""
+    cells = np.bincount((items % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     same = len(np.intersect1d(a, b))
     return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
@@ -205,24 +213,26 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, items (its shingles as a sorted set of hashes, 8 bytes each): nodes has node and doc_id of one of its documents."""
+    """node, items (its shingles as a sorted set of hashes, 8 bytes each), bits (their bitmap): nodes has node and doc_id of one of its documents."""
+    schema = "node binary, items binary, bits array<long>"
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for node, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 ws = words_of(text)
                 if node_of(text, ws) == node:
-                    rows.append((node, counted(shingles(ws)).tobytes()))
+                    items = counted(shingles(ws))
+                    rows.append((node, items.tobytes(), bitmap(items).tolist()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["node", "items", "bits"])
 
     asked = nodes.filter("doc_id is not null")
-    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("node", "text").mapInArrow(trimmed(run), "node binary, items binary")
+    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("node", "text").mapInArrow(trimmed(run), schema)
     if asked.count() < nodes.count():  # nodes of null ids are found by their hash
         lost = nodes.filter("doc_id is null").select("node")
         hashed = docs.filter("doc_id is null").select("text").mapInArrow(_nodes, "node binary, text string")
-        mine = mine.unionByName(hashed.join(lost, "node").select("node", "text").mapInArrow(run, "node binary, items binary"))
+        mine = mine.unionByName(hashed.join(lost, "node").select("node", "text").mapInArrow(run, schema))
     return mine.dropDuplicates(["node"])
 
 
@@ -285,13 +295,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     prefix = prefix.select("node", "size", F.explode(F.transform(F.slice("items", F.lit(1), length), lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"), x["n"].alias("n"), F.when(i > 0, F.get(F.col("items"), i - 1)["item"]).alias("prev")))).alias("i")).select("node", "size", "i.*").filter("n > 1").drop("n").join(unsure, "node")
     prefix = cut(prefix, "prefixes")
     mixed = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("item")
-    prefix = cut(salted_join(prefix, mixed, ["item"], ["node"], "left_semi"), "mixed-prefixes")
-    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}", "prev": f"q{x}"}) for x in "ab")
+    bits = sets.select("node", *(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)))
+    prefix = cut(salted_join(prefix, mixed, ["item"], ["node"], "left_semi").join(bits, "node"), "mixed-prefixes")
+    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}", "prev": f"q{x}"} | {f"bits{i}": f"{x}{i}" for i in range(BITMAP)}) for x in "ab")
     # by length; and by place: from a pair's first common item on, enough items must be left in both
     near = (F.col("ra") < F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
     near &= F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9
     # a pair's first common item can't follow the same item in both, so of a run of common items only the first is joined
     near &= F.col("qa").isNull() | F.col("qb").isNull() | (F.col("qa") != F.col("qb"))
+    # by bitmaps: a pair differs in no more bits than it may have items not in common
+    near &= sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0)) <= (F.col("sa") + F.col("sb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
     more = cut(a.join(b, "item").filter(near).select("a", "b").distinct(), "prefix-pairs")
     found = cut(verify(more, sets, threshold), "prefix-links")
     roots = components(links.unionByName(found), "all") if not found.isEmpty() else groups
