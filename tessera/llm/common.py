@@ -80,14 +80,23 @@ def batches(fn):
     return run
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
-    """run, giving memory back at its end: workers live on, and what they hold counts against the executor."""
+    """run, giving memory back at its end: workers live on, and what they hold counts against the executor.
+
+    Arrow uses the system's allocator there, as its own keeps what was freed.
+    """
 
     def outer(it):
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(it)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return outer

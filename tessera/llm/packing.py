@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, trimmed
+from tessera.llm.common import cut, give_back, slices, table, trimmed
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 #: Tokens of a window, and windows that a partition keeps open.
@@ -30,6 +30,8 @@ LENGTH, OPEN = 4096, 16
 END_ID = 2
 #: Partitions whose leftovers one task merges: at most GROUP * OPEN * LENGTH ids.
 GROUP = 32
+#: Documents encoded at once.
+ROWS = 1024
 #: Rows of an Arrow batch that is handed back.
 OUT_ROWS = 4096
 
@@ -119,11 +121,12 @@ def _pack(path: str, length: int, open_windows: int, end_id: int, keep_ids: bool
     def run(it):
         part = TaskContext.get().partitionId()
         ids_of, windows, out = tokenizer(path, "<u4"), Windows(length, open_windows), Out(part << 32, keep_ids)
-        for b in it:
+        for b in slices(it, ROWS):
             for doc, ids in zip(b.column(0).to_pylist(), ids_of.batch(b.column(1)), strict=True):
                 for w in windows.add((doc, 0, ids + end, len(ids) // 4 + 1)):
                     out.window(w)
                 yield from out.ready()
+            give_back()
         for w in windows.rest():
             out.window(w, part)
         yield from out.ready(True)

@@ -22,7 +22,7 @@ CHUNKS, WORDS = 30_000, 120_000
 #: Longer chunks are encoded each time.
 LONG = 64
 #: Bytes of text looked at at once.
-PART = 4_000_000
+PART = 2_000_000
 #: Only in chunks of these characters are words found here; the tokenizer itself sees to all others.
 #: A plain chunk is one word of letters and at most one sign.
 SIMPLE = re.compile(r"[\x21-įı-ɏ]+")
@@ -68,8 +68,9 @@ class ChunkTokenizer:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         if max(vocab.values()) > np.iinfo(self.dtype).max:
             raise ValueError(f"{dtype} is too narrow for this vocabulary")
-        self.special = [x["content"] for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.tokenizer.to_str())
+        self.special, suffix = [x["content"] for x in spec["added_tokens"]], spec["model"].get("end_of_word_suffix")
+        del spec
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix) and t not in self.special]] = True
