@@ -10,7 +10,8 @@ Before that, equal lines are counted as one, and a line emits variants only if a
 last p words: one edit can't touch both halves, so no pair is lost. The variants' keys are polynomial hashes, so
 a line of n words costs n steps.
 
-Order: by doc_id (nulls last), then hash of the text, then line. Lines of fewer than MIN_WORDS words always stay.
+Order: by doc_id (nulls last), then hash of the text, then line. A line of fewer than MIN_WORDS words goes only if an
+earlier line has the same words, so also one in a script without blanks; lines without words always stay.
 
 Defined results: a null text is empty; rows with the same doc_id and text count as one place and keep the same
 lines; an empty table gives no rows; other columns of the input are kept.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, join_counted, salted_join, table, texts_of, trimmed
 
-#: Shorter lines aren't looked at: a word is too much of them.
+#: Shorter lines go only as exact copies: a word is too much of them.
 MIN_WORDS = 8
 #: Halves are cut at multiples of this many words.
 STEP = 4
@@ -65,8 +66,8 @@ def _lines(min_words: int):
             for doc, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
                 for no, line in enumerate(text.split("\n")):
                     ws = words_of(line)
-                    if len(ws) >= min_words:
-                        rows.append((doc, h, no, xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")), halves(ws)))
+                    if ws:
+                        rows.append((doc, h, no, xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")), halves(ws) if len(ws) >= min_words else []))
             if rows:
                 d, h, n, x, k = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(x, pa.binary()), pa.array(k, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "line_no", "line", "halves"])

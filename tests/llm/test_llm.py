@@ -315,6 +315,14 @@ def test_op10_equals_brute_force(spark):
     assert {(x.doc_id, x.text, x.n_removed) for x in got.collect()} == set(want) and got.count() == len(rows)
 
 
+def test_op10_short_lines_go_as_exact_copies(spark):
+    cjk = "這一行沒有空格" * 9
+    near = "a b c d e f g"  # one word from the next, but too short for that
+    rows = [(1, f"Read more\n{near}\n\n{cjk}"), (2, f"read  MORE\na b c d e f x\n \n\n{cjk}\nown"), (3, f"{near} h\n{near}\nRead more"), (None, "own"), (4, None)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(x.doc_id, x.text, x.n_lines, x.n_removed) for x in got.collect()} == {(1, rows[0][1], 4, 0), (2, "a b c d e f x\n \n\nown", 6, 2), (3, f"{near} h", 3, 2), (None, "", 1, 1), (4, None, 1, 0)}
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(2000):
