@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.common import cut, join_counted, salted_join, slices, table, texts_of, trimmed
 
@@ -265,8 +266,8 @@ def _items(it):
             yield pa.RecordBatch.from_arrays([pa.array([node] * len(items), pa.binary()), pa.array(items), pa.array(np.full(len(items), len(items)))], names=["node", "item", "size"])
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (hash of the words), class_id of every document."""
+def _rooted(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node (hash of the words) of every document; node, doc_id (its least), root (its class) of every node."""
     from tessera.llm.line_dedup import _batched
 
     signed = cut(docs.select("doc_id", "text").mapInArrow(trimmed(_signatures(bands, rows)), "doc_id long, node binary, size long, bands array<long>"), "signatures")
@@ -309,20 +310,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     found = cut(verify(more, sets, threshold), "prefix-links")
     roots = components(links.unionByName(found), "all") if not found.isEmpty() else groups
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    return signed.select("doc_id", "node"), named
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, node (hash of the words), class_id of every document."""
+    signed, named = _rooted(docs, threshold, bands, rows)
     # a class is named by its least doc_id, by partial minima
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     named = cut(salted_join(named, names, ["root"], ["node"]).select("node", "class_id"), "classes")
-    return salted_join(signed.select("doc_id", "node"), named, ["node"], ["doc_id"], salts=8)
+    return salted_join(signed, named, ["node"], ["doc_id"], salts=8)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def _noded(at: int):
+    def run(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(x, words_of(x)) for x in texts_of(b.column(at))], pa.binary())], names=[*b.schema.names, "_node"])
+
+    return run
+
+
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near-duplicates: one row a class, the one of its least doc_id; rows without id stay."""
-    found = classes(docs, threshold)
-    gone = cut(found.filter("doc_id is not null and doc_id != class_id").select("doc_id").distinct(), "near-copies")
-    kept = join_counted(docs, gone, ["doc_id"], "left_anti")
-    twice = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.select(*docs.columns) if twice else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null")).select(*docs.columns)
+    """docs without near-duplicates: one row a class, the one of its least doc_id (of texts with that id, the one of the
+    least node); rows without id stay."""
+    signed, named = _rooted(docs, threshold, BANDS, ROWS)
+    # a doc_id may be first in several classes, by texts of its own in each
+    first = cut(named.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias("_node")), "representatives")
+    ids = cut(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "ids")
+    gone = cut(ids.join(first.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "near-copies")
+    kept = join_counted(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    several = ids.filter("n > 1").select("doc_id")
+    if several.isEmpty():
+        return kept
+    # only rows that share their id need to be told apart by their texts
+    rows = join_counted(kept, several, ["doc_id"], "left_semi").select(*docs.columns)
+    rows = rows.mapInArrow(trimmed(_noded(docs.columns.index("text"))), StructType([*rows.schema.fields, StructField("_node", BinaryType())]))
+    rows = join_counted(rows, first, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
+    return join_counted(kept, several, ["doc_id"], "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))

@@ -142,6 +142,19 @@ def test_op1_equals_brute_force(docs, odd):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({c: 1 for d, c in want if d == c})
 
 
+def test_representatives_of_shared_ids(spark):
+    """Different texts under one doc_id: no class loses its only row, and each keeps one."""
+    r = random.Random(17)
+    a, b, c, d, e = (words(r, 60) for _ in range(5))
+    # id 2: the copy of a goes, b stays; id 7: c, d and a near copy of c; e without id stays twice
+    rows = [(1, a), (2, a), (2, b), (2, b), (7, c), (7, d), (7, c + " tail"), (8, d), (None, e), (None, e)]
+    kept = minhash.representatives(spark.createDataFrame([(t, i, 1.0) for i, t in rows], "text string, doc_id long, score double"))
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    assert kept.columns == ["text", "doc_id", "score"]
+    of_c = got[7, c], got[7, c + " tail"]
+    assert sorted(of_c) == [0, 1] and {k: n for k, n in got.items() if not k[1].startswith(c)} == {(1, a): 1, (2, b): 1, (7, d): 1, (None, e): 2}
+
+
 def test_op1_doubtful_buckets(spark):
     """One passage in many documents, and a chain of near copies: what the first links leave in doubt."""
     r = random.Random(11)
