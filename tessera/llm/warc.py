@@ -40,6 +40,8 @@ TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
 LINK = re.compile(r"""<(a|link|area|img)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
+META = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
+HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
 
 COLUMNS = [("page_id", pa.int64(), "long"), ("record_id", pa.string(), "string"), ("warc_type", pa.string(), "string"), ("refers_to", pa.string(), "string"), ("target_uri", pa.string(), "string"), ("warc_date", pa.string(), "string"), ("content_type", pa.string(), "string"), ("content_length", pa.int64(), "long"), ("block_digest", pa.string(), "string"), ("payload_digest", pa.string(), "string"), ("source_headers", pa.string(), "string"), ("source_block_digest", pa.string(), "string"), ("source_payload_digest", pa.string(), "string"), ("content", pa.string(), "string")]
 SCHEMA = ", ".join(f"{n} {t}" for n, _, t in COLUMNS)
@@ -67,11 +69,17 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def charset_of(page: str) -> re.Match | None:
+    """The charset of a meta element of the head, however long that is, else any in the first 1,024 characters."""
+    end = HEAD_END.search(page)
+    return META.search(page, 0, end.start() if end else len(page)) or CHARSET.search(page[:1024])
+
+
 def describe(response: dict, page: str) -> str:
     """Fields of the metadata record, as application/warc-fields."""
     title = TITLE.search(page)
     fields = [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    found = CHARSET.search(response["head"]) or CHARSET.search(page[:1024])
+    found = CHARSET.search(response["head"]) or charset_of(page)
     fields += [("charset-detected", found[1].lower())] if found else []
     fields += [("http-status", response["head"].split(" ")[1] if " " in response["head"] else "")]
     fields += [("outlink", f"{html.unescape(a or b or c)} {tag.lower()}") for tag, a, b, c in LINK.findall(page)]

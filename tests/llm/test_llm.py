@@ -244,6 +244,14 @@ def test_op6_odd_vectors(spark):
     assert not (got - want), (sorted((got - want).items())[:6], sorted((want - got).items())[:6])
 
 
+def test_op7_charset_of_a_long_head():
+    style, said = f"<style>{'p { } ' * 400}</style>", "<p>charset=koi8-r</p>"
+    for head, want in (("", None), ('<meta charset="Shift_JIS">', "shift_jis"), ('<meta http-equiv="Content-Type" content="text/html; charset=gbk">', "gbk")):
+        for page in (f"<html><head>{style}{head}</head><body>{said}</body></html>", f"<title>x</title>{style}{head}{said}"):
+            fields = dict(x.split(": ", 1) for x in warc.describe({"head": "HTTP/1.1 200 OK\r\nContent-Type: text/html"}, page).split("\r\n") if x)
+            assert fields.get("charset-detected") == want
+
+
 def test_op7_links_and_warc(spark, tmp_path):
     page = '<html><head><title>T &amp; u</title><meta charset="utf-8"></head><body><p>one</p><script>x</script><a href="/b">two</a></body></html>'
     rows = spark.createDataFrame([(1, "http://a/", page), (2, None, None)], "page_id long, url string, html string")
