@@ -1,7 +1,7 @@
 """Secret scans (operator 2): candidates in whole texts, judged by corpus-wide ownership frequency.
 
-Three base kinds are found by fixed patterns. The method adds tokens of other shapes (kind "token"): 20 to 200
-characters of [A-Za-z0-9_-] with digits and letters of both cases, and at least ENTROPY bits a character. Every candidate's
+Three base kinds are found by fixed patterns. The method adds tokens of other shapes (kind "token"): 20 or
+more characters of [A-Za-z0-9_-] with digits and letters of both cases, and at least ENTROPY bits a character. Every candidate's
 hash is counted by distinct repositories and owners over the whole corpus. A value in at most LIVE_OWNERS owners
 is live-looking; one that more owners share is a widely copied example. Added spans are reported where live
 only; base spans always are.
@@ -31,7 +31,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}")
-TOKEN_LENGTH, ENTROPY = 200, 3.5
+ENTROPY = 3.5
 #: A candidate in more owners than this is a widely copied example.
 LIVE_OWNERS = 2
 
@@ -56,7 +56,7 @@ def added_spans(text: str, base: list) -> list[tuple[str, int, int, str]]:
     out = []
     for m in TOKEN.finditer(text):
         s = m[0]
-        if len(s) <= TOKEN_LENGTH and re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= ENTROPY and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+        if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= ENTROPY and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
             out.append(("token", m.start(), m.end(), s))
     return out
 

@@ -305,6 +305,14 @@ def test_op9_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(x.predicted == 0 for x in got.values())
 
 
+def test_op2_long_tokens(spark):
+    long = "aB3dE5gH7jK9mN1pQ3sT" * 30
+    rows = [(1, f"x {long}", "a")] + [(2 + i, f"{long[1:]}.", f"s{i}") for i in range(3)]
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].spans == "token:2:602" and (got[1].n_live, got[1].n_copied) == (1, 0)
+    assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in (2, 3, 4))
+
+
 def test_op10_equals_brute_force(spark):
     r = random.Random(8)
     lines = [words(r, r.randint(8, 14)) for _ in range(12)]
