@@ -20,6 +20,9 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessera.llm.common import cut, join_counted, salted_join, slices, table, texts_of, trimmed
+from tessera.llm.common import Scratch, hot_join, hot_keys, join_counted, private, slices, table, texts_of, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
 BANDS, ROWS = 30, 5
 #: 64-bit words of a set's bitmap.
 BITMAP = 8
-#: Documents' shingles worked on at once.
-PART = 60_000
+#: Words worked on at once; bytes of words that are hashed at once.
+PART, CHUNK = 60_000, 1 << 18
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,20 +92,16 @@ def darts(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: i
                 before = ranks[stop - need] - gap[stop - need]
                 ranks += np.repeat(rank - before, need)
                 own = owner[at][which]
-                other = mix(dart ^ M2)
-                hit = ranks <= limit[own]
+                hit = np.flatnonzero(ranks <= limit[own])
+                other = mix(dart[hit] ^ M2)
                 if low or (weights[at] < low + width).any():
                     place = low + width * ((other >> np.uint64(32)).astype(np.float64) * 2.0**-32)
-                    hit &= place < weights[at][which]
-                hit = np.flatnonzero(hit)
-                slot = own[hit] * k + (other[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64) % k
-                order = np.lexsort((ranks[hit], slot))
-                slot, hit = slot[order], hit[order]
-                first = np.ones(len(slot), bool)
-                first[1:] = slot[1:] != slot[:-1]
-                slot, hit = slot[first], hit[first]
-                earlier = ranks[hit] < best_rank[slot]
-                best_rank[slot[earlier]], best_dart[slot[earlier]] = ranks[hit[earlier]], dart[hit[earlier]]
+                    inside = place < weights[at][which[hit]]
+                    hit, other = hit[inside], other[inside]
+                slot = own[hit] * k + (other & np.uint64(0xFFFFFFFF)).astype(np.int64) % k
+                np.minimum.at(best_rank, slot, ranks[hit])
+                first = ranks[hit] == best_rank[slot]
+                best_dart[slot[first]] = dart[hit[first]]
                 rank, count = ranks[stop - 1], count + need.astype(np.uint64)
         # sets of which a coordinate has no dart yet throw on, to twice the rank
         lacking = np.flatnonzero(np.isinf(best_rank).reshape(n, k).any(1) & full)
@@ -117,24 +116,62 @@ def darts(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: i
     return best_dart.reshape(n, k)
 
 
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Hashes (uint64) of the word shingles in order."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    n = max(1, len(h) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(size, len(h))):
-        out = mix(out * GOLD + h[i : i + n])
-    return out
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
-
-
-def node_of(text: str, words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words) if words else b"\0" + text.encode("utf-8", "surrogatepass"))
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte; the powers of an odd base, and of its inverse, modulo 2^64."""
+    power = np.cumprod(np.full(CHUNK, GOLD, np.uint64))
+    inverse = np.cumprod(np.full(CHUNK, pow(int(GOLD), -1, 1 << 64), np.uint64))
+    return mix(np.arange(1, 257, dtype=np.uint64) * M1), power, inverse
+
+
+def word_hashes(words: bytes) -> np.ndarray:
+    """A hash (uint64) of each of these words, which are joined by blanks: polynomials of their bytes, taken from sums over a chunk."""
+    out, at, (value, power, inverse) = [], 0, _powers()
+    while at < len(words):
+        stop = len(words) if len(words) - at < CHUNK else words.rfind(b" ", at, at + CHUNK)
+        if stop <= at:  # a word that is longer than a chunk
+            stop = words.find(b" ", at) if b" " in words[at:] else len(words)
+            out.append(np.array([xxhash.xxh3_64_intdigest(words[at:stop])], np.uint64))
+        else:
+            part = np.frombuffer(words, np.uint8, stop - at, at)
+            ends = np.append(np.flatnonzero(part == 32), len(part))
+            starts = np.append(0, ends[:-1] + 1)
+            total = np.append(np.uint64(0), np.cumsum(value[part] * power[: len(part)], dtype=np.uint64))
+            out.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+        at = stop + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles_of(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """Hashes (uint64) of the word shingles of each text (its words, joined by blanks), in order."""
+    lengths = [t.count(b" ") + 1 if t else 0 for t in texts]
+    h = word_hashes(b" ".join([t for t in texts if t]))
+    stops, out = np.cumsum(lengths), np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for i in range(size):
+        out = mix(out * GOLD + h[i : i + len(out)])
+    found = []
+    for n, stop in zip(lengths, stops.tolist(), strict=True):
+        if n >= size:
+            found.append(out[stop - n : stop - size + 1])
+        else:  # a short text is one shingle
+            one = np.zeros(min(n, 1), np.uint64)
+            for x in h[stop - n : stop]:
+                one = mix(one * GOLD + x)
+            found.append(one)
+    return found
+
+
+def shingles(words: bytes, size: int = SHINGLE) -> np.ndarray:
+    return shingles_of([words], size)[0]
+
+
+def words_of(text: str) -> bytes:
+    """The words of a text in lower case, joined by blanks."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split())
+
+
+def node_of(text: str, words: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(words or b"\0" + text.encode("utf-8", "surrogatepass"))
 
 
 def counted(h: np.ndarray) -> np.ndarray:
@@ -162,14 +199,18 @@ def _signatures(bands: int, rows: int):
     k = bands * rows
 
     def run(it):
+        def signed(held):
+            found = shingles_of([ws for *_, ws in held])
+            return _signed([(i, node, h) for (i, node, _), h in zip(held, found, strict=True)], k, bands, rows)
+
         for b in it:
             ids, held, n = b.column(0).to_pylist(), [], 0
             for i, text in enumerate(texts_of(b.column(1))):
                 ws = words_of(text)
-                held.append((ids[i], node_of(text, ws), shingles(ws)))
-                n += len(ws)
+                held.append((ids[i], node_of(text, ws), ws))
+                n += ws.count(b" ") + 1
                 if n >= PART or i == len(ids) - 1:
-                    yield _signed(held, k, bands, rows)
+                    yield signed(held)
                     held, n = [], 0
 
     return run
@@ -191,50 +232,61 @@ def _signed(held, k, bands, rows):
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, root of every node of `edges` (a, b): the least node it is connected to.
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node above another has one edge and none below it has one itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, root of every node of `edges` (a, b; numbers): the least node it is connected to.
 
     Rounds of least neighbours and shortcuts; each ends in a written table, and what remains is counted, not collected.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}-edges")
-    while True:
+    last, n = f"{name}-edges", 0
+    edges = scratch.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), last)
+    while not _stars_only(edges):
+        n += 1
+        star = [f"{name}-{x}-{n}" for x in ("least", "hot", "large", "lower", "hotter", "small")]
         # large star: neighbours above a node are linked to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = salted_join(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = cut(large, f"{name}-large")
+        least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), star[0])
+        hot = hot_keys(least, "u", scratch, star[1])
+        large = hot_join(both.filter("v > u"), least.drop("n"), "u", ["v"], hot).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = scratch.cut(large, star[2])
         # small star: neighbours below a node, and the node itself, are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = salted_join(large, least, ["u"], ["v"])
+        least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), star[3])
+        small = hot_join(large, least.drop("n"), "u", ["v"], hot_keys(least, "u", scratch, star[4]))
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        down = cut(down, f"{name}-small")
-        if down.exceptAll(edges).isEmpty() and down.count() == edges.count():
-            return down.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = down
+        down = scratch.cut(down, star[5])
+        scratch.drop(last, *star[:5])
+        edges, last = down, star[5]
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, items (its shingles as a sorted set of hashes, 8 bytes each), bits (their bitmap): nodes has node and doc_id of one of its documents."""
-    schema = "node binary, items binary, bits array<long>"
+    """no, items (its shingles as a sorted set of hashes), bits (their bitmap): nodes has no, node, and doc_id of one of its documents."""
+    schema = "no long, items array<long>, bits array<long>"
 
     def run(it):
         for b in slices(it):
             rows = []
-            for node, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                ws = words_of(text)
-                if node_of(text, ws) == node:
+            for no, node, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                ws = words_of(text or "")
+                if node_of(text or "", ws) == node:
                     items = counted(shingles(ws))
-                    rows.append((node, items.tobytes(), bitmap(items).tolist()))
+                    rows.append((no, items.view(np.int64), bitmap(items).tolist()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["node", "items", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["no", "items", "bits"])
 
     asked = nodes.filter("doc_id is not null")
-    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("node", "text").mapInArrow(trimmed(run), schema)
-    if asked.count() < nodes.count():  # nodes of null ids are found by their hash
-        lost = nodes.filter("doc_id is null").select("node")
+    mine = join_counted(docs.select("doc_id", "text"), asked, ["doc_id"], "inner").select("no", "node", "text").mapInArrow(trimmed(run), schema)
+    lost = nodes.filter("doc_id is null")
+    if not lost.isEmpty():  # nodes of null ids are found by their hash
         hashed = docs.filter("doc_id is null").select("text").mapInArrow(_nodes, "node binary, text string")
-        mine = mine.unionByName(hashed.join(lost, "node").select("node", "text").mapInArrow(run, schema))
-    return mine.dropDuplicates(["node"])
+        mine = mine.unionByName(hashed.join(lost, "node").select("no", "node", "text").mapInArrow(run, schema))
+    return mine.dropDuplicates(["no"])
 
 
 def _nodes(it):
@@ -243,93 +295,123 @@ def _nodes(it):
         yield pa.RecordBatch.from_arrays([pa.array([node_of(x, words_of(x)) for x in t], pa.binary()), pa.array(t)], names=["node", "text"])
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The values of each list of an Arrow column of numbers."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    return [values[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
 def _verified(threshold: float):
     def run(it):
         for b in slices(it):
-            r = b.to_pydict()
-            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(r["ia"], r["ib"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [jaccard(x, y) >= threshold for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose similarity is at least the threshold; exact."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    return joined.select("a", "b", "ia", "ib").mapInArrow(trimmed(_verified(threshold)), "a binary, b binary")
-
-
-def _items(it):
-    for b in it:
-        for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            items = np.frombuffer(raw, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(items), pa.binary()), pa.array(items), pa.array(np.full(len(items), len(items)))], names=["node", "item", "size"])
-
-
-def _rooted(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node (hash of the words) of every document; node, doc_id (its least), root (its class) of every node."""
-    from tessera.llm.line_dedup import _batched
-
-    signed = cut(docs.select("doc_id", "text").mapInArrow(trimmed(_signatures(bands, rows)), "doc_id long, node binary, size long, bands array<long>"), "signatures")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    places = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = places.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    member = cut(salted_join(places, cut(centres, "centres"), ["bucket"], ["node"]), "members")
-    pairs = cut(member.filter("node != centre").select(F.col("node").alias("b"), F.col("centre").alias("a")).distinct(), "star-pairs")
-    ids = nodes.select("node", "doc_id")
-    involved = member.select("node").distinct().join(ids, "node")
-    sets = cut(_sets(docs, involved), "sets")
-    links = cut(verify(pairs, sets, threshold), "star-links")
-    groups = components(links, "star")
-    # buckets whose nodes are in more than one group are in doubt
-    grouped = member.select("node", "bucket").join(groups, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
-    grouped = cut(grouped, "grouped")
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) whose similarity is at least the threshold; exact. Nodes of very many pairs are dealt to several tasks."""
+    sets = sets.select("no", "items")
+    hot = {x: hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), x, scratch, f"{name}-hot-{x}") for x in "ab"}
+    for x, other in ("ab", "ba"):
+        pairs = hot_join(pairs, sets.withColumnsRenamed({"no": x, "items": f"i{x}"}), x, [other], hot[x])
+    return pairs.select("a", "b", "ia", "ib").mapInArrow(trimmed(_verified(threshold)), "a long, b long")
+
+
+def _stars(docs: DataFrame, nodes: DataFrame, ids: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets (of all nodes that share a bucket), groups (node, root) by links of each bucket's nodes to its first one, and
+    unsure (no, root, size): nodes of buckets that still hold more than one group."""
+    places = nodes.select("no", F.explode("bands").alias("bucket"))
+    centres = scratch.cut(places.groupBy("bucket").agg(F.min("no").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "centres")
+    hot = hot_keys(centres, "bucket", scratch, "hot-buckets")
+    member = scratch.cut(hot_join(places, centres.drop("n"), "bucket", ["no"], hot), "members")
+    scratch.drop("nodes")
+    pairs = scratch.cut(member.filter("no != centre").select(F.col("centre").alias("a"), F.col("no").alias("b")).distinct(), "star-pairs")
+    involved = scratch.cut(member.select("no").distinct().join(ids, "no").select("no", "node", "doc_id"), "involved")
+    sets = scratch.cut(_sets(docs, involved), "sets")
+    links = scratch.cut(verify(pairs, sets, threshold, scratch, "star"), "star-links")
+    groups = components(links, scratch, "star")
+    grouped = scratch.cut(member.select("no", "bucket").join(groups.withColumnRenamed("node", "no"), "no", "left").select("no", "bucket", F.coalesce("root", "no").alias("root")), "grouped")
+    scratch.drop("members", "star-pairs", "star-links", "involved")
     doubt = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    unsure = cut(salted_join(grouped, doubt, ["bucket"], ["node"], "left_semi").select("node", "root").distinct(), "unsure")
-    items = cut(sets.join(unsure.select("node"), "node", "left_semi").mapInArrow(trimmed(_batched(_items)), "node binary, item long, size long"), "items")
-    often = items.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
-    # an item of one node only joins nothing, but counts among the rarest
-    ranked = salted_join(items, often, ["item"], ["node"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    unsure = hot_join(grouped, doubt, "bucket", ["no"], hot, "left_semi").select("no", "root").distinct()
+    unsure = scratch.cut(unsure.join(ids.select("no", "size"), "no"), "unsure")
+    scratch.drop("grouped", "centres")
+    return sets, groups, unsure
+
+
+def _prefix_pairs(sets: DataFrame, unsure: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of unsure nodes in different groups that may be similar: all that are, and few others."""
+    items = join_counted(sets.select("no", "items"), unsure.select("no"), ["no"], "left_semi").select("no", F.explode("items").alias("item"))
+    often = scratch.cut(items.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    # items of one node only join nothing, but come before all others in the order by rarity: they are counted, not moved
+    known = hot_join(items, often, "item", ["no"], hot_keys(often, "item", scratch, "hot-items"))
+    ranked = known.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items")).join(unsure, "no")
+    alone = F.col("size") - F.size("items")
     # the size - ceil(t * size) + 1 rarest items of a node; a partner shares one of them
-    prefix = ranked.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    prefix = prefix.select("node", "size", F.explode(F.transform(F.slice("items", F.lit(1), length), lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"), x["n"].alias("n"), F.when(i > 0, F.get(F.col("items"), i - 1)["item"]).alias("prev")))).alias("i")).select("node", "size", "i.*").filter("n > 1").drop("n").join(unsure, "node")
-    prefix = cut(prefix, "prefixes")
-    mixed = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("item")
-    bits = sets.select("node", *(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)))
-    prefix = cut(salted_join(prefix, mixed, ["item"], ["node"], "left_semi").join(bits, "node"), "mixed-prefixes")
-    a, b = (prefix.withColumnsRenamed({"node": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}", "prev": f"q{x}"} | {f"bits{i}": f"{x}{i}" for i in range(BITMAP)}) for x in "ab")
-    # by length; and by place: from a pair's first common item on, enough items must be left in both
-    near = (F.col("ra") < F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
+    length = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - alone).cast("int")
+    rarest = F.transform(F.slice("items", F.lit(1), length), lambda x, i: F.struct((i + alone).alias("at"), x["item"].alias("item"), F.when(i > 0, F.get(F.col("items"), i - 1)["item"]).alias("prev")))
+    prefix = scratch.cut(ranked.select("no", "size", "root", F.explode(rarest).alias("i")).select("no", "size", "root", "i.*"), "prefixes")
+    scratch.drop("often", "hot-items")
+    # only items of several groups; similar sets are of one class of length or of neighbouring ones
+    mixed = scratch.cut(prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("item", "n"), "mixed")
+    hot = hot_keys(mixed, "item", scratch, "hot-mixed")
+    bits = sets.select("no", *(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)))
+    prefix = hot_join(prefix, mixed.select("item"), "item", ["no"], hot, "left_semi").join(bits, "no").withColumn("class", F.floor(F.log("size") / max(1e-9, -math.log(threshold)) + 1e-9))
+    prefix = scratch.cut(prefix, "mixed-prefixes")
+    scratch.drop("prefixes", "mixed")
+    a, b = (prefix.withColumnsRenamed({"no": x, "root": f"r{x}", "size": f"s{x}", "at": f"p{x}", "prev": f"q{x}"} | {f"bits{i}": f"{x}{i}" for i in range(BITMAP)}) for x in "ab")
+    b = b.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    joined = hot_join(a, b, "item", ["a"], hot, also=("class",))
+    # by length, the shorter one first; and by place: from a pair's first common item on, enough items must be left in both
+    near = (F.col("ra") != F.col("rb")) & ((F.col("sa") < F.col("sb")) | (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))) & (F.col("sa") >= threshold * F.col("sb") - 1e-9)
     near &= F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9
     # a pair's first common item can't follow the same item in both, so of a run of common items only the first is joined
     near &= F.col("qa").isNull() | F.col("qb").isNull() | (F.col("qa") != F.col("qb"))
     # by bitmaps: a pair differs in no more bits than it may have items not in common
     near &= sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0)) <= (F.col("sa") + F.col("sb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-    more = cut(a.join(b, "item").filter(near).select("a", "b").distinct(), "prefix-pairs")
-    found = cut(verify(more, sets, threshold), "prefix-links")
-    roots = components(links.unionByName(found), "all") if not found.isEmpty() else groups
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    return signed.select("doc_id", "node"), named
+    pairs = scratch.cut(joined.filter(near).select("a", "b").distinct(), "prefix-pairs")
+    scratch.drop("mixed-prefixes", "hot-mixed")
+    return pairs
+
+
+def _rooted(docs: DataFrame, threshold: float, bands: int, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node (hash of the words) of every document; node, doc_id (its least), n (its documents), root (its class) of every node."""
+    signed = scratch.cut(docs.select("doc_id", "text").mapInArrow(trimmed(_signatures(bands, rows)), "doc_id long, node binary, size long, bands array<long>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = scratch.cut(nodes.withColumn("no", F.monotonically_increasing_id()), "nodes")
+    ids = scratch.cut(nodes.drop("bands"), "ids")
+    signed = scratch.cut(signed.select("doc_id", "node"), "documents")
+    scratch.drop("signatures")
+    sets, groups, unsure = _stars(docs, nodes, ids, threshold, scratch)
+    found = scratch.cut(verify(_prefix_pairs(sets, unsure, threshold, scratch), sets, threshold, scratch, "prefix"), "prefix-links")
+    scratch.drop("sets", "unsure", "prefix-pairs")
+    links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+    roots = (groups if found.isEmpty() else components(links, scratch, "all")).withColumnRenamed("node", "no")
+    named = ids.join(roots, "no", "left").select("node", "doc_id", "n", F.coalesce("root", "no").alias("root"))
+    return signed, scratch.cut(named, "roots")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node (hash of the words), class_id of every document."""
-    signed, named = _rooted(docs, threshold, bands, rows)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed, named = _rooted(docs, threshold, bands, rows, scratch)
     # a class is named by its least doc_id, by partial minima
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    named = cut(salted_join(named, names, ["root"], ["node"]).select("node", "class_id"), "classes")
-    return salted_join(signed, named, ["node"], ["doc_id"], salts=8)
+    names = scratch.cut(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "names")
+    hot = hot_keys(names, "root", scratch, "hot-classes")
+    named = scratch.cut(hot_join(named, names.drop("n"), "root", ["node"], hot).select("node", "class_id", "n"), "classes")
+    return hot_join(signed, named.drop("n"), "node", ["doc_id"], hot_keys(named, "node", scratch, "hot-nodes"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-def _noded(at: int):
+def _noded(at: int, name: str):
     def run(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(x, words_of(x)) for x in texts_of(b.column(at))], pa.binary())], names=[*b.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(x, words_of(x)) for x in texts_of(b.column(at))], pa.binary())], names=[*b.schema.names, name])
 
     return run
 
@@ -337,17 +419,19 @@ def _noded(at: int):
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without near-duplicates: one row a class, the one of its least doc_id (of texts with that id, the one of the
     least node); rows without id stay."""
-    signed, named = _rooted(docs, threshold, BANDS, ROWS)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    signed, named = _rooted(docs, threshold, BANDS, ROWS, scratch)
     # a doc_id may be first in several classes, by texts of its own in each
-    first = cut(named.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias("_node")), "representatives")
-    ids = cut(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "ids")
-    gone = cut(ids.join(first.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "near-copies")
+    node = private(docs, "node")
+    first = scratch.cut(named.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias(node)), "representatives")
+    ids = scratch.cut(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "doc-ids")
+    gone = scratch.cut(ids.join(first.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "near-copies")
     kept = join_counted(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
     several = ids.filter("n > 1").select("doc_id")
     if several.isEmpty():
         return kept
     # only rows that share their id need to be told apart by their texts
     rows = join_counted(kept, several, ["doc_id"], "left_semi").select(*docs.columns)
-    rows = rows.mapInArrow(trimmed(_noded(docs.columns.index("text"))), StructType([*rows.schema.fields, StructField("_node", BinaryType())]))
-    rows = join_counted(rows, first, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
+    rows = rows.mapInArrow(trimmed(_noded(docs.columns.index("text"), node)), StructType([*rows.schema.fields, StructField(node, BinaryType())]))
+    rows = join_counted(rows, first, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
     return join_counted(kept, several, ["doc_id"], "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))
