@@ -14,7 +14,8 @@ Order: by doc_id (nulls last), then hash of the text, then line. A line of fewer
 earlier line has the same words, so also one in a script without blanks; lines without words always stay.
 
 Defined results: a null text is empty; rows with the same doc_id and text count as one place and keep the same
-lines; an empty table gives no rows; other columns of the input are kept.
+lines, their words being read once; an empty table gives no rows; all columns of the input are kept, so n_lines and n_removed get a
+further _ before them where the input has such a column, in any case.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_counted, salted_join, table, texts_of, trimmed
+from tessera.llm.common import Scratch, batched, hot_join, hot_keys, join_counted, private, table, texts_of, trimmed
 
 #: Shorter lines go only as exact copies: a word is too much of them.
 MIN_WORDS = 8
 #: Halves are cut at multiples of this many words.
 STEP = 4
 
-LINES = "doc_id long, text_hash long, line_no int, line binary, halves array<long>"
-VARIANTS = "line binary, k1 long, k2 long, at int"
+LINES = "doc_id long, text_hash long, line_no int, lead boolean, line binary, halves array<long>"
+VARIANTS = "no long, k1 long, k2 long, at int"
 
 
 def place() -> Column:
@@ -64,13 +65,15 @@ def _lines(min_words: int):
         for b in it:
             rows = []
             for doc, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+                lead = True  # the first line of a text that has words stands for its row
                 for no, line in enumerate(text.split("\n")):
                     ws = words_of(line)
                     if ws:
-                        rows.append((doc, h, no, xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")), halves(ws) if len(ws) >= min_words else []))
+                        rows.append((doc, h, no, lead, xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")), halves(ws) if len(ws) >= min_words else []))
+                        lead = False
             if rows:
-                d, h, n, x, k = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(x, pa.binary()), pa.array(k, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "line_no", "line", "halves"])
+                types = pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_hash", "line_no", "lead", "line", "halves"])
 
     return run
 
@@ -93,31 +96,14 @@ def neighbourhood(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _variants(it):
-    """Rows with the texts of chosen lines: (line, its words) and the variants; k1 null marks the words."""
+    """The variants of chosen lines, out of rows (text, line numbers, numbers of the lines)."""
     for b in it:
         for doc in range(b.num_rows):
             text, numbers, lines = (b.column(c)[doc].as_py() for c in (0, 1, 2))
             split = (text or "").split("\n")
             for no, line in zip(numbers, lines, strict=True):
                 k1, k2 = neighbourhood(words_of(split[no]))
-                yield pa.RecordBatch.from_arrays([pa.array([line] * len(k1), pa.binary()), pa.array(k1), pa.array(k2), pa.array(np.arange(-1, len(k1) - 1), pa.int32())], names=["line", "k1", "k2", "at"])
-
-
-def _batched(fn, rows: int = 50_000):
-    """Joins small batches: what goes to the JVM is some megabytes each time."""
-
-    def run(it):
-        held, n = [], 0
-        for b in fn(it):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return run
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), line)), pa.array(k1), pa.array(k2), pa.array(np.arange(-1, len(k1) - 1), pa.int32())], names=["no", "k1", "k2", "at"])
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -134,74 +120,104 @@ def _verify(it):
     for b in it:
         rows = b.to_pydict()
         ok = [within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(rows["words"], rows["other_words"], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("line")], names=["line"]).filter(pa.array(ok))
+        yield b.select(["no"]).filter(pa.array(ok, pa.bool_()))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, numbers: lines to remove, a row for each document that has any."""
+def _flags(it):
+    """Line numbers as flags: a byte for each line up to the last one of them, 1 for those that go."""
+    for b in it:
+        out = []
+        for numbers in b.column(2).to_pylist():
+            flags = np.zeros(max(numbers) + 1, np.uint8)
+            flags[numbers] = 1
+            out.append(flags.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array([len(x) for x in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "text_hash", "flags", "n"])
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, flags (binary, a byte for each line: 1 if it goes), n (of them): a row for each document that loses any."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    lines = cut(keyed.mapInArrow(trimmed(_lines(min_words)), LINES), "lines")
-    once = lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    distinct = cut(once, "distinct-lines")
+    lines = scratch.cut(keyed.mapInArrow(trimmed(_lines(min_words)), LINES), "lines")
+    distinct = scratch.cut(lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "distinct-lines")
+    lines = scratch.cut(lines.drop("halves"), "places")
+    scratch.drop("lines")
     # lines that share a half with another distinct line
     half = distinct.select("line", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    near = salted_join(half, shared, ["half"], ["line"], "left_semi").select("line").distinct()
-    chosen = cut(near.join(distinct, "line").select("line", "first.*").drop("no_id"), "chosen-lines")
-    variants = cut(_holders(keyed, chosen).mapInArrow(trimmed(_batched(_variants)), VARIANTS), "variants")
-    first = chosen.select("line", place().alias("place"))
+    shared = scratch.cut(half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1"), "halves")
+    near = hot_join(half, shared.drop("n"), "half", ["line"], hot_keys(shared, "half", scratch, "hot-halves"), "left_semi").select("line").distinct()
+    # numbers by place: of two lines, the earlier one has the smaller number
+    chosen = near.join(distinct.select("line", "first"), "line").orderBy("first").select(F.monotonically_increasing_id().alias("no"), "line", "first.doc_id", "first.text_hash", "first.line_no")
+    chosen = scratch.cut(chosen, "chosen-lines")
+    distinct = scratch.cut(distinct.filter("n > 1").select("line", "n", "first"), "repeated-lines")
+    scratch.drop("distinct-lines", "halves", "hot-halves")
+    again = scratch.cut(lines.filter("lead").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash"), "repeated-texts")
+    variants = scratch.cut(_holders(keyed, chosen, again).mapInArrow(trimmed(batched(_variants)), VARIANTS), "variants")
     # replacements: equal but for the word at one place; omissions: a whole line that equals another's variant
-    crowded = variants.filter("at >= 0").groupBy("k1", "k2", "at").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    replaced = cut(salted_join(variants.filter("at >= 0"), crowded, ["k1", "k2", "at"], ["line"]).join(first, "line"), "replaced")
-    best = replaced.groupBy("k1", "k2", "at").agg(F.min(F.struct("place", "line")).alias("m"))
-    pairs = salted_join(replaced, best, ["k1", "k2", "at"], ["line"]).filter("m.place < place").select("line", F.col("m.line").alias("other"), F.col("m.place").alias("other_place"))
-    whole = variants.filter("at < 0").select("k1", "k2", F.col("line").alias("short"))
-    omitted = salted_join(variants.filter("at >= 0").select("k1", "k2", "line"), whole, ["k1", "k2"], ["line"]).select("line", "short").distinct()
-    omitted = cut(omitted.join(first, "line").join(first.select(F.col("line").alias("short"), F.col("place").alias("short_place")), "short"), "omitted")
-    pairs = pairs.unionByName(omitted.filter("short_place < place").select("line", F.col("short").alias("other"), F.col("short_place").alias("other_place")))
-    longest = omitted.filter("place < short_place").groupBy("short").agg(F.min(F.struct("place", "line")).alias("m"))
-    pairs = pairs.unionByName(longest.select(F.col("short").alias("line"), F.col("m.line").alias("other"), F.col("m.place").alias("other_place")))
+    less, whole = variants.filter("at >= 0"), variants.filter("at < 0").select("k1", "k2", F.col("no").alias("short"))
+    best = scratch.cut(less.groupBy("k1", "k2", "at").agg(F.min("no").alias("other"), F.count("*").alias("n")).filter("n > 1"), "crowded")
+    hot = hot_keys(best.groupBy("k1").agg(F.sum("n").alias("n")), "k1", scratch, "hot-variants")
+    pairs = hot_join(less, best.drop("n"), "k1", ["no"], hot, also=("k2", "at")).filter("other < no").select("no", "other")
+    omitted = scratch.cut(hot_join(less.select("k1", "k2", "no"), whole, "k1", ["no"], hot, also=("k2",)).select("no", "short").distinct(), "omitted")
+    pairs = pairs.unionByName(omitted.filter("short < no").select("no", F.col("short").alias("other")))
+    pairs = pairs.unionByName(omitted.filter("no < short").groupBy("short").agg(F.min("no").alias("other")).select(F.col("short").alias("no"), "other"))
     # the earliest of each line, and its edit distance on the words themselves
-    pairs = cut(pairs.groupBy("line").agg(F.min(F.struct("other_place", "other")).alias("m")).select("line", F.col("m.other").alias("other")), "line-pairs")
-    named = pairs.select("line").union(pairs.select("other")).distinct()
-    words = cut(_texts(keyed, named.join(chosen, "line")), "line-words")
-    checked = pairs.join(words.withColumnsRenamed({"line": "other", "words": "other_words"}), "other").join(words, "line")
-    gone = cut(checked.select("line", "words", "other_words").mapInArrow(_verify, "line binary"), "gone-lines")
+    pairs = scratch.cut(pairs.groupBy("no").agg(F.min("other").alias("other")), "line-pairs")
+    scratch.drop("variants", "crowded", "hot-variants", "omitted")
+    named = scratch.cut(pairs.select("no").union(pairs.select("other")).distinct().join(chosen, "no"), "named-lines")
+    words = scratch.cut(_texts(keyed, named, again), "line-words")
+    few = scratch.cut(pairs.groupBy("other").agg(F.count("*").alias("n")), "others")
+    checked = hot_join(pairs, words.withColumnsRenamed({"no": "other", "words": "other_words"}), "other", ["no"], hot_keys(few, "other", scratch, "hot-others")).join(words, "no")
+    gone = scratch.cut(checked.select("no", "words", "other_words").mapInArrow(_verify, "no long").join(chosen.select("no", "line"), "no").select("line"), "gone-lines")
+    scratch.drop("line-words", "named-lines", "line-pairs", "others", "hot-others", "chosen-lines", "repeated-texts")
     # every place of such a line but none else, and every place after the first of an equal line
-    again = distinct.filter("n > 1").select("line", "first").join(gone.select("line"), "line", "left_anti").select("line", "first")
-    marked = again.unionByName(gone.select("line", F.lit(None).cast(again.schema["first"].dataType).alias("first")))
-    out = salted_join(lines.drop("halves"), marked, ["line"], ["doc_id", "text_hash", "line_no"]).filter(F.col("first").isNull() | (place() != F.col("first")))
-    return out.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
+    marked = distinct.join(gone, "line", "left_anti").select("line", "first").unionByName(gone.select("line", F.lit(None).cast(distinct.schema["first"].dataType).alias("first")))
+    out = hot_join(lines.drop("lead"), marked, "line", ["doc_id", "text_hash", "line_no"], hot_keys(distinct, "line", scratch, "hot-lines"))
+    out = out.filter(F.col("first").isNull() | (place() != F.col("first"))).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
+    out = scratch.cut(out.mapInArrow(_flags, "doc_id long, text_hash long, flags binary, n long"), "removed")
+    scratch.drop("places", "repeated-lines", "gone-lines", "hot-lines")
+    return out
+
 
+def _holders(keyed: DataFrame, chosen: DataFrame, again: DataFrame) -> DataFrame:
+    """text, line numbers, numbers of the documents in which chosen lines are first; no other text is moved.
 
-def _holders(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """text, numbers, lines of the documents in which chosen lines are first; no other text is moved."""
-    per_doc = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("l"))
-    id_ = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no"), "text_hash"
-    return join_counted(keyed.select(*id_, "text"), per_doc.select(*id_, F.col("l.line_no").alias("numbers"), F.col("l.line").alias("lines")), ["_id", "_no", "text_hash"], "inner").select("text", "numbers", "lines")
+    Of rows with the same doc_id and text, which are in `again`, one is read.
+    """
+    id_ = F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash"
+    keys = ["id", "no_id", "text_hash"]
+    per_doc = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "no")).alias("l")).select(*id_, F.col("l.line_no").alias("numbers"), F.col("l.no").alias("lines"))
+    found = join_counted(keyed.select(*id_, "text"), per_doc, keys, "inner")
+    if not again.isEmpty():
+        again = again.select(*id_)
+        found = join_counted(found, again, keys, "left_anti").unionByName(join_counted(found, again, keys, "left_semi").dropDuplicates(keys))
+    return found.select("text", "numbers", "lines")
 
 
-def _texts(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """line, words (joined by blanks) of chosen lines."""
+def _texts(keyed: DataFrame, chosen: DataFrame, again: DataFrame) -> DataFrame:
+    """no, words (joined by blanks) of chosen lines."""
 
     def run(it):
         for b in it:
             for text, numbers, lines in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 split = (text or "").split("\n")
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array([" ".join(words_of(split[n])) for n in numbers])], names=["line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array([" ".join(words_of(split[n])) for n in numbers])], names=["no", "words"])
 
-    return _holders(keyed, chosen).mapInArrow(trimmed(_batched(run, 5000)), "line binary, words string").dropDuplicates(["line"])
+    return _holders(keyed, chosen, again).mapInArrow(trimmed(batched(run, 5000)), "no long, words string")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated lines taken out of text; n_lines and n_removed are added; a null text stays null."""
-    gone = cut(removed_lines(docs, min_words).withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_no": F.col("doc_id").isNull()}).drop("doc_id"), "removed").withColumnsRenamed({"text_hash": "_hash", "numbers": "_gone"})
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*names).withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_no": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
-    out = join_counted(keyed, gone, ["_id", "_no", "_hash"], "left")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    id_, no_id, hash_, flags, n = (private(docs, x) for x in ("id", "no_id", "text_hash", "flags", "n"))
+    key = {id_: F.coalesce(F.col("doc_id"), F.lit(0)), no_id: F.col("doc_id").isNull()}
+    gone = removed_lines(docs, scratch, min_words).withColumns(key).select(*key, F.col("text_hash").alias(hash_), F.col("flags").alias(flags), F.col("n").alias(n))
+    out = join_counted(docs.withColumns(key | {hash_: F.xxhash64("text")}), gone, [*key, hash_], "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return out.withColumns({"n_lines": F.size(split).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))}).select(*names, "n_lines", "n_removed")
+    kept = F.array_join(F.filter(split, lambda x, i: F.substr(F.col(flags), i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
+    text = F.when(F.col(flags).isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text")).alias("text")
+    taken = {c.lower() for c in docs.columns}
+    counts = [x.alias(private(docs, name) if name in taken else name) for x, name in ((F.size(split).cast("long"), "n_lines"), (F.coalesce(F.col(n), F.lit(0)), "n_removed"))]
+    return out.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns), *counts)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
