@@ -128,7 +128,7 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
 
 def size_of(df: DataFrame) -> int:
     """Bytes of all rows, counted."""
-    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    width = sum((_bytes(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in df.schema), F.lit(16))
     return df.agg(F.sum(width.cast("long"))).first()[0] or 0
 
 
@@ -139,12 +139,22 @@ def join_counted(docs: DataFrame, small: DataFrame, keys: list[str], how: str) -
 
 def private(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
-    taken, out = {c.lower() for c in df.columns}, f"_{name}"
+    return unused(df, f"_{name}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as it takes to differ from df's columns in any case."""
+    taken, out = {c.lower() for c in df.columns}, name
     while out.lower() in taken:
         out = "_" + out
     return out
 
 
+def named(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; null is the empty string."""
     return [x or "" for x in column.to_pylist()]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, batched, hot_join, hot_keys, join_counted, private, table, texts_of, trimmed
+from tessera.llm.common import Scratch, batched, hot_join, hot_keys, join_counted, named, private, table, texts_of, trimmed, unused
 
 #: Shorter lines go only as exact copies: a word is too much of them.
 MIN_WORDS = 8
@@ -163,8 +163,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     # the earliest of each line, and its edit distance on the words themselves
     pairs = scratch.cut(pairs.groupBy("no").agg(F.min("other").alias("other")), "line-pairs")
     scratch.drop("variants", "crowded", "hot-variants", "omitted")
-    named = scratch.cut(pairs.select("no").union(pairs.select("other")).distinct().join(chosen, "no"), "named-lines")
-    words = scratch.cut(_texts(keyed, named, again), "line-words")
+    both = scratch.cut(pairs.select("no").union(pairs.select("other")).distinct().join(chosen, "no"), "named-lines")
+    words = scratch.cut(_texts(keyed, both, again), "line-words")
     few = scratch.cut(pairs.groupBy("other").agg(F.count("*").alias("n")), "others")
     checked = hot_join(pairs, words.withColumnsRenamed({"no": "other", "words": "other_words"}), "other", ["no"], hot_keys(few, "other", scratch, "hot-others")).join(words, "no")
     gone = scratch.cut(checked.select("no", "words", "other_words").mapInArrow(_verify, "no long").join(chosen.select("no", "line"), "no").select("line"), "gone-lines")
@@ -215,10 +215,25 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: F.substr(F.col(flags), i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
     text = F.when(F.col(flags).isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text")).alias("text")
-    taken = {c.lower() for c in docs.columns}
-    counts = [x.alias(private(docs, name) if name in taken else name) for x, name in ((F.size(split).cast("long"), "n_lines"), (F.coalesce(F.col(n), F.lit(0)), "n_removed"))]
-    return out.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns), *counts)
+    counts = [x.alias(unused(docs, name)) for x, name in ((F.size(split).cast("long"), "n_lines"), (F.coalesce(F.col(n), F.lit(0)), "n_removed"))]
+    return out.select(*(text if c == "text" else x for c, x in zip(docs.columns, named(docs), strict=True)), *counts)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The lines' words are split at white space of ASCII here, and lower-cased by DuckDB.
+OP10_SQL = rf"""
+WITH l AS (SELECT doc_id, text, i, lines[i] AS line, list_filter(regexp_split_to_array(lower(lines[i]), '\s+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
+p AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, i) AS pl, array_to_string(w, ' ') AS k FROM l),
+f AS (SELECT k, any_value(w) AS w, min(pl) AS first FROM p WHERE len(w) > 0 GROUP BY k),
+v AS (SELECT k, first, j, array_to_string(list_concat(w[1 : j - 1], w[j + 1 : len(w)]), ' ') AS less FROM f, unnest(range(1, len(w) + 1)) AS u(j) WHERE len(w) >= {MIN_WORDS}),
+best AS (SELECT less, j, min(first) AS m FROM v GROUP BY less, j),
+gone AS (SELECT v.k FROM v JOIN best b ON v.less = b.less AND v.j = b.j WHERE b.m < v.first
+  UNION SELECT v.k FROM v JOIN f s ON s.k = v.less WHERE s.first < v.first AND len(s.w) >= {MIN_WORDS}
+  UNION SELECT s.k FROM v JOIN f s ON s.k = v.less WHERE v.first < s.first AND len(s.w) >= {MIN_WORDS}),
+marked AS (SELECT p.doc_id, p.text, p.i, p.line, len(p.w) > 0 AND (g.k IS NOT NULL OR p.pl > f.first) AS gone FROM p LEFT JOIN f ON p.k = f.k AND len(p.w) > 0 LEFT JOIN gone g ON p.k = g.k)
+SELECT doc_id, CASE WHEN count(text) > 0 THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(marked.gone, false)), '') END AS text,
+  count(*) AS n_lines, count(*) FILTER (WHERE coalesce(marked.gone, false)) AS n_removed FROM marked GROUP BY doc_id"""

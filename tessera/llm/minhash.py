@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessera.llm.common import Scratch, hot_join, hot_keys, join_counted, private, slices, table, texts_of, trimmed
+from tessera.llm.common import Scratch, hot_join, hot_keys, join_counted, named, private, slices, table, texts_of, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
@@ -389,25 +389,40 @@ def _rooted(docs: DataFrame, threshold: float, bands: int, rows: int, scratch: S
     scratch.drop("sets", "unsure", "prefix-pairs")
     links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     roots = (groups if found.isEmpty() else components(links, scratch, "all")).withColumnRenamed("node", "no")
-    named = ids.join(roots, "no", "left").select("node", "doc_id", "n", F.coalesce("root", "no").alias("root"))
-    return signed, scratch.cut(named, "roots")
+    rooted = ids.join(roots, "no", "left").select("node", "doc_id", "n", F.coalesce("root", "no").alias("root"))
+    return signed, scratch.cut(rooted, "roots")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node (hash of the words), class_id of every document."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    signed, named = _rooted(docs, threshold, bands, rows, scratch)
+    signed, rooted = _rooted(docs, threshold, bands, rows, scratch)
     # a class is named by its least doc_id, by partial minima
-    names = scratch.cut(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "names")
+    names = scratch.cut(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "names")
     hot = hot_keys(names, "root", scratch, "hot-classes")
-    named = scratch.cut(hot_join(named, names.drop("n"), "root", ["node"], hot).select("node", "class_id", "n"), "classes")
-    return hot_join(signed, named.drop("n"), "node", ["doc_id"], hot_keys(named, "node", scratch, "hot-nodes"))
+    classed = scratch.cut(hot_join(rooted, names.drop("n"), "root", ["node"], hot).select("node", "class_id", "n"), "classes")
+    return hot_join(signed, classed.drop("n"), "node", ["doc_id"], hot_keys(classed, "node", scratch, "hot-nodes"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+#: All pairs that share a shingle, and their closure: for small tables. Words are split at white space of ASCII and lower-cased by DuckDB.
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE ' ' || text END AS node FROM d),
+u AS (SELECT row_number() OVER () AS id, * FROM (SELECT node, any_value(w) AS w, min(doc_id) AS least FROM n GROUP BY node)),
+s AS (SELECT id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g, count(*) AS k FROM u, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) AS r(i) WHERE len(w) > 0 GROUP BY ALL),
+z AS (SELECT id, sum(k) AS z FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.k, b.k)) AS m FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE CAST(m AS DOUBLE) / (x.z + y.z - m) >= {THRESHOLD}),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT id, id AS other FROM u UNION SELECT r.id, l.b FROM reach r JOIN l ON r.other = l.a),
+c AS (SELECT r.id, min(v.least) AS class_id FROM reach r JOIN u v ON v.id = r.other GROUP BY r.id)
+SELECT n.doc_id, c.class_id, n.doc_id = c.class_id AS kept FROM n JOIN u USING (node) JOIN c USING (id)"""
+
+
 def _noded(at: int, name: str):
     def run(it):
         for b in it:
@@ -420,18 +435,18 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without near-duplicates: one row a class, the one of its least doc_id (of texts with that id, the one of the
     least node); rows without id stay."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    signed, named = _rooted(docs, threshold, BANDS, ROWS, scratch)
+    signed, rooted = _rooted(docs, threshold, BANDS, ROWS, scratch)
     # a doc_id may be first in several classes, by texts of its own in each
     node = private(docs, "node")
-    first = scratch.cut(named.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias(node)), "representatives")
+    first = scratch.cut(rooted.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias(node)), "representatives")
     ids = scratch.cut(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "doc-ids")
     gone = scratch.cut(ids.join(first.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "near-copies")
-    kept = join_counted(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    kept = join_counted(docs, gone, ["doc_id"], "left_anti").select(*named(docs))
     several = ids.filter("n > 1").select("doc_id")
     if several.isEmpty():
         return kept
     # only rows that share their id need to be told apart by their texts
-    rows = join_counted(kept, several, ["doc_id"], "left_semi").select(*docs.columns)
+    rows = join_counted(kept, several, ["doc_id"], "left_semi").select(*named(docs))
     rows = rows.mapInArrow(trimmed(_noded(docs.columns.index("text"), node)), StructType([*rows.schema.fields, StructField(node, BinaryType())]))
     rows = join_counted(rows, first, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
-    return join_counted(kept, several, ["doc_id"], "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))
+    return join_counted(kept, several, ["doc_id"], "left_anti").select(*named(docs)).unionByName(rows.select(*named(docs)))
