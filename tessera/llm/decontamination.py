@@ -9,7 +9,7 @@ are then compared one by one. A word inside any occurrence of any window is hit.
 The index over the items is broadcast; items come in blocks of BLOCK_WORDS words, so a larger benchmark takes
 further passes instead of a larger broadcast.
 
-Defined results: a null text has no words; equal items are all counted; documents with equal or null doc_id are
+Defined results: a null text has no words; equal items are all counted; an item without an id hits words, but isn't among n_items; documents with equal or null doc_id are
 judged each on its own; an empty benchmark gives no hits; an empty table no rows; further columns are ignored.
 """
 
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, cut, slices, table, trimmed
+from tessera.llm.common import Scratch, batches, cut, join_counted, named, private, slices, table, trimmed
 
 WINDOW, SHINGLE = 13, 3
 #: Item words of one block: what is broadcast at once is at most some 40 MB.
@@ -57,7 +58,7 @@ class Index:
             for i in range(max(0, len(ids) - window) + 1 if ids else 0):
                 found[tuple(ids[i : i + window])].add(item)
         self.base = len(self.vocab) + 1
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
+        self.windows, self.items = list(found), [sorted(x - {None}) for x in found.values()]
         self.shingles = {g: np.unique(np.array([self._key(w[o : o + g]) for w in self.windows if min(len(w), shingle) == g for o in range(len(w) - g + 1)], np.int64)) for g in range(1, shingle + 1)}
 
     def _key(self, ids) -> int:
@@ -164,7 +165,7 @@ def _digest(part: pa.RecordBatch) -> pa.RecordBatch:
 def _blocks(benchmark: DataFrame, block_words: int):
     """Blocks of items; the driver holds two at most."""
     block, n = [], 0
-    for r in benchmark.select("item_id", "text").filter("item_id is not null").toLocalIterator():
+    for r in benchmark.select("item_id", "text").toLocalIterator():
         ws = words((r[1] or "").encode())
         if block and n + len(ws) > block_words:
             yield block
@@ -178,6 +179,7 @@ def _blocks(benchmark: DataFrame, block_words: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row_no (xxhash64 of the text)."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "decontamination")
     texts_ = docs.select("doc_id", "text", F.xxhash64("text").alias("row_no"))
     found, blocks = [], _blocks(benchmark, block_words)
     block, more = next(blocks, []), next(blocks, None)
@@ -190,25 +192,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
             # at most one row a shingle of the block comes to the driver
             for g, no, n in docs.select("text").mapInArrow(trimmed(_count(shared)), "g int, no long, n long").groupBy("g", "no").agg(F.sum("n")).collect():
                 counts[g][no] = n
+            shared.destroy()
         index.choose(counts)
-        found.append(texts_.mapInArrow(trimmed(_find(spark.sparkContext.broadcast(index), single)), DIGEST if single else SCHEMA))
+        shared = spark.sparkContext.broadcast(index)
+        hits = texts_.mapInArrow(trimmed(_find(shared, single)), DIGEST if single else SCHEMA)
+        if single:
+            return hits
+        # of further blocks only rows with hits are kept; the broadcast goes as soon as they are written
+        first = F.lit(not found)
+        found.append(scratch.cut(hits.filter(first | (F.size("hits") > 0)).withColumn("first", first.cast("int")), f"hits-{len(found)}"))
+        shared.destroy()
         block, more = more, next(blocks, None)
-    if single:
-        return found[0]
     # rows with the same id and text have the same hits, so they may be joined as one and counted
-    every = cut(_union(found), "hits")
-    one = every.groupBy("doc_id", "row_no", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
+    one = reduce(DataFrame.unionByName, found).groupBy("doc_id", "row_no", "n_words").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("first").cast("int").alias("copies"))
     one = one.select("doc_id", "n_words", "hits", "items", "row_no", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
     return one.mapInArrow(batches(_digest), DIGEST)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_no")
 
@@ -216,7 +216,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP8_SQL = f"""
-WITH items AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+WITH items AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, least(n, {WINDOW}) AS len, array_to_string(w[i : i + least(n, {WINDOW}) - 1], ' ') AS win
   FROM items, unnest(range(1, n - least(n, {WINDOW}) + 2)) AS u(i)),
 docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
@@ -225,17 +225,15 @@ spots AS (SELECT doc_id, p, len, array_to_string(w[p : p + len - 1], ' ') AS win
 found AS (SELECT s.doc_id, s.p, s.len, x.item_id FROM spots s JOIN windows x ON s.len = x.len AND s.win = x.win),
 hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, len FROM found), unnest(range(p, p + len)) AS u(q) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
   coalesce(m.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)"""
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; all columns are kept."""
-    from tessera.llm.common import join_counted
-
-    key = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no")
-    bad = cut(contamination(docs, benchmark).filter("contaminated").select(*key, F.col("row_no").alias("_hash")).distinct(), "contaminated")
-    keyed = docs.withColumns({"_id": key[0], "_no": key[1], "_hash": F.xxhash64("text")})
-    return join_counted(keyed, bad, ["_id", "_no", "_hash"], "left_anti").select(*docs.columns)
+    """docs without the contaminated rows; all columns are kept as they are."""
+    id_, no_id, hash_ = keys = [private(docs, x) for x in ("id", "no_id", "text_hash")]
+    key = {id_: F.coalesce(F.col("doc_id"), F.lit(0)), no_id: F.col("doc_id").isNull()}
+    bad = cut(contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").withColumns(key).select(id_, no_id, F.col("row_no").alias(hash_)).distinct(), "contaminated")
+    return join_counted(docs.withColumns(key | {hash_: F.xxhash64("text")}), bad, keys, "left_anti").select(*named(docs))
