@@ -10,7 +10,8 @@ is the share of toxic rows among all labelled rows of the training folds. Every
 
 Defined results: null and empty texts get the score of a text without known words; documents with equal doc_id
 are scored each on its own; a null doc_id counts as held out; several labels of a document are one, toxic if any
-is; without positives every score is 0; an empty table gives no rows; further columns are ignored.
+is; without positives every score is 0; an empty table gives no rows; further columns are
+kept and never read, those named like the added ones too.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import table, texts_of, trimmed
+from tessera.llm.common import named, table, texts_of, trimmed, unused
 
 FOLDS = 5
 #: Bounds of the training sample, in rows, and of the features.
@@ -170,22 +172,19 @@ def model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """docs with held_out, score and predicted added; other columns are kept."""
+    """docs with held_out, score and predicted added, under names with further _ where docs has such columns; all columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    at = [i for i, c in enumerate(docs.columns) if c == "doc_id"][0], [i for i, c in enumerate(docs.columns) if c == "text"][0]
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    keep = [docs.columns.index(c) for c in names]
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+    added = [unused(docs, c) for c in ("held_out", "score", "predicted")]
 
     def run(it):
         scorer = Scorer(shared.value)
         for b in it:
             s = [1 / (1 + math.exp(-max(-700.0, min(700.0, scorer.logit(t))))) for t in texts_of(b.column(at[1]))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array([held_out(i) for i in b.column(at[0]).to_pylist()]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([held_out(i) for i in b.column(at[0]).to_pylist()], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*b.schema.names, *added])
 
-    from pyspark.sql import types as T
-
-    fields = [docs.schema[c] for c in names] + [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return docs.mapInArrow(trimmed(run), T.StructType(fields))
+    fields = [T.StructField(c, t) for c, t in zip(added, (T.BooleanType(), T.DoubleType(), T.IntegerType()), strict=True)]
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,5 +193,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; all columns are kept."""
-    return score(docs, model(docs, labels)).filter("predicted = 0").select(*docs.columns)
+    """docs without those predicted toxic; all columns are kept as they are."""
+    return score(docs, model(docs, labels)).filter(F.col(unused(docs, "predicted")) == 0).select(*named(docs))
