@@ -7,10 +7,12 @@ kept. Both kinds of potential are trained together, by the likelihood's gradient
 labelled pages: `training_pages` makes them from a fixed seed, with menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments around and within articles.
 
-Scripts, styles and the like never hold text. Character references are decoded; white space in a block, <br>
+Scripts, styles and form controls never hold text; one that isn't closed ends at the page's end where browsers take it so (scripts,
+styles, titles, text fields), else it counts nothing. Pages are read in linear time, however torn their tags are. Character references are decoded; white space in a block, <br>
 included, is one blank; blocks are joined by an empty line.
 
 Defined results: a null or empty html gives an empty text; unclosed or stray tags are mended as browsers do for blocks;
+tags cut off by the page's end are dropped;
 rows with equal page_id are extracted each on its own; an empty table gives no rows; further columns are ignored.
 """
 
@@ -28,106 +30,179 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 
-#: Fixed values of HTML: elements without content, elements whose content isn't text, and inline elements.
+#: Fixed values of HTML: elements without content; elements whose content isn't parsed; controls and the like, which never are
+#: an article's text; block elements (all others are inline), and among them those that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object title head select button canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: An open element of the first kind ends where one of the second begins.
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+CONTROLS = frozenset("button datalist select template".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
+BLOCK = CLOSES_P | frozenset("body caption colgroup frameset html legend optgroup option tbody td tfoot th thead tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element of the first kind ends the nearest open one of the second kind, unless one of the third kind is nearer.
+LISTS, CELLS = BLOCK - {"address", "div", "p"}, frozenset(["table"])
+ENDS = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, LISTS), "dd": ({"dt", "dd"}, LISTS), "td": ({"td", "th"}, CELLS), "th": ({"td", "th"}, CELLS), "tr": ({"tr"}, CELLS)}
+ENDS |= {k: ({"thead", "tbody", "tfoot"}, CELLS) for k in ("thead", "tbody", "tfoot")}
+TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^"'>=]|=\s*+(?:"[^"]*"|'[^']*'|)|["'])*+)>""")
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | CONTROLS | {"noscript"}}
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s]++)))?""")
 WORD = re.compile(r"[a-z]{2,}")
+#: Quoted values that never end make a tag end at the next >; so often is that looked for on a page, then quotes count nothing.
+RETRIES = 32
+#: So far up is looked for an element that another one ends; inline elements with names of their own are nodes to this depth.
+DEPTH, INLINE_DEPTH = 512, 256
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "letters", "linked", "parent", "tag", "texts")
+    __slots__ = ("attrs", "letters", "linked", "parent", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: int):
-        self.tag, self.attrs, self.parent, self.kids, self.letters, self.linked, self.texts = tag, attrs, parent, [], 0, 0, 0
+        self.tag, self.attrs, self.parent, self.letters, self.linked = tag, attrs, parent, 0, 0
+
+
+def attributes(attrs: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def tokens(page: str, unparsed: frozenset[str] = RAW | CONTROLS):
+    """(None, text, "") for text, (name, "/" or "", attributes) for tags, (name, "=", content) for whole elements whose content
+    isn't parsed; comments are passed over. Linear."""
+    at, size, retries, unended, last = 0, len(page), RETRIES, set(), page.rfind(">")
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            i = size
+        if i > at:
+            yield None, page[at:i], ""
+        if i == size:
+            return
+        if page.startswith("<!--", i):  # a comment ends at the page's end if it isn't closed
+            j = i + 4 if page.startswith((">", "->"), i + 4) else page.find("-->", i + 4)
+            at = size if j < 0 else page.index(">", j) + 1
+            continue
+        mark = page[i + 1 : i + 3]
+        if mark[:1] in ("!", "?") or mark[:1] == "/" and not (mark[1:].isascii() and mark[1:].isalpha()):
+            at = size if i > last else page.index(">", i) + 1
+            continue
+        if not (mark[:1] == "/" or mark[:1].isascii() and mark[:1].isalpha()):
+            yield None, "<", ""
+            at = i + 1
+            continue
+        if i > last:  # a tag that the page's end cuts off
+            return
+        m = TAG.match(page, i) if retries else None
+        if m:
+            name, attrs, at = m[1].lower(), m[2], m.end()
+        else:
+            retries -= retries > 0
+            at = page.index(">", i) + 1
+            name, _, attrs = page[i + 1 + (mark[0] == "/") : at - 1].replace("/", " ").partition(" ")
+            name = name.split()[0].lower()
+        close = mark[0] == "/"
+        if not close and name in unparsed and name not in unended:
+            end = END[name].search(page, at)
+            if end:
+                yield name, "=", page[at : end.start()]
+                at = end.end()
+                continue
+            unended.add(name)
+            if name in RAW and not attrs.rstrip().endswith("/"):
+                return  # as in browsers, the rest of the page belongs to it
+        yield name, "/" if close else "", attrs
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
-    """Block nodes in page order (a parent before its children), and the blocks of text: (node, parts)."""
-    nodes, blocks, stack, part = [Node("html", "", -1)], [], [0], []
-    links = 0
+def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
+    """Nodes in page order (a parent before its children), and the blocks of text, as parts (node, text)."""
+    nodes, stack, opened, blocks, part = [Node("html", "", -1)], [0], {}, [], []
+    link = False
 
     def flush():
-        nonlocal part
+        nonlocal part, link
+        link = False
         if part:
-            blocks.append((stack[-1], part))
+            blocks.append(part)
             part = []
 
-    skip = None
-    ends = None
-    for m in TOKEN.finditer(page):
-        if skip and m.start() < ends:
-            continue
-        skip = None
-        close, tag, attrs, text = m[1], m[2], m[3], m[4]
-        if text is not None:
-            part.append(text)
-            node = nodes[stack[-1]]
-            n = len(text.strip())
+    def pop(depth):
+        for i in stack[depth:]:
+            opened[nodes[i].tag] -= 1
+        del stack[depth:]
+
+    def push(tag, attrs):
+        nodes.append(Node(tag, attrs, stack[-1]))
+        stack.append(len(nodes) - 1)
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def nearest(wanted, stops, within=DEPTH):
+        """The depth of the nearest open element that is wanted, if no stop is nearer; else 0."""
+        for depth in range(len(stack) - 1, max(0, len(stack) - 1 - within), -1):
+            tag = nodes[stack[depth]].tag
+            if tag in wanted:
+                return depth
+            if tag in stops:
+                return 0
+        return 0
+
+    for name, mark, attrs in tokens(page):
+        if name is None:
+            part.append((stack[-1], mark))
+            node, n = nodes[stack[-1]], len(mark.strip())
             node.letters += n
-            node.linked += n if links else 0
-            continue
-        if tag is None:
+            node.linked += n if link else 0
+        elif mark == "=":
             continue
-        tag = tag.lower()
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if close else 1
-            elif tag == "br":
-                part.append(" ")
-            continue
-        if close:
-            if tag == "p" and not any(nodes[i].tag == "p" for i in stack):
+        elif name == "br":
+            part.append((stack[-1], " "))
+        elif name == "a":
+            link = not mark
+        elif name in VOID:
+            if name == "hr":
                 flush()
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    flush()
-                    links = 0
-                    del stack[depth:]
-                    break
-            continue
-        if tag in RAW and not attrs.endswith("/"):
-            # the element's content is passed over as far as its end tag
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, m.end())
-            if end or tag not in ("head", "button", "select", "object"):
-                skip, ends = tag, end.end() if end else len(page)
-            continue
-        if tag in VOID:
-            if tag == "hr":
+        elif name in ("html", "body", "head"):
+            flush()
+        elif name not in BLOCK:  # inline: a node only if it has names
+            if mark:
+                if opened.get(name) and (depth := nearest({name}, BLOCK)):
+                    pop(depth)
+            elif ("-" in name or "=" in attrs and names_of(attrs)) and (len(stack) < INLINE_DEPTH or nodes[stack[-INLINE_DEPTH]].tag in BLOCK):
+                push(name, attrs)
+        elif mark:
+            if opened.get(name):
                 flush()
-            continue
-        flush()
-        links = 0
-        if tag in ("html", "body"):
-            continue
-        if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-            stack.pop()
-        elif tag in SIBLINGS and nodes[stack[-1]].tag in SIBLINGS[tag]:
-            stack.pop()
-            if tag == "tr" and nodes[stack[-1]].tag == "tr":
-                stack.pop()
-        nodes.append(Node(tag, attrs, stack[-1]))
-        nodes[stack[-1]].kids.append(len(nodes) - 1)
-        stack.append(len(nodes) - 1)
+                pop(nearest({name}, (), len(stack)))
+            elif name == "p":
+                flush()
+        else:
+            flush()
+            if name in CLOSES_P and opened.get("p") and (depth := nearest({"p"}, BLOCK)):
+                pop(depth)
+            if name in HEADINGS and nodes[stack[-1]].tag in HEADINGS:
+                pop(len(stack) - 1)
+            elif name in ENDS and any(opened.get(t) for t in ENDS[name][0]) and (depth := nearest(*ENDS[name])):
+                pop(depth)
+            push(name, attrs)
     flush()
     return nodes, blocks
 
 
-@functools.lru_cache(4096)
 def names_of(attrs: str) -> tuple[str, ...]:
     """Words of an element's class, id and role."""
-    return tuple(sorted({f"name:{w}" for x in NAMED.findall(attrs) for w in WORD.findall(" ".join(x).lower())})) if attrs.strip() else ()
+    return _names(attrs) if len(attrs) < 500 else _names.__wrapped__(attrs)
+
+
+@functools.lru_cache(4096)
+def _names(attrs: str) -> tuple[str, ...]:
+    found = attributes(attrs)
+    return tuple(sorted({f"name:{w}" for k in ("class", "id", "role") if k in found for w in WORD.findall(found[k].lower())}))
 
 
 def features(node: Node, total: int, linked: int, items: int) -> list[str]:
     """total, linked, items: letters, letters in links and nodes of the subtree."""
-    out = ["bias", f"tag:{node.tag}", f"size:{min(5, int(math.log10(total + 1) * 2))}", *names_of(node.attrs)]
+    names = names_of(node.attrs) + names_of(f'class="{node.tag}"') if "-" in node.tag else names_of(node.attrs)
+    out = ["bias", f"tag:{node.tag}", f"size:{min(5, int(math.log10(total + 1) * 2))}", *names]
     if total:
         out.append(f"links:{min(3, int(4 * linked / total))}")
     if node.letters:
@@ -178,12 +253,14 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeioulnrstbcdfgm") for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    par = lambda: f"<p>{words(1, 12) if r.random() < 0.35 else words(4, 90)}{'.' * r.randint(0, 1)}</p>" if r.random() < 0.85 else f"<p>{words(2, 20)} <a href='/x'>{words(1, 4)}</a> {words(2, 20)}</p>"
+    span = lambda: f'<span class="{r.choice("sponsored ad promo advert".split())}" data-out>{words(1, 6)}</span>' if r.random() < 0.3 else f'<span class="{r.choice(("term", "highlight", "lead", word(), word()))}">{words(1, 6)}</span>'
+    par = lambda: f"<p>{words(2, 20)} {span()} {words(0, 20)}</p>" if r.random() < 0.08 else f"<p>{words(1, 12) if r.random() < 0.35 else words(4, 90)}{'.' * r.randint(0, 1)}</p>" if r.random() < 0.85 else f"<p>{words(2, 20)} <a href='/x'>{words(1, 4)}</a> {words(2, 20)}</p>"
     links = lambda a, b: "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(r.randint(a, b))) + "</ul>"
 
     def out(tags, names, body):
-        tag, name = r.choice(tags.split()), r.choice(names.split())
-        named = f' {r.choice(["class", "id"])}="{name}"' if tag in ("div", "section", "ul") or r.random() < 0.4 else ""
+        # some names are new to the model, some are missing: what the element holds must tell then
+        tag, name = r.choice(tags.split()), r.choice(names.split()) if r.random() < 0.75 else word()
+        named = f' {r.choice(["class", "id"])}="{name}"' if r.random() < (0.9 if tag in ("div", "section", "ul") else 0.4) else ""
         return f"<{tag}{named} data-out>{body}</{tag}>"
 
     def around():
@@ -207,7 +284,7 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
             x = r.random()
             body += par() if x < 0.75 else f"<h2>{words(1, 6)}</h2>" if x < 0.83 else f"<ul>{''.join(f'<li>{words(2, 15)}</li>' for _ in range(r.randint(2, 6)))}</ul>" if x < 0.88 else f"<blockquote>{par()}</blockquote>" if x < 0.91 else f"<pre>{words(3, 20)}</pre>" if x < 0.93 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if x < 0.95 else f"<figure><figcaption>{words(3, 12)}</figcaption></figure>" if x < 0.97 else around()
         tag = r.choice(["article"] * 5 + ["main", "div", "section"])
-        name = f' class="{r.choice("content post article entry story body text main post-content article-body entry-content".split())}"' if tag in ("div", "section") or r.random() < 0.3 else ""
+        name = f' class="{r.choice((*"content post article entry story body text main post-content article-body entry-content".split(), word(), word()))}"' if tag in ("div", "section") or r.random() < 0.3 else ""
         return f"<{tag}{name}>{body}</{tag}>"
 
     return ["<html><body>" + "".join(around() for _ in range(r.randint(1, 5))) + (article() if r.random() < 0.7 else f"<div class='{r.choice('container wrapper page layout content'.split())}'>{around() if r.random() < 0.3 else ''}{article()}{around() if r.random() < 0.5 else ''}</div>") + "".join(around() for _ in range(r.randint(1, 4))) + "</body></html>" for _ in range(n)]
@@ -256,10 +333,12 @@ def train(pages: list[str]) -> TreeModel:
 
 def extract(page: str, model: TreeModel) -> str:
     nodes, blocks = parse(page)
-    content = model.marginals(nodes)
+    content = [m >= 0.5 for m in model.marginals(nodes)]
     out = []
-    for node, parts in blocks:
-        if content[node] >= 0.5 and (text := " ".join(html.unescape("".join(parts)).split())):
+    for parts in blocks:
+        # references end with their part: a tag between two characters keeps them apart
+        text = "".join([html.unescape(t) if "&" in t else t for node, t in parts if content[node]])
+        if text := " ".join(text.split()):
             out.append(text)
     return "\n\n".join(out)
 
