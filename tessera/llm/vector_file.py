@@ -1,15 +1,16 @@
 """Exact top-k search (operator 6): vector-approximation files.
 
-Vectors become integers floor(256 * x). Rows are gathered into blocks; queries too. A task takes one block of
-queries and one of candidates: it quantises each dimension of the candidates into 256 cells, bounds every score from
-the cells alone, then reads exact vectors in the order of these bounds until the k-th score can't be beaten. The
-k best of each task are merged by query.
+Vectors become integers floor(256 * x), a table of their own. From it a second one is made, the vector-approximation file: blocks of
+candidates with a byte for each dimension, which names the cell (of 256 between the block's least and greatest value) that holds the value.
+A scan of the cells alone bounds every score of a block of queries from below and above; a candidate survives if fewer than k
+others are surely better. Survivors' exact vectors are read in the order of their upper bounds: first AHEAD * k for each
+query, then those that the k-th score so found can't rule out.
 
-Blocks of queries and of candidates meet by an equality of block numbers, so what a task holds is bounded, and
-no table is broadcast.
+Queries are broadcast only if they were counted at no more bytes than common.BROADCAST_BYTES; else blocks of queries
+meet groups of GROUP blocks of candidates by an equality of numbers. What a task holds is bounded either way.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null
-vec_id; vectors of different lengths aren't compared; a query leaves out its own row alone, so a repeated
+Defined results: vectors that are null, or hold null or non-finite components (or such as 256 times them are not finite), take no part, nor
+do rows with a null vec_id; vectors of different lengths aren't compared; a query leaves out its own row alone, so a repeated
 row is found by its copies; ties go to the smaller vec_id; scores beyond 64 bits are held at the limits; fewer
 candidates than k give fewer rows; an empty table gives none; further columns are ignored.
 """
@@ -17,24 +18,51 @@ candidates than k give fewer rows; an empty table gives none; further columns ar
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import BROADCAST_BYTES, Scratch, join_counted, size_of, slices, table, trimmed
 
 K, EVERY = 5, 50
-#: Vectors of a block: of candidates, of queries.
-CANDIDATES, QUERIES = 8192, 2048
+#: Vectors of a block: of candidates, of queries; blocks of candidates that meet a block of queries in one place.
+CANDIDATES, QUERIES, GROUP = 8192, 4096, 64
 CELLS = 256
+#: Exact vectors read for a query before its k-th score is known: so many times k.
+AHEAD = 2
+TOP, LOW = 2**63 - 1, -(2**63)
 
-BLOCK = "dim int, block long, ids binary, vectors binary, wide boolean"
+EXACT = "no long, vec_id long, dim int, vector binary"
+FILE = "dim int, block long, nos binary, cells binary, low binary, width binary"
+BLOCK = "dim int, q_block long, q_nos binary, queries binary"
 
 
-def _gather(most: int):
-    """Rows (vec_id, embedding as doubles) of a partition into blocks by dimension."""
+def _exact(it):
+    """Vectors as integers: int64 where they are below 2^31, else doubles (then their bytes are one more)."""
+    for b in it:
+        out, dims = [], []
+        for v in b.column(2).to_pylist():
+            x = np.floor(256 * np.array(v, np.float64))
+            out.append(x.astype("<i4").tobytes() if not x.size or np.abs(x).max() < 2**31 else x.astype("<f8").tobytes() + b"w")
+            dims.append(len(x))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["no", "vec_id", "dim", "vector"])
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    """The doubles of a vector; what is below 2^53 is exact, and beyond that it was a double before."""
+    return np.frombuffer(raw[:-1], "<f8") if len(raw) % 4 else np.frombuffer(raw, "<i4").astype(np.float64)
+
+
+def approximate(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the rows of x, and the low end and the width of each dimension's cells."""
+    low, high = (x.min(0), x.max(0)) if x.size else (np.zeros(x.shape[1]), np.zeros(x.shape[1]))
+    width = (high - low + 1) / cells
+    return np.clip((x - low) // width, 0, cells - 1).astype(np.uint8), low, width
+
+
+def _gather(most: int, out_block):
+    """Rows (no, dim, vector) of a partition into blocks by dimension."""
 
     def run(it):
         from pyspark import TaskContext
@@ -43,104 +71,118 @@ def _gather(most: int):
 
         def out(dim):
             nonlocal n
-            ids, vecs = zip(*held.pop(dim), strict=True)
-            x = np.floor(256 * np.array(vecs, np.float64).reshape(len(ids), dim))
-            wide = bool(x.size and np.abs(x).max() >= 2**20)
+            nos, raw = zip(*held.pop(dim), strict=True)
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([(part << 32) + n], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([x.tobytes() if wide else x.astype(np.int32).tobytes()]), pa.array([wide])], names=["dim", "block", "ids", "vectors", "wide"])
+            return out_block(dim, (part << 32) + n, np.array(nos, np.int64), np.array([numbers(r) for r in raw]).reshape(len(nos), dim))
 
-        for b in it:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= most:
-                    yield out(len(v))
+        for b in slices(it, 4096):
+            for no, dim, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                held.setdefault(dim, []).append((no, raw))
+                if len(held[dim]) >= most:
+                    yield out(dim)
         for dim in list(held):
             yield out(dim)
 
     return run
 
 
-def _vectors(raw: bytes, wide: bool, dim: int, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float64 if wide else np.int32).astype(np.float64).reshape(n, dim)
+def _file_block(dim, block, nos, x):
+    cell, low, width = approximate(x)
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([nos.tobytes()]), pa.array([cell.tobytes()]), pa.array([low.tobytes()]), pa.array([width.tobytes()])], names=["dim", "block", "nos", "cells", "low", "width"])
 
 
-def _exact(x: np.ndarray, q: np.ndarray, plain: bool) -> np.ndarray:
-    """Integer inner products; beyond what doubles hold exactly, by Python's integers."""
-    if plain:
-        return (x @ q).astype(np.int64)
-    top, low = 2**63 - 1, -(2**63)
-    return np.array([max(low, min(top, sum(int(a) * int(b) for a, b in zip(r, q, strict=True)))) for r in x], np.int64)
+def _query_block(dim, block, nos, x):
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([nos.tobytes()]), pa.array([x.tobytes()])], names=["dim", "q_block", "q_nos", "queries"])
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, cells: int = CELLS):
-    """For each query the k best rows of the block (its own row among them, if it is there) as (row numbers, scores).
+def survivors(q_nos, q, nos, cell, low, width, k: int):
+    """For each query (row number, rows of the block, lower bounds, upper bounds) of candidates that may be among its k best.
 
-    k is one more than asked for, as the query's own row is taken out later.
+    Bounds allow for the rounding of sums of doubles.
     """
-    n, dim = c.shape
-    low, high = (c.min(0), c.max(0)) if n and dim else (np.zeros(dim), np.zeros(dim))
-    width = (high - low + 1) / cells
-    cell = np.minimum((c - low) // width, cells - 1).astype(np.uint8)  # the vector-approximation file
     middle = low + (cell + 0.5) * width
-    slack = np.abs(q) @ (width / 2)
-    plain = not dim or float(np.abs(q).max(initial=0)) * max(abs(low).max(initial=0), abs(high).max(initial=0)) * dim < 2**52
-    if not plain:
-        slack = slack * (1 + 1e-6) + np.abs(q).sum(1) * np.maximum(abs(low), abs(high)).max(initial=0) * 1e-12 + 1
+    reach = np.maximum(np.abs(low), np.abs(low + CELLS * width))
+    slack = np.abs(q) @ (width / 2) * (1 + 1e-9) + np.abs(q) @ reach * 1e-12 + 1
     bound = q @ middle.T
-    for i in range(len(q)):
-        upper, m = bound[i] + slack[i] + 1e-6 * abs(slack[i]) + 1e-3, min(n, max(4 * k, 32))
-        seen = np.zeros(0, np.int64)
-        score = np.zeros(0, np.int64)
-        while True:
-            part = np.argpartition(-upper, m - 1)[:m] if m < n else np.arange(n)
-            fresh = np.setdiff1d(part, seen, assume_unique=True)
-            seen, score = np.concatenate([seen, fresh]), np.concatenate([score, _exact(c[fresh], q[i], plain)])
-            if m == n:
-                break
-            kth = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-            left = upper[part].min()  # no row that is still unread has a higher bound
-            if kth > left:
-                break
-            m = min(n, 4 * m)
-        best = np.lexsort((cid[seen], ~score))[:k]
-        yield seen[best], score[best]
-
-
-def _search(k: int):
+    own = dict(zip(nos.tolist(), range(len(nos)), strict=True))
+    for i, no in enumerate(q_nos.tolist()):
+        row = bound[i]
+        if no in own:
+            row[own[no]] = -np.inf  # a query isn't its own candidate
+        lower, upper = np.clip(row - slack[i], LOW, TOP), np.clip(row + slack[i], LOW, TOP)
+        kth = np.partition(lower, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+        at = np.flatnonzero((upper >= kth) & (row > -np.inf))
+        yield no, at, lower[at], upper[at]
+
+
+def _scan(k: int):
     def run(it):
         for b in it:
             for r in b.to_pylist():
-                dim = r["dim"]
-                qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = _vectors(r["q_vectors"], r["q_wide"], dim, len(qid)), _vectors(r["vectors"], r["wide"], dim, len(cid))
-                own, out = [int(x) for x in (q * q).sum(1)] if float(np.abs(q).max(initial=0)) ** 2 * max(dim, 1) < 2**52 else [max(-(2**63), min(2**63 - 1, sum(int(a) ** 2 for a in x))) for x in q], []
-                for i, (rows, scores) in enumerate(search_block(qid, q, cid, c, k + 1)):
-                    out.append(pd.DataFrame({"query_id": qid[i], "q_no": (r["q_block"] << 20) + i, "vec_id": cid[rows], "score": scores, "own": own[i]}))
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+                dim, nos, q_nos = r["dim"], np.frombuffer(r["nos"], np.int64), np.frombuffer(r["q_nos"], np.int64)
+                q, cell = np.frombuffer(r["queries"]).reshape(len(q_nos), dim), np.frombuffer(r["cells"], np.uint8).reshape(len(nos), dim)
+                found = list(survivors(q_nos, q, nos, cell, np.frombuffer(r["low"]), np.frombuffer(r["width"]), k))
+                sizes = [len(at) for _, at, *_ in found]
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_nos, sizes)), pa.array(nos[np.concatenate([at for _, at, *_ in found])]), pa.array(np.concatenate([x for *_, x, _ in found])), pa.array(np.concatenate([x for *_, x in found]))], names=["q_no", "no", "lower", "upper"])
 
     return run
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> int:
+    """The integer inner product, held at the limits of 64 bits."""
+    if not a.size or np.abs(a).max() * np.abs(b).max() * a.size < 2**53:
+        return int(a @ b)
+    return max(LOW, min(TOP, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
+
+
+def _score(it):
+    for b in slices(it):
+        scores = [inner(numbers(x), numbers(y)) for x, y in zip(b.column("q_vector").to_pylist(), b.column("vector").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("q_no"), b.column("query_id"), b.column("no"), b.column("vec_id"), pa.array(scores, pa.int64())], names=["q_no", "query_id", "no", "vec_id", "score"])
+
+
+def _scored(pairs: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame:
+    """Exact scores of pairs (q_no, no), which are written; only their vectors are moved."""
+    read = join_counted(exact.select("no", "vec_id", "vector"), pairs.select("q_no", "no"), ["no"], "inner")
+    return read.join(queries, "q_no").select("q_no", "query_id", "no", "vec_id", "q_vector", "vector").mapInArrow(trimmed(_score), "q_no long, query_id long, no long, vec_id long, score long")
+
+
+def _meet(file: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every block of candidates with every block of queries of its dimension."""
+    if size_of(blocks) <= BROADCAST_BYTES:
+        return file.join(F.broadcast(blocks), "dim")
+    groups = max(1, -(-file.count() // GROUP))
+    grouped = file.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    named = grouped.select("dim", "group").distinct().join(blocks.select("dim", "q_block"), "dim")  # numbers only
+    held = named.join(blocks, ["dim", "q_block"])
+    return grouped.join(held, ["dim", "group"]).drop("group")
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query (vec_id divisible by `every`)."""
-    good = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).filter("vec_id is not null and v is not null").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    c = cut(good.mapInArrow(_gather(candidates), BLOCK), "candidates")
-    q = cut(good.filter(F.col("vec_id") % every == 0).mapInArrow(_gather(queries), BLOCK), "queries")
-    # a pair of blocks is a row; every block of candidates gets the numbers of the query blocks, not their vectors
-    numbers = q.groupBy("dim").agg(F.collect_list("block").alias("q_blocks"))
-    pairs = c.join(numbers, "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
-    names = {"block": "q_block", "ids": "q_ids", "vectors": "q_vectors", "wide": "q_wide"}
-    met = pairs.join(q.withColumnsRenamed(names), ["dim", "q_block"]).repartition(F.col("block"), F.col("q_block"))
-    best = met.mapInArrow(_search(k), "query_id long, q_no long, vec_id long, score long, own long")
-    order = [F.col("score").desc(), F.col("vec_id")]
-    first = best.withColumn("place", F.row_number().over(Window.partitionBy("q_no").orderBy(*order))).filter(F.col("place") <= k + 1)
-    # one entry with the query's own id and score is its own row, or a copy that can't be told from it
-    mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
-    at = F.min(F.when(mine, F.col("place"))).over(Window.partitionBy("q_no"))
-    kept = first.withColumn("at", at).filter(F.col("at").isNull() | (F.col("place") != F.col("at")))
-    rank = (F.col("place") - F.when(F.col("at") < F.col("place"), 1).otherwise(0)).cast("int")
-    return kept.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    scratch = Scratch(vectors.sparkSession, "vector-file")
+    good = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).filter("vec_id is not null and v is not null").filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x * 256) < float("inf"))))
+    numbered = good.select(F.monotonically_increasing_id().alias("no"), "vec_id", "v")
+    exact = scratch.cut(numbered.mapInArrow(trimmed(_exact), EXACT), "exact")
+    asked = exact.filter(F.col("vec_id") % every == 0)
+    file = scratch.cut(exact.select("no", "dim", "vector").mapInArrow(trimmed(_gather(candidates, _file_block)), FILE), "file")
+    blocks = scratch.cut(asked.select("no", "dim", "vector").mapInArrow(trimmed(_gather(queries, _query_block)), BLOCK), "queries")
+    bounds = scratch.cut(_meet(file, blocks).mapInArrow(trimmed(_scan(k)), "q_no long, no long, lower double, upper double"), "bounds")
+    scratch.drop("file", "queries")
+    # all blocks together: the k-th lower bound of a query rules candidates out
+    by_query = Window.partitionBy("q_no")
+    kth = bounds.withColumn("i", F.row_number().over(by_query.orderBy(F.col("lower").desc()))).filter(F.col("i") == k).select("q_no", F.col("lower").alias("least"))
+    left = bounds.join(kth, "q_no", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    left = scratch.cut(left.select("q_no", "no", "upper", F.row_number().over(by_query.orderBy(F.col("upper").desc(), "no")).alias("i")), "survivors")
+    scratch.drop("bounds")
+    held = asked.select(F.col("no").alias("q_no"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    first = scratch.cut(_scored(left.filter(F.col("i") <= AHEAD * k), exact, held), "first-scores")
+    order = by_query.orderBy(F.col("score").desc(), F.col("vec_id"), F.col("no"))
+    best = first.withColumn("i", F.row_number().over(order)).filter(F.col("i") == k).select("q_no", "score")
+    more = scratch.cut(left.filter(F.col("i") > AHEAD * k).join(best, "q_no").filter(F.col("upper") >= F.col("score")).select("q_no", "no"), "unsure")
+    scores = first.unionByName(_scored(more, exact, held))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
