@@ -155,6 +155,11 @@ def named(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with names that mapInArrow can read: it takes a name with a dot for a field's."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; null is the empty string."""
     return [x or "" for x in column.to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessera.llm.common import Scratch, hot_join, hot_keys, join_counted, named, private, slices, table, texts_of, trimmed
+from tessera.llm.common import Scratch, hot_join, hot_keys, join_counted, named, numbered, private, slices, table, texts_of, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair of similarity 0.8 shares none with probability 0.000007.
@@ -423,10 +423,10 @@ c AS (SELECT r.id, min(v.least) AS class_id FROM reach r JOIN u v ON v.id = r.ot
 SELECT n.doc_id, c.class_id, n.doc_id = c.class_id AS kept FROM n JOIN u USING (node) JOIN c USING (id)"""
 
 
-def _noded(at: int, name: str):
+def _noded(at: int, names: list[str], name: str):
     def run(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(x, words_of(x)) for x in texts_of(b.column(at))], pa.binary())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(x, words_of(x)) for x in texts_of(b.column(at))], pa.binary())], names=[*names, name])
 
     return run
 
@@ -447,6 +447,6 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return kept
     # only rows that share their id need to be told apart by their texts
     rows = join_counted(kept, several, ["doc_id"], "left_semi").select(*named(docs))
-    rows = rows.mapInArrow(trimmed(_noded(docs.columns.index("text"), node)), StructType([*rows.schema.fields, StructField(node, BinaryType())]))
+    rows = numbered(rows).mapInArrow(trimmed(_noded(docs.columns.index("text"), docs.columns, node)), StructType([*rows.schema.fields, StructField(node, BinaryType())]))
     rows = join_counted(rows, first, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
     return join_counted(kept, several, ["doc_id"], "left_anti").select(*named(docs)).unionByName(rows.select(*named(docs)))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import named, table, texts_of, trimmed, unused
+from tessera.llm.common import named, numbered, table, texts_of, trimmed, unused
 
 FOLDS = 5
 #: Bounds of the training sample, in rows, and of the features.
@@ -64,6 +64,19 @@ def document(text: str) -> Counter:
     return Counter(f for w in words_of(text) for f in features_of(w))
 
 
+def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the scores z of P and U by logistic loss, and the step's direction for each score: the
+    risk's gradient, or, where U's part would be negative, the gradient that raises it again."""
+    n_p, n_u = is_p.sum(), (~is_p).sum()
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    softplus = np.logaddexp(0, z)  # the loss of label 0; that of label 1 is softplus - z
+    rest = softplus[~is_p].mean() - prior * softplus[is_p].mean()
+    value = prior * (softplus - z)[is_p].mean() + max(0.0, rest)
+    if rest >= 0:
+        return value, np.where(is_p, prior / n_p * (s - 1) - prior / n_p * s, s / n_u)
+    return value, np.where(is_p, prior / n_p * s, -s / n_u)
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float) -> dict[str, float]:
     """Weights by feature; "" holds the bias."""
     n_p, n_u = len(positive), len(unlabelled)
@@ -98,16 +111,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> dict[str,
     w, b = np.zeros(len(chosen)), math.log(prior / (1 - prior))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     is_p = np.arange(n_docs) < n_p
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, vals * w[cols], n_docs) + b
-        s = sigmoid(z)
-        softplus = np.logaddexp(0, z)  # the loss of label 0; that of label 1 is softplus - z
-        rest = softplus[~is_p].mean() - prior * softplus[is_p].mean()
-        if rest >= 0:
-            g = np.where(is_p, prior / n_p * (s - 1) - prior / n_p * s, s / n_u)
-        else:
-            g = np.where(is_p, prior / n_p * s, -s / n_u)
+        _, g = risk(np.bincount(rows, vals * w[cols], n_docs) + b, is_p, prior)
         grad = np.append(np.bincount(cols, vals * g[rows], len(chosen)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -175,16 +180,17 @@ def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """docs with held_out, score and predicted added, under names with further _ where docs has such columns; all columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("doc_id"), docs.columns.index("text")
+    docs_names = docs.columns
     added = [unused(docs, c) for c in ("held_out", "score", "predicted")]
 
     def run(it):
         scorer = Scorer(shared.value)
         for b in it:
             s = [1 / (1 + math.exp(-max(-700.0, min(700.0, scorer.logit(t))))) for t in texts_of(b.column(at[1]))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([held_out(i) for i in b.column(at[0]).to_pylist()], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*b.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([held_out(i) for i in b.column(at[0]).to_pylist()], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*docs_names, *added])
 
     fields = [T.StructField(c, t) for c, t in zip(added, (T.BooleanType(), T.DoubleType(), T.IntegerType()), strict=True)]
-    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *fields]))
+    return numbered(docs).mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
