@@ -2,6 +2,11 @@
 
 Each stage reads what the one before it wrote. All but the last return the columns of documents; the last returns
 the pieces of the packed windows.
+
+Defined results: a null text is empty to every stage and stays null where a row stays; toxicity, line dedup and decontamination judge
+rows of equal or null doc_id each on its own; of equal rows near-dedup keeps one, and all rows without an id; ties go to the least
+doc_id; further columns pass through all stages but the last, whatever their names, and n_chars, where there is one, follows
+the text; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, line_dedup, minhash, packing, toxicity
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import named, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*named(docs))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

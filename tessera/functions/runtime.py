@@ -6,7 +6,7 @@ import atexit
 import sys
 import time
 from datetime import datetime
-from pathlib import PurePath
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +61,23 @@ def run_report(runs: DataFrame, script: str = "script", ts: str = "ts", root: st
     return ends.select(base_name(F.col("script")).alias("script"), format_timestamp(F.col("a")).alias("started"), format_timestamp(F.col("b")).alias("finished"), format_elapsed(elapsed(F.col("a"), F.col("b"))).alias("total"))
 
 
+def resolved(argv: list[str]) -> Path | None:
+    """The absolute path of the running script; None if there is no name or it can't be resolved."""
+    try:
+        return Path(argv[0]).resolve() if argv and argv[0] else None
+    except (OSError, RuntimeError, ValueError):
+        return None
+
+
 class RunTimer:
     """Reports a driver program's run time when the program ends, if its script is inside root."""
 
     def __init__(self, root: str, argv: list[str] | None = None, out=print):
-        self.root, self.out, self.began, self.clock = root.rstrip("/"), out, datetime.now(), time.perf_counter()
-        argv = sys.argv if argv is None else argv
-        self.script = argv[0] if argv and argv[0] else None
+        self.root, self.out, self.began, self.clock = Path(root).resolve(), out, datetime.now(), time.perf_counter()
+        self.script = resolved(sys.argv if argv is None else argv)
 
     def inside(self) -> bool:
-        return self.script is not None and (self.script == self.root or self.script.startswith(self.root + "/"))
+        return self.script is not None and self.script.is_relative_to(self.root)
 
     def report(self) -> None:
         if self.inside():
@@ -78,7 +85,7 @@ class RunTimer:
             cents = (us % MINUTE + 5000) // 10_000
             total = f"{us // HOUR:02d} h " * (us >= HOUR) + f"{us % HOUR // MINUTE:02d} min {cents // 100:02d}.{cents % 100:02d} sec"
             rule = "=" * 80
-            self.out(f"\n{rule}\nGLOBAL EXECUTION TIME\n{rule}\nScript: {PurePath(self.script).name}\nStarted: {self.began:%Y-%m-%d %H:%M:%S}\nFinished: {datetime.now():%Y-%m-%d %H:%M:%S}\nTotal execution time: {total}\n{rule}")
+            self.out(f"\n{rule}\nGLOBAL EXECUTION TIME\n{rule}\nScript: {self.script.name}\nStarted: {self.began:%Y-%m-%d %H:%M:%S}\nFinished: {datetime.now():%Y-%m-%d %H:%M:%S}\nTotal execution time: {total}\n{rule}")
 
     def at_exit(self) -> RunTimer:
         atexit.register(self.report)

@@ -1,11 +1,17 @@
-"""Frontier analysis: output-oriented efficiency under variable returns to scale, and benefit-of-the-doubt scores.
+"""Frontier analysis: output-oriented efficiency under variable returns to scale, its peers and its scale variable, and
+benefit-of-the-doubt scores with the ranges of their weights.
 
-Each unit's linear programme is independent of the others', so units are spread over tasks and meet the frontier's
-candidates, which are broadcast. Candidates are the units that no other dominates: first within each batch, where they are,
-then over what is left. That is exact for scores and keeps the broadcast to the frontier; its size is counted.
+Each unit's linear programmes are independent of the others', so units are spread over tasks. What they meet:
 
-Conventions: both phi >= 1 and eff = 1/phi are given. Measures are divided by their maxima before solving.
-Units with a null or NaN measure, or without positive output, take no part. Negative measures are an error.
+- the frontier's candidates, where these were counted at no more than BROADCAST_BYTES: they are broadcast. Candidates are the units
+  that no other dominates, found in stages: within each batch where it is, then within parts of what is left.
+- else blocks of peers, by an equality of numbers: each unit keeps a small working set of peers, solves its programmes on that,
+  and a pass over all blocks finds the peers whose constraints its prices break; these join the set, until none does. Exact as well.
+
+Conventions: both phi >= 1 and eff = 1/phi are given. The scale variable vstar has a plus sign (v.x + vstar >= u.y with u.yo = 1, for
+measures divided by their maxima): below 0 is increasing, above 0 decreasing returns. Units with a null, NaN or infinite measure, or
+without positive output, take no part; `skipped` counts them. Negative measures are an error. A null `by` is a peer set of its own.
+Rows with equal or null ids are units each on their own.
 """
 
 from __future__ import annotations
@@ -13,122 +19,434 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.operators import simplex
+from tessera.sources.tables import cut
 
-#: Candidates that may be broadcast.
-MOST_PEERS = 200_000
+#: Bytes of candidates that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Units that the driver may hold; larger sets are pruned on executors.
+SMALL = 10_000
+#: Units pruned against each other at once; peers of a block, units of a block; blocks of each that meet in one place.
+PART, PEERS, UNITS = 20_000, 4096, 512
+MEET_PEERS, MEET_UNITS = 8, 64
 #: A unit is efficient from this score on.
 EFFICIENT = 1 - 1e-9
+#: By so much (of prices with u.yo = 1) a peer's constraint must be broken to join a working set; peers that join at a time.
+BROKEN, JOIN = 1e-9, 4
+
+
+def _good(measures: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < float("inf")) for m in measures])
+
+
+def _doubles(df: DataFrame, kept: list[str], measures: list[str]) -> DataFrame:
+    return df.select(*kept, *(F.col(m).cast("double").alias(m) for m in measures))
 
 
 def measured(df: DataFrame, id_: str, measures: list[str], by: str | None) -> DataFrame:
     """id, by and measures as doubles, of the units that can be scored."""
-    cols = [F.col(id_), *([F.col(by)] if by else []), *(F.col(m).cast("double").alias(m) for m in measures)]
-    good = reduce(lambda a, b: a & b, [F.col(m).isNotNull() & ~F.isnan(m) for m in measures])
-    check = [F.when(F.col(m) < 0, F.raise_error(F.lit(f"{m} must not be negative"))).otherwise(F.col(m)).alias(m) for m in measures]
     kept = [c for c in (id_, by) if c]
-    return df.select(*cols).filter(good).select(*kept, *check)
+    check = [F.when(F.col(m) < 0, F.raise_error(F.lit(f"{m} must not be negative"))).otherwise(F.col(m)).alias(m) for m in measures]
+    return _doubles(df, kept, measures).filter(_good(measures)).select(*kept, *check)
+
+
+def skipped(df: DataFrame, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """(by,) units, skipped: how many units there are and how many take no part in `dea_bcc`."""
+    kept = [by] if by else []
+    part = _good([*inputs, *outputs]) & reduce(lambda a, b: a | b, [F.col(o) > 0 for o in outputs])
+    return _doubles(df, kept, [*inputs, *outputs]).groupBy(*kept).agg(F.count("*").alias("units"), F.sum(F.when(part, 0).otherwise(1)).cast("long").alias("skipped"))
 
 
 def undominated(less: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Rows that no other one equals or betters in every column (smaller in `less`, larger in `more`); of equal rows the first."""
     both = np.hstack([less, -more])
-    keep = []
-    for i in np.lexsort(both.T[::-1]):
-        if not any((both[k] <= both[i]).all() for k in keep):
-            keep.append(i)
-    return np.sort(np.array(keep, int))
-
-
-def frontier(units: DataFrame, less: list[str], more: list[str], by: str | None) -> pd.DataFrame:
-    """Candidates for peers, on the driver; at most MOST_PEERS of them."""
-    names = [*([by] if by else []), *less, *more]
-
-    def prune(frames):
-        for f in frames:
-            parts = [g for _, g in f.groupby(by, sort=False)] if by else [f]
-            for g in parts:
-                yield g.iloc[undominated(g[less].to_numpy(float).reshape(len(g), -1), g[more].to_numpy(float))]
-
-    local = units.select(*names).mapInPandas(prune, units.select(*names).schema)
-    found = local.limit(MOST_PEERS + 1).toPandas()
-    if len(found) > MOST_PEERS:
-        raise ValueError(f"more than {MOST_PEERS} units are undominated within their batches; split them by a peer set")
-    return pd.concat(list(prune([found]))) if len(found) else found
-
-
-def _solve(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, one, columns: str) -> DataFrame:
-    """Applies one(x, y, xo, yo) -> tuple of doubles to every unit and the candidates of its peer set."""
-    peers = frontier(units, less, more, by)
-    groups = dict(list(peers.groupby(by))) if by else {None: peers}
-    arrays = {k: (g[less].to_numpy(float).reshape(len(g), len(less)), g[more].to_numpy(float)) for k, g in groups.items()}
-    shared = units.sparkSession.sparkContext.broadcast(arrays)
-    kept = [c for c in (id_, by) if c]
+    if not both.shape[1]:
+        return np.arange(min(1, len(both)))
+    order = np.lexsort((*both.T[::-1], both.sum(1)))  # a row can only be dominated by one before it
+    kept = np.zeros((0, both.shape[1]))
+    found = []
+    for at in range(0, len(order), 256):
+        rows = order[at : at + 256]
+        part = both[rows]
+        free = np.ones(len(rows), bool)
+        for k in range(0, len(kept), 4096):
+            free[free] = ~(kept[k : k + 4096, None] <= part[None, free]).all(2).any(0)
+        rows, part = rows[free], part[free]
+        beats = (part[:, None] <= part[None]).all(2)
+        free = ~np.triu(beats, 1).any(0)
+        found.append(rows[free])
+        kept = np.vstack([kept, part[free]])
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, int)
+
+
+def _grouped(batch: pa.RecordBatch | pa.Table, by: str | None) -> dict:
+    """Row numbers by peer set."""
+    if not by:
+        return {None: np.arange(batch.num_rows)}
+    out: dict = {}
+    for i, k in enumerate(batch.column(by).to_pylist()):
+        out.setdefault(k, []).append(i)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def _matrix(batch, names: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in names]).astype(float) if names else np.zeros((batch.num_rows, 0))
+
+
+def _pruned(batch, less: list[str], more: list[str], by: str | None):
+    x, y = _matrix(batch, less), _matrix(batch, more)
+    keep = [rows[undominated(x[rows], y[rows])] for rows in _grouped(batch, by).values()]
+    return batch.take(pa.array(np.sort(np.concatenate(keep)))) if keep else batch
+
+
+def _prune(less, more, by):
+    def run(it):
+        held, n = [], 0
+        for b in it:
+            held.append(b)
+            n += b.num_rows
+            if n >= PART:
+                table = _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by)
+                held, n = table.to_batches(), table.num_rows
+                if n >= PART // 2:
+                    yield from held
+                    held, n = [], 0
+        if held:
+            yield from _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by).to_batches()
+
+    return run
+
+
+def _candidates(units: DataFrame, less: list[str], more: list[str], by: str | None, dominated: bool) -> DataFrame | None:
+    """Undominated units (all, if dominated ones count), as a written table; more stages while they take away a fifth."""
+    names = [c for c in units.columns if c in (by, *less, *more) or dominated]
+    left = units.select(*names)
+    if dominated:
+        return cut(left, "peers")
+    n, before = None, None
+    while before is None or n > PART and n < 0.8 * before:
+        if n is not None:
+            left = left.repartition(max(1, n // PART), F.rand(17))
+        left = cut(left.mapInArrow(_prune(less, more, by), left.schema), "candidates")
+        n, before = left.count(), n if n is not None else float("inf")
+    return left
+
+
+def _scaled(x, y, xo, yo):
+    sx, sy = np.maximum(x.max(0, initial=0), xo), np.maximum(y.max(0, initial=0), yo)
+    sx, sy = np.where(sx > 0, sx, 1), np.where(sy > 0, sy, 1)
+    return x / sx, y / sy, xo / sx, yo / sy, sx, sy
+
+
+class Problem:
+    """What is asked of a unit: `solve(x, y, xo, yo, ids)` gives a value for each of `columns` and prices (v, u, vstar) which no peer
+    may break. Peers that only touch them must be known too where `touching` is set."""
+
+    columns: tuple[tuple[str, T.DataType, pa.DataType], ...]
+    touching = False
+
+    def prepare(self, x, y, ids):
+        """The peers of a set as `solve` needs them."""
+        return x, y, ids
+
+    def solve(self, x, y, xo, yo, ids):
+        raise NotImplementedError
+
+
+def _prices(phi, v, u, xo):
+    return np.concatenate([v, u, [phi - v @ xo]])
+
+
+def _extreme(best, phi, v, u, xo, yo):
+    """The prices at a finite end, or the direction of an infinite one: a peer that breaks it bounds the end."""
+    return _prices(phi, v, u, xo) if np.isfinite(best) else np.concatenate([v, u, [u @ yo - v @ xo]])
+
+
+class Score(Problem):
+    columns = (("phi", T.DoubleType(), pa.float64()),)
+
+    def solve(self, x, y, xo, yo, ids):
+        phi, v, u = simplex.score(x, y, xo, yo)
+        return (max(1.0, phi),), [_prices(phi, v, u, xo)] if np.isfinite(phi) else []
+
+
+class Peers(Problem):
+    touching = True
+
+    def __init__(self, id_type: T.DataType, arrow: pa.DataType):
+        self.columns = (("peers", T.ArrayType(id_type), pa.list_(arrow)),)
+
+    def prepare(self, x, y, ids):
+        first: dict[bytes, int] = {}  # of equal units the one of the least id stands for all
+        for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i])):
+            first.setdefault(x[i].tobytes() + y[i].tobytes(), i)
+        alone = sorted(first.values())
+        return x[alone], y[alone], [ids[i] for i in alone]
+
+    def solve(self, x, y, xo, yo, ids):
+        phi, v, u = simplex.score(x, y, xo, yo)
+        on = simplex.supports(x, y, xo, yo, phi, v, u)
+        return ([ids[i] for i in on],), [_prices(phi, v, u, xo)]
+
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for i in range(len(f)):
-                x, y = shared.value[f[by].iloc[i] if by else None]
-                xo, yo = f[less].iloc[i].to_numpy(float), f[more].iloc[i].to_numpy(float)
-                sx, sy = np.maximum(x.max(0, initial=0), xo), np.maximum(y.max(0, initial=0), yo)
-                sx, sy = np.where(sx > 0, sx, 1), np.where(sy > 0, sy, 1)
-                rows.append(one(x / sx, y / sy, xo / sx, yo / sy))
-            out = f[kept].copy()
-            for k, c in enumerate(columns.split(",")):
-                out[c.split()[0]] = [r[k] for r in rows]
-            yield out
+class Scale(Problem):
+    columns = tuple((c, T.DoubleType(), pa.float64()) for c in ("phi", "vstar_min", "vstar_max"))
 
-    types = ", ".join(f"`{c}` {units.schema[c].dataType.simpleString()}" for c in kept)
-    return units.mapInPandas(run, f"{types}, {columns}")
+    def solve(self, x, y, xo, yo, ids):
+        phi, v, u = simplex.score(x, y, xo, yo)
+        prices, ends = [_prices(phi, v, u, xo)], []
+        for sign in (1, -1):
+            best, p = simplex.extreme(x, y, xo, yo, phi, np.concatenate([sign * xo, np.zeros(len(yo))]))
+            ends.append(phi - sign * best if np.isfinite(best) else None)
+            prices.append(_extreme(best, phi, p[: len(xo)], p[len(xo) :], xo, yo))
+        return (max(1.0, phi), *ends), prices
+
+
+class Weights(Problem):
+    def __init__(self, n: int):
+        self.columns = tuple((f"{e}_{k}", T.DoubleType(), pa.float64()) for e in ("lo", "hi") for k in range(n))
+
+    def solve(self, x, y, xo, yo, ids):
+        phi, v, u = simplex.score(x, y, xo, yo)
+        if not np.isfinite(phi):  # any weights are as good
+            top = y.max(0, initial=0)
+            return (*np.zeros(len(yo)), *(1 / t if t else None for t in top)), [np.append(e, t) for e, t in zip(np.eye(len(yo)), top, strict=True)]
+        prices, ends = [_prices(phi, v, u, xo)], []
+        for sign in (-1, 1):
+            for r in range(len(yo)):
+                best, p = simplex.extreme(x, y, xo, yo, phi, sign * np.eye(len(yo))[r])
+                ends.append(max(0.0, sign * best / phi) if np.isfinite(best) else None)
+                prices.append(_extreme(best, phi, p[:0], p, xo, yo))
+        return tuple(ends), prices
+
+
+def _run(it, problem: Problem, less, more, by, kept: list[str], peers: dict):
+    """Solves the problem for each unit against the peers of its set: {set: (x, y, ids)}."""
+    for b in it:
+        x, y, values = _matrix(b, less), _matrix(b, more), []
+        keys = b.column(by).to_pylist() if by else [None] * b.num_rows
+        for xo, yo, k in zip(x, y, keys, strict=True):
+            px, py, ids = peers[k]
+            values.append(problem.solve(*_scaled(px, py, xo, yo)[:4], ids)[0])
+        yield _out(b, kept, values, problem)
+
+
+def _out(b, kept, values, problem):
+    columns = list(zip(*values, strict=True)) if values else [[] for _ in problem.columns]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, (_, _, t) in zip(columns, problem.columns, strict=True))], names=[*kept, *(c for c, _, _ in problem.columns)])
+
+
+def _sets(table: pa.Table, less, more, by, id_, problem: Problem) -> dict:
+    x, y = _matrix(table, less), _matrix(table, more)
+    ids = table.column(id_).to_pylist() if id_ in table.column_names else [None] * table.num_rows
+    return {k: problem.prepare(x[rows], y[rows], [ids[i] for i in rows]) for k, rows in _grouped(table, by).items()}
+
+
+def _solve(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem) -> DataFrame:
+    """units with the problem's columns: one pass over units against broadcast candidates, or rounds over blocks of peers."""
+    spark = units.sparkSession
+    kept = units.columns
+    schema = T.StructType([*units.schema.fields, *(T.StructField(c, t) for c, t, _ in problem.columns)])
+    few = units.limit(SMALL + 1).toArrow()
+    if few.num_rows <= SMALL:
+        units = spark.createDataFrame(few, units.schema) if few.num_rows else units
+        peers = few if problem.touching else _pruned(few.combine_chunks(), less, more, by)
+    else:
+        table = _candidates(units, less, more, by, problem.touching)
+        if 8 * len(table.columns) * table.count() > BROADCAST_BYTES:
+            return _in_blocks(units, table, id_, less, more, by, problem, schema)
+        peers = table.toArrow()
+    shared = spark.sparkContext.broadcast(_sets(peers, less, more, by, id_, problem))
+    return units.mapInArrow(lambda it: _run(it, problem, less, more, by, kept, shared.value), schema)
+
+
+def _packed(names: list[str], less, more, by, id_, rows: int):
+    """Rows of each peer set in blocks: (set, block, x and y as bytes, ids)."""
+
+    def run(it):
+        from pyspark import TaskContext
+
+        part, n, held = TaskContext.get().partitionId(), 0, {}
+
+        def out(key):
+            nonlocal n
+            x, ids, numbers = zip(*held.pop(key), strict=True)
+            n += 1
+            return pa.RecordBatch.from_pylist([{"set_": key, "block": (part << 32) + n, "matrix": np.array(x).tobytes(), "ids": list(ids), "numbers": list(numbers)}], schema=names)
+
+        for b in it:
+            m = np.hstack([_matrix(b, less), _matrix(b, more)])
+            keys = b.column(by).to_pylist() if by else [None] * b.num_rows
+            ids = b.column(id_).to_pylist() if id_ in b.schema.names else [None] * b.num_rows
+            numbers = b.column("_no").to_pylist() if "_no" in b.schema.names else [None] * b.num_rows
+            for key, *row in zip(keys, m, ids, numbers, strict=True):
+                held.setdefault(key, []).append(row)
+                if len(held[key]) >= rows:
+                    yield out(key)
+        for key in list(held):
+            yield out(key)
+
+    return run
+
+
+def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem, schema: T.StructType) -> DataFrame:
+    """The problem by working sets: rounds of solving on these and of looking through all blocks of peers for broken constraints."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, kept, m = units.sparkSession, units.columns, len(less)
+    key = units.schema[by].dataType if by else T.StringType()
+    id_type = units.schema[id_].dataType
+    block = T.StructType([T.StructField("set_", key), T.StructField("block", T.LongType()), T.StructField("matrix", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("numbers", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(block)
+    numbered = cut(units.withColumn("_no", F.monotonically_increasing_id()), "units")
+    table = cut(peers.mapInArrow(_packed(arrow, less, more, by, id_, PEERS), block), "peer-blocks")
+    rows = cut(numbered.mapInArrow(_packed(arrow, less, more, by, id_, UNITS), block), "unit-blocks").withColumnsRenamed({"block": "u_block", "matrix": "u_matrix", "ids": "u_ids", "numbers": "u_numbers"})
+    # the measures' maxima of each set scale all its programmes alike
+    tops = numbered.groupBy(*([F.col(by).alias("set_")] if by else [F.lit(None).cast(key).alias("set_")])).agg(F.array(*(F.max(c) for c in (*less, *more))).alias("tops"))
+    rows = cut(rows.join(tops, rows["set_"].eqNullSafe(tops["set_"])).select(rows["*"], "tops"), "scaled-units")
+    peer = T.StructType([T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type)])
+    state = cut(rows.select("u_block", "set_", "u_matrix", "u_numbers", "tops", F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))).alias("work")), "state")
+    asked = T.StructType([*state.schema.fields, T.StructField("prices", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("values", T.BinaryType())])
+
+    def solve(it):
+        import pickle
+
+        for b in it:
+            for r in b.to_pylist():
+                tops_ = np.where(np.array(r["tops"]) > 0, r["tops"], 1)
+                own, prices, values = np.frombuffer(r["u_matrix"]).reshape(len(r["u_numbers"]), -1) / tops_, [], []
+                for o, work in zip(own, r["work"], strict=True):
+                    w = np.array([p["row"] for p in work or []]).reshape(-1, len(o))
+                    x, y, ids = problem.prepare(w[:, :m], w[:, m:], [p["id"] for p in work or []])
+                    got, points = problem.solve(x, y, o[:m], o[m:], ids)
+                    values.append(got)
+                    prices.append([p.tolist() for p in points])
+                yield pa.RecordBatch.from_pylist([r | {"prices": prices, "values": pickle.dumps(values)}], schema=asked_arrow)
+
+    broken = T.StructType([T.StructField("u_block", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type), T.StructField("by_much", T.DoubleType())])
+    state_arrow, asked_arrow, broken_arrow = (to_arrow_schema(x) for x in (state.schema, asked, broken))
+
+    def look(it):
+        for b in it:
+            for r in b.to_pylist():
+                tops_ = np.where(np.array(r["tops"]) > 0, r["tops"], 1)
+                peers_ = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1) / tops_
+                out = []
+                for i, (points, work) in enumerate(zip(r["prices"], r["work"], strict=True)):
+                    known = {(tuple(p["row"]), p["id"]) for p in work or []}
+                    for p in points:
+                        p = np.array(p)
+                        gap = peers_[:, m:] @ p[m:-1] - peers_[:, :m] @ p[:m] - p[-1]
+                        for j in np.argsort(-gap, kind="stable")[: JOIN + len(known)] if not problem.touching else np.flatnonzero(gap > -1e-8):
+                            if gap[j] > (BROKEN if not problem.touching else -1e-8) and (tuple(peers_[j]), r["ids"][j]) not in known:
+                                out.append((r["u_block"], i, peers_[j].tolist(), r["ids"][j], float(gap[j])))
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("u_block", "i", "row", "id", "by_much"), o, strict=True)) for o in out], schema=broken_arrow)
+
+    def join(it):
+        for b in it:
+            for r in b.to_pylist():
+                work = [list(w or []) for w in r["work"]]
+                for n in r["new"] or []:
+                    if (n["row"], n["id"]) not in [(p["row"], p["id"]) for p in work[n["i"]]]:
+                        work[n["i"]].append({"row": n["row"], "id": n["id"]})
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in state_arrow.names} | {"work": work}], schema=state_arrow)
+
+    # blocks of units and of peers meet by numbers: each is copied to the places where it meets the others' groups
+    g, h = max(1, -(-table.count() // MEET_PEERS)), max(1, -(-rows.count() // MEET_UNITS))
+    table = table.select(F.col("set_").alias("p_set"), "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    while True:
+        solved = cut(state.mapInArrow(solve, asked), "solved")
+        dealt = solved.withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)), "g": F.explode(F.sequence(F.lit(0), F.lit(g - 1)))})
+        met = dealt.join(table, (dealt["g"] == table["g"]) & (dealt["h"] == table["h"]) & F.col("set_").eqNullSafe(F.col("p_set")))
+        new = met.select("u_block", "prices", "work", "tops", "matrix", "ids").mapInArrow(look, broken)
+        if not problem.touching:  # the worst few of each unit are enough for a round
+            new = new.withColumn("n", F.row_number().over(Window.partitionBy("u_block", "i").orderBy(F.col("by_much").desc(), "row"))).filter(F.col("n") <= JOIN).drop("n")
+        new = cut(new, "broken")
+        if new.isEmpty():
+            break
+        per = new.groupBy("u_block").agg(F.collect_list(F.struct("i", "row", "id")).alias("new"))
+        state = cut(solved.drop("prices", "values").join(per, "u_block", "left").mapInArrow(join, state.schema), "state")
+
+    def finish(it):
+        import pickle
+
+        for b in it:
+            for r in b.to_pylist():
+                columns = list(zip(*pickle.loads(r["values"]), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(r["u_numbers"], pa.int64()), *(pa.array(c, t) for c, (_, _, t) in zip(columns, problem.columns, strict=True))], names=["_no", *(c for c, _, _ in problem.columns)])
+
+    found = solved.select("u_numbers", "values").mapInArrow(finish, T.StructType([T.StructField("_no", T.LongType()), *(T.StructField(c, t) for c, t, _ in problem.columns)]))
+    return numbered.join(found, "_no").select(*kept, *(c for c, _, _ in problem.columns))
+
+
+def _scored(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None) -> DataFrame:
+    return measured(df, id_, [*inputs, *outputs], by).filter(reduce(lambda a, b: a | b, [F.col(o) > 0 for o in outputs]))
+
+
+def _keys(id_: str, by: str | None) -> list[str]:
+    return [c for c in (id_, by) if c]
 
 
 def dea_bcc(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
     """id, (by,) phi, eff, efficient, and target_<output> and gap_<output> for each output."""
-    units = measured(df, id_, [*inputs, *outputs], by).filter(reduce(lambda a, b: a | b, [F.col(o) > 0 for o in outputs]))
-    scores = _solve(units, id_, inputs, outputs, by, lambda x, y, xo, yo: (max(1.0, simplex.bcc(x, y, xo, yo)),), "phi double")
-    out = scores.withColumns({"eff": 1 / F.col("phi"), "efficient": 1 / F.col("phi") >= EFFICIENT})
-    keys = [c for c in (id_, by) if c]
-    targets = units.select(*keys, *outputs).join(out, keys)
-    return targets.select(*keys, "phi", "eff", "efficient", *((F.col("phi") * F.col(o)).alias(f"target_{o}") for o in outputs), *(((F.col("phi") - 1) * F.col(o)).alias(f"gap_{o}") for o in outputs))
+    out = _solve(_scored(df, id_, inputs, outputs, by), id_, inputs, outputs, by, Score())
+    eff = 1 / F.col("phi")
+    return out.select(*_keys(id_, by), "phi", eff.alias("eff"), (eff >= EFFICIENT).alias("efficient"), *((F.col("phi") * F.col(o)).alias(f"target_{o}") for o in outputs), *(((F.col("phi") - 1) * F.col(o)).alias(f"gap_{o}") for o in outputs))
+
+
+def dea_peers(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """id, (by,) peer_id: the units with a positive intensity in any optimal solution of a unit (the largest support, which is
+    unique). A frontier unit is its own peer; of identical units the one of the least id stands for all."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    units = _scored(df, id_, inputs, outputs, by)
+    kind = units.schema[id_].dataType
+    return _solve(units, id_, inputs, outputs, by, Peers(kind, to_arrow_type(kind))).select(*_keys(id_, by), F.explode("peers").alias("peer_id"))
+
+
+def dea_scale(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """id, (by,) phi, vstar_min, vstar_max, rts: the range of the scale variable over all optimal prices.
+
+    A null vstar_min is unbounded; such a unit is never called decreasing. rts: IRS if vstar_max < 0, DRS if vstar_min > 0, else CRS.
+    """
+    out = _solve(_scored(df, id_, inputs, outputs, by), id_, inputs, outputs, by, Scale())
+    rts = F.when(F.col("vstar_max") < -1e-9, "IRS").when(F.col("vstar_min") > 1e-9, "DRS").otherwise("CRS")
+    return out.select(*_keys(id_, by), "phi", "vstar_min", "vstar_max", rts.alias("rts"))
 
 
 def bod(df: DataFrame, id_: str, indicators: list[str], by: str | None = None) -> DataFrame:
     """id, (by,) ci: the score by each unit's own most favourable weights, at which no unit of its set exceeds 1."""
-    units = measured(df, id_, indicators, by)
-    return _solve(units, id_, [], indicators, by, lambda x, y, xo, yo: (min(1.0, simplex.bod(y, yo)[0]),), "ci double")
+    out = _solve(measured(df, id_, indicators, by), id_, [], indicators, by, Score())
+    return out.select(*_keys(id_, by), (1 / F.col("phi")).alias("ci"))
 
 
 def bod_weights(df: DataFrame, id_: str, indicators: list[str], by: str | None = None) -> DataFrame:
     """id, (by,) indicator, w_min, w_max: the range of each weight over all most favourable ones, for indicators divided
-    by their maxima. Enumerates corners, so it is for few indicators."""
-    units = measured(df, id_, indicators, by)
-    known: dict[bytes, np.ndarray] = {}  # the corners of the peer set last seen
-
-    def one(x, y, xo, yo):
-        if (key := y.tobytes()) not in known:
-            known.clear()
-            known[key] = simplex.weight_corners(y)
-        lo, hi = simplex.weight_range(known[key], yo)
-        return (*lo, *hi)
-
-    columns = ", ".join(f"{e}_{k} double" for e in ("lo", "hi") for k in range(len(indicators)))
-    wide = _solve(units, id_, [], indicators, by, one, columns)
-    keys = [c for c in (id_, by) if c]
+    by their maxima."""
+    wide = _solve(measured(df, id_, indicators, by), id_, [], indicators, by, Weights(len(indicators)))
     rows = F.array(*(F.struct(F.lit(i).alias("indicator"), F.col(f"lo_{k}").alias("w_min"), F.col(f"hi_{k}").alias("w_max")) for k, i in enumerate(indicators)))
-    return wide.select(*keys, F.explode(rows).alias("w")).select(*keys, "w.*")
+    return wide.select(*_keys(id_, by), F.explode(rows).alias("w")).select(*_keys(id_, by), "w.*")
 
 
 def dea_sensitivity(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
-    """id, (by,) dropped, eff, delta: each unit's score without one of the variables, and what that changes."""
-    keys = [c for c in (id_, by) if c]
-    full = dea_bcc(df, id_, inputs, outputs, by).select(*keys, F.col("eff").alias("full"))
-    runs = [dea_bcc(df, id_, [i for i in inputs if i != d], outputs, by).select(*keys, F.lit(d).alias("dropped"), "eff") for d in inputs if len(inputs) > 1]
-    runs += [dea_bcc(df, id_, inputs, [o for o in outputs if o != d], by).select(*keys, F.lit(d).alias("dropped"), "eff") for d in outputs if len(outputs) > 1]
+    """id, (by,) dropped, eff, delta: each unit's score without one of the variables, and what that changes.
+
+    Without an output, units whose others are all 0 have no score: eff and delta are null.
+    """
+    runs = [(d, [i for i in inputs if i != d], outputs) for d in inputs if len(inputs) > 1]
+    runs += [(d, inputs, [o for o in outputs if o != d]) for d in outputs if len(outputs) > 1]
     if not runs:
         raise ValueError("there is no variable that can be dropped")
-    return reduce(DataFrame.unionByName, runs).join(full, keys).select(*keys, "dropped", "eff", (F.col("eff") - F.col("full")).alias("delta"))
+    keys, out = _keys(id_, by), _scored(df, id_, inputs, outputs, by)
+    for k, (_, less, more) in enumerate([("", inputs, outputs), *runs]):  # a column a run, so that rows are never joined by id
+        out = _solve(out, id_, less, more, by, Score()).withColumnRenamed("phi", f"_phi_{k}")
+    eff = [F.when(F.col(f"_phi_{k}") < float("inf"), 1 / F.col(f"_phi_{k}")) for k in range(len(runs) + 1)]
+    each = F.array(*(F.struct(F.lit(d).alias("dropped"), eff[k].alias("eff"), (eff[k] - eff[0]).alias("delta")) for k, (d, _, _) in enumerate(runs, 1)))
+    return out.select(*keys, F.explode(each).alias("r")).select(*keys, "r.*")

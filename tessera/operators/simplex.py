@@ -1,72 +1,123 @@
-"""A dense primal simplex for max c.z with A z <= b, z >= 0 and b >= 0 (the origin is feasible)."""
+"""Linear programmes of few rows and many columns (a column a peer), by a dense two-phase simplex.
 
-from __future__ import annotations
+Frontier problems are put so that the rows are measures: with n peers a tableau takes (measures + 2) * n numbers, never n * n.
+Measures should be near 1 (divide them by their maxima).
+"""
 
-from itertools import combinations
+from __future__ import annotations
 
 import numpy as np
 
 EPS = 1e-11
+#: What an optimum may be missed by when its face is searched: prices, intensities.
+TIGHT, LOOSE = 1e-13, 1e-10
 
 
-def maximize(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(optimum, z, duals). Bland's rule, so degenerate corners don't cycle; an unbounded problem gives inf."""
-    m, n = a.shape
-    t = np.zeros((m + 1, n + m + 1))
-    t[:m, :n], t[:m, n : n + m], t[:m, -1], t[m, :n] = a, np.eye(m), b, -c
-    basis = np.arange(n, n + m)
+def _pivots(t: np.ndarray, basis: np.ndarray, columns: int) -> bool:
+    """Steps until the last row has no negative entry in the first `columns`; False if the problem is unbounded.
+
+    The most negative column enters; after so many steps Bland's rule, so degenerate corners don't cycle.
+    """
+    m, steps = len(basis), 0
     while True:
-        enter = np.flatnonzero(t[m, :-1] < -EPS)
-        if not len(enter):
-            break
-        j = enter[0]
+        row = t[m, :columns]
+        j = int(np.argmin(row)) if steps < 20 * (m + 5) else int(np.argmax(row < -EPS))
+        if row[j] >= -EPS:
+            return True
         col = t[:m, j]
         ok = np.flatnonzero(col > EPS)
         if not len(ok):
-            return np.inf, np.zeros(n), np.zeros(m)
+            return False
         ratio = t[ok, -1] / col[ok]
         ties = ok[ratio <= ratio.min() + EPS]
         i = ties[np.argmin(basis[ties])]
         t[i] /= t[i, j]
-        rows = np.arange(m + 1) != i
-        t[rows] -= np.outer(t[rows, j], t[i])
+        factor = t[:, j].copy()
+        factor[i] = 0
+        t -= np.outer(factor, t[i])
         basis[i] = j
+        steps += 1
+
+
+def minimize(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """min c.z with a z = b, z >= 0: (optimum, z, duals); -inf if unbounded, inf if nothing is feasible: then the last are
+    prices y that prove it, b.y > 0 and a.y <= 0."""
+    m, n = a.shape
+    sign = np.where(b < 0, -1.0, 1.0)
+    t = np.zeros((m + 1, n + m + 1))
+    t[:m, :n], t[:m, n : n + m], t[:m, -1] = a * sign[:, None], np.eye(m), b * sign
+    basis = np.arange(n, n + m)
+    t[m, :n], t[m, -1] = -t[:m, :n].sum(0), -t[:m, -1].sum()
+    _pivots(t, basis, n)
+    if t[m, -1] < -1e-9:
+        ray = (1 - t[m, n : n + m]) * sign
+        return np.inf, np.zeros(n), ray / np.abs(ray).max()
+    for i in np.flatnonzero(basis >= n):  # artificial variables that are still in the basis, at 0
+        j = int(np.argmax(np.abs(t[i, :n])))
+        if abs(t[i, j]) > 1e-9:
+            t[i] /= t[i, j]
+            factor = t[:, j].copy()
+            factor[i] = 0
+            t -= np.outer(factor, t[i])
+            basis[i] = j
+    cost = np.append(c, np.zeros(m))
+    t[m] = np.append(cost, 0.0) - cost[basis] @ t[:m]
+    if not _pivots(t, basis, n):
+        return -np.inf, np.zeros(n), np.zeros(m)
     z = np.zeros(n + m)
     z[basis] = t[:m, -1]
-    return float(t[m, -1]), z[:n], t[m, n : n + m]
+    return -float(t[m, -1]), z[:n], -t[m, n : n + m] * sign
 
 
-def bcc(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray) -> float:
-    """Output-oriented score phi of a unit (xo, yo) that is one of the peers x (n x inputs), y (n x outputs).
+def score(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Output-oriented score phi of (xo, yo) by peers x (n x inputs), y (n x outputs) and itself, and optimal prices v, u.
 
-    The unit's own intensity is put in terms of the others', so that the origin, where the unit is its own peer, is feasible.
+    Prices: u.yo = 1, v.xj + vstar - u.yj >= 0 for all peers and the unit, and phi = v.xo + vstar. Without positive output phi is inf.
     """
-    dx, dy = (x - xo).T, (yo - y).T
-    a = np.block([[dx, np.zeros((len(xo), 1))], [dy, yo[:, None]], [np.ones((1, len(x))), np.zeros((1, 1))]])
-    b = np.concatenate([np.zeros(len(xo)), yo, [1.0]])
-    c = np.append(np.zeros(len(x)), 1.0)
-    return maximize(a, b, c)[0]
-
-
-def bod(y: np.ndarray, yo: np.ndarray) -> tuple[float, np.ndarray]:
-    """Composite score of a unit and weights that reach it."""
-    best, w, _ = maximize(y, np.ones(len(y)), yo)
-    return best, w
-
-
-def weight_corners(y: np.ndarray) -> np.ndarray:
-    """All corners of {w >= 0, y w <= 1}: each is where as many planes meet as there are indicators."""
-    n, s = y.shape
-    planes, right = np.vstack([y, np.eye(s)]), np.append(np.ones(n), np.zeros(s))
-    picks = np.array(list(combinations(range(n + s), s)))
-    a = planes[picks]
-    picks, a = picks[good := np.abs(np.linalg.det(a)) > 1e-12], a[good]
-    w = np.linalg.solve(a, right[picks][:, :, None])[:, :, 0]
-    return w[(w >= -1e-9).all(1) & (w @ y.T <= 1 + 1e-9).all(1)]
-
-
-def weight_range(corners: np.ndarray, yo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the greatest of each weight over all optimal ones; exact, as the optimal weights are the hull of corners."""
-    score = corners @ yo
-    best = corners[score >= score.max() - 1e-9]
-    return best.min(0), best.max(0)
+    m, s, n = len(xo), len(yo), len(x)
+    if not (yo > 0).any():
+        return np.inf, np.zeros(m), np.zeros(s)
+    # the unit's own intensity in terms of the others': lambda >= 0, phi = 1 + p, and slacks; the origin is feasible
+    a = np.zeros((m + s + 1, n + 1 + m + s + 1))
+    a[:m, :n], a[m : m + s, :n], a[m : m + s, n], a[-1, :n] = (x - xo).T, (yo - y).T, yo, 1
+    a[:, n + 1 :] = np.eye(m + s + 1)
+    b, c = np.append(np.zeros(m + s), 1.0), np.zeros(a.shape[1])
+    c[n] = -1
+    t = np.vstack([np.hstack([a, b[:, None]]), np.append(c, 0.0)])
+    basis = np.arange(n + 1, n + 1 + m + s + 1)
+    _pivots(t, basis, n + 1 + m + s + 1)
+    duals = t[-1, n + 1 : -1]
+    return 1.0 + float(t[-1, -1]), duals[:m], duals[m : m + s]
+
+
+def extreme(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, phi: float, goal: np.ndarray) -> tuple[float, np.ndarray]:
+    """The greatest goal.(v, u) over all optimal prices of a unit with score phi and prices that reach it;
+    if that is unbounded inf, and a direction in which prices may grow."""
+    m, s, n = len(xo), len(yo), len(x)
+    # dual, a column a peer: min (phi - 1) * sum(l) + a with sum l (xo - xj) >= goal_v, sum l (yj - yo) + a yo >= goal_u, l >= 0
+    k = m + s
+    a = np.zeros((k, n + 2 + k))
+    a[:m, :n], a[m:, :n], a[m:, n], a[m:, n + 1], a[:, n + 2 :] = (xo - x).T, (y - yo).T, yo, -yo, -np.eye(k)
+    c = np.concatenate([np.full(n, max(0.0, phi - 1) + TIGHT), [1.0, -1.0], np.zeros(k)])
+    best, _, prices = minimize(a, goal, c)
+    return best, prices
+
+
+def supports(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, phi: float, v: np.ndarray, u: np.ndarray, least: float = 1e-7) -> np.ndarray:
+    """The peers (rows of x, y) with a positive intensity in any optimal solution: the largest support."""
+    # only peers on the optimal prices' face can have one
+    on = np.flatnonzero((x - xo) @ v + (yo - y) @ u + max(0.0, phi - 1) <= 1e-8)
+    m, s, n = len(xo), len(yo), len(on)
+    a = np.zeros((m + s + 1, n + m + s))
+    a[:m, :n], a[m : m + s, :n], a[-1, :n] = x[on].T, -y[on].T, 1
+    a[: m + s, n:] = np.eye(m + s)
+    b = np.concatenate([xo, -(phi - LOOSE) * yo, [1.0]])
+    found = np.zeros(n, bool)
+    for j in range(n):
+        if not found[j]:
+            c = np.zeros(n + m + s)
+            c[j] = -1
+            best, z, _ = minimize(a, b, c)
+            if np.isfinite(best):
+                found |= z[:n] > least
+    return on[found]

@@ -1,9 +1,6 @@
-"""SQL plans that enumerate the corners of small frontiers (some dozens of units): peers, scale and weight ranges.
-
-The texts are ANSI SQL, so another engine can run them. Theta joins here are over candidates of at most a few
-thousand rows, for peer sets whose size is that of a list of countries. tessera.operators.frontier takes larger sets
-for scores, weight ranges and sensitivity; peers and the scale variable are for small sets only, in these plans: two
-inputs, one output and no further split, by joins that grow with the fourth power of the units.
+"""SQL that enumerates the corners of small frontiers (some dozens of units): an independent way to the results of
+tessera.operators.frontier, for two inputs and one output or three indicators. The texts are ANSI SQL, so another engine can run them.
+Their theta joins grow with the fourth power of the units; the engine itself doesn't run them.
 """
 
 from __future__ import annotations

@@ -27,12 +27,13 @@ def dea_bcc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dmu_id", F.round("phi", 6).alias("phi"), F.round("eff", 6).alias("eff"), F.round("target_y", 4).alias("y_target"), "efficient")
 
 
-def _enumerated(sql: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir, "customer", "orders", "nation", "region")
-        return spark.sql(sql)
+def dea_bcc_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.dea_peers(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
 
-    return query
+
+def dea_bcc_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frontier.dea_scale(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
+    return out.select("dmu_id", (F.round("vstar_min", 4) + 0.0).alias("vstar_min"), (F.round("vstar_max", 4) + 0.0).alias("vstar_max"), "rts")
 
 
 def bod_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,8 @@ def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "dea_bcc_score": dea_bcc_score,
-    "dea_bcc_peers": _enumerated(plans.PEERS),
-    "dea_bcc_scale": _enumerated(plans.SCALE),
+    "dea_bcc_peers": dea_bcc_peers,
+    "dea_bcc_scale": dea_bcc_scale,
     "bod_score": bod_score,
     "bod_weights": bod_weights,
     "bod_score_by_region": bod_score_by_region,

@@ -1,7 +1,12 @@
-"""Reading the test tables."""
+"""Reading the test tables, and tables of the engine's own in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,3 +18,19 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers tables as temporary views for SQL plans."""
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the folder that spark.checkpoint.dir names and reads it back: lineage ends there, and any executor can
+    read it. Where that is unset, a local master gets a temporary folder; a cluster has to name one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
