@@ -1,8 +1,9 @@
 """Secret scans (operator 2): candidates in whole texts, judged by corpus-wide ownership frequency.
 
 Three base kinds are found by fixed patterns. The method adds tokens of other shapes (kind "token"): 20 or
-more characters of [A-Za-z0-9_-] with digits and letters of both cases, and at least ENTROPY bits a character. Every candidate's
-hash is counted by distinct repositories and owners over the whole corpus; unless a column tells it, the owner is the part
+more characters of [A-Za-z0-9_-] with digits and letters of both cases, and at least ENTROPY bits a character; and, as one
+span, base64 values with + or / in them, which unlike paths change between letter cases, digits and signs at every 2.5
+characters or sooner. Every candidate's hash is counted by distinct repositories and owners over the whole corpus; unless a column tells it, the owner is the part
 of the repository's name before its first "/" (the whole name if there is none). A value in at most LIVE_OWNERS owners
 is live-looking, in however many of their repositories; one that more owners share is a widely copied example. Added spans are reported where live
 only; base spans always are.
@@ -16,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}={0,2}")
+#: What a base64 value changes between; it has at least 2 such runs in 5 characters.
+RUN = re.compile("[a-z]+|[A-Z]+|[0-9]+|[+/=]+")
 ENTROPY = 3.5
 #: A candidate in more owners than this is a widely copied example.
 LIVE_OWNERS = 2
@@ -52,14 +58,22 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out + [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
 
 
+def mixed(s: str) -> bool:
+    return bool(re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s)) and entropy(s) >= ENTROPY
+
+
+def apart(matches, taken: list) -> list[tuple[str, int, int, str]]:
+    """The matches that no span in `taken` overlaps, as spans."""
+    taken = sorted((a, b) for _, a, b, _ in taken)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    return [("token", m.start(), m.end(), m[0]) for m in matches if not (i := bisect_left(starts, m.end())) or ends[i - 1] <= m.start()]
+
+
 def added_spans(text: str, base: list) -> list[tuple[str, int, int, str]]:
-    """Tokens that no base span overlaps."""
-    out = []
-    for m in TOKEN.finditer(text):
-        s = m[0]
-        if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= ENTROPY and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
-            out.append(("token", m.start(), m.end(), s))
-    return out
+    """Tokens that no base span overlaps; a base64 value goes before the pieces of it."""
+    wide = [m for m in BASE64.finditer(text) if re.search("[+/]", m[0]) and 5 * len(RUN.findall(m[0])) >= 2 * len(m[0]) and mixed(m[0])] if "+" in text or "/" in text else []
+    wide = apart(wide, base)
+    return wide + apart([m for m in TOKEN.finditer(text) if mixed(m[0])], base + wide)
 
 
 def joined(spans) -> str:
@@ -109,14 +123,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOUND = "SELECT r, owner, {k} AS k, '{kind}' AS kind, regexp_extract_all(text, '{p}', 0) AS whole, regexp_extract_all(text, '{p}', {g}) AS value, string_split_regex(text, '{p}') AS gaps FROM t"
 _EITHER = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
-_PATTERNS = (("assign", rf"""({_EITHER})["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)""", 2), ("access", ACCESS.pattern, 0), ("hex", HEX.pattern, 0), ("token", "[A-Za-z0-9_-]{20,}", 0))
+_PATTERNS = (("assign", rf"""({_EITHER})["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)""", 2), ("access", ACCESS.pattern, 0), ("hex", HEX.pattern, 0), ("token", "[A-Za-z0-9_-]{20,}", 0), ("token", "[A-Za-z0-9+/]{20,}={0,2}", 0))
 OP2_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '-' ELSE '=' || split_part(source, '/', 1) END AS owner FROM documents),
 m AS ({" UNION ALL ".join(_FOUND.format(k=k, kind=kind, p=p, g=g) for k, (kind, p, g) in enumerate(_PATTERNS))}),
 c AS (SELECT r, owner, k, kind, length(array_to_string(gaps[1 : i], '')) + length(array_to_string(whole[1 : i - 1], '')) AS a, length(whole[i]) AS n, value[i] AS v FROM m, unnest(range(1, len(whole) + 1)) AS u(i)),
 base AS (SELECT * FROM c WHERE k < 3 AND (k > 0 OR length(v) >= 6)),
-found AS (SELECT * FROM base UNION ALL SELECT * FROM c WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
-  AND list_aggregate(string_split(v, ''), 'entropy') >= {ENTROPY} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.a + c.n AND c.a < b.a + b.n)),
+mixed AS (SELECT * FROM c WHERE k > 2 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND list_aggregate(string_split(v, ''), 'entropy') >= {ENTROPY}),
+whole AS (SELECT * FROM base UNION ALL SELECT * FROM mixed c WHERE k = 4 AND regexp_matches(v, '[+/]') AND 5 * len(regexp_extract_all(v, '{RUN.pattern}')) >= 2 * n
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.a + c.n AND c.a < b.a + b.n)),
+found AS (SELECT * FROM whole UNION ALL SELECT * FROM mixed c WHERE k = 3 AND NOT EXISTS (SELECT 1 FROM whole b WHERE b.r = c.r AND b.a < c.a + c.n AND c.a < b.a + b.n)),
 judged AS (SELECT v, count(DISTINCT owner) <= {LIVE_OWNERS} AS live FROM found GROUP BY v),
 said AS (SELECT r, k, a, a + n AS e, kind || ':' || a || ':' || (a + n) AS s, live FROM found JOIN judged USING (v)),
 per AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,

@@ -312,6 +312,24 @@ def test_op2_long_tokens(spark):
     assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in (2, 3, 4))
 
 
+def test_op2_base64_values(spark):
+    """Whole base64 values, but neither paths nor what a base span overlaps; the same rows as by SQL."""
+    r = random.Random(11)
+    value = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    some = [v for v in (value(r.randint(40, 90)) for _ in range(40)) if any(c in v for c in "+/") and secrets.mixed(v)]
+    texts = [f"é {v}{'=' * (k % 3)} x" for k, v in enumerate(some)]
+    texts += ["see /home/Projects2/Documents/Reports/Final/Version", f"token={some[0]}==", f"a/{'aB3dE5gH7jK9mN1pQ3sT'}.b", f"x_{some[1]}-y", "/" * 50, None]
+    rows = [(i, t, f"o{i}/r") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(x) for x in secrets.scan(df).drop("found").collect()]
+    spans = {x[0]: x[5] for x in got}
+    assert len(some) > 20 and all(spans[k] == f"token:2:{2 + len(v) + k % 3}" for k, v in enumerate(some))
+    assert spans[len(some)] == spans[len(some) + 4] == "" and spans[len(some) + 1].startswith("assign:0:") and "token:" not in spans[len(some) + 1]
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([dict(zip(("doc_id", "text", "source"), x, strict=True)) for x in rows]))
+    assert sorted(got) == sorted(con.execute(secrets.OP2_SQL).fetchall())
+
+
 def test_op10_equals_brute_force(spark):
     r = random.Random(8)
     lines = [words(r, r.randint(8, 14)) for _ in range(12)]
