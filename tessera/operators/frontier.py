@@ -311,26 +311,32 @@ def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], mo
     tops = numbered.groupBy(*([F.col(by).alias("set_")] if by else [F.lit(None).cast(key).alias("set_")])).agg(F.array(*(F.max(c) for c in (*less, *more))).alias("tops"))
     rows = cut(rows.join(tops, rows["set_"].eqNullSafe(tops["set_"])).select(rows["*"], "tops"), "scaled-units")
     peer = T.StructType([T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type)])
-    state = cut(rows.select("u_block", "set_", "u_matrix", "u_numbers", "tops", F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))).alias("work")), "state")
+    state = rows.select("u_block", "set_", "u_matrix", "u_numbers", "tops", F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))).alias("work"))
     asked = T.StructType([*state.schema.fields, T.StructField("prices", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("values", T.BinaryType())])
 
     def solve(it):
+        """Adds a round's new peers to the working sets and solves on these."""
         import pickle
 
         for b in it:
             for r in b.to_pylist():
+                sets = [list(w or []) for w in r["work"]]
+                for n in r["new"] or []:
+                    p = {"row": n["row"], "id": n["id"]}
+                    if p not in sets[n["i"]]:
+                        sets[n["i"]].append(p)
                 tops_ = np.where(np.array(r["tops"]) > 0, r["tops"], 1)
                 own, prices, values = np.frombuffer(r["u_matrix"]).reshape(len(r["u_numbers"]), -1) / tops_, [], []
-                for o, work in zip(own, r["work"], strict=True):
-                    w = np.array([p["row"] for p in work or []]).reshape(-1, len(o))
-                    x, y, ids = problem.prepare(w[:, :m], w[:, m:], [p["id"] for p in work or []])
+                for o, work in zip(own, sets, strict=True):
+                    w = np.array([p["row"] for p in work]).reshape(-1, len(o))
+                    x, y, ids = problem.prepare(w[:, :m], w[:, m:], [p["id"] for p in work])
                     got, points = problem.solve(x, y, o[:m], o[m:], ids)
                     values.append(got)
                     prices.append([p.tolist() for p in points])
-                yield pa.RecordBatch.from_pylist([r | {"prices": prices, "values": pickle.dumps(values)}], schema=asked_arrow)
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} | {"work": sets, "prices": prices, "values": pickle.dumps(values)}], schema=asked_arrow)
 
     broken = T.StructType([T.StructField("u_block", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type), T.StructField("by_much", T.DoubleType())])
-    state_arrow, asked_arrow, broken_arrow = (to_arrow_schema(x) for x in (state.schema, asked, broken))
+    names, asked_arrow, broken_arrow = state.columns, to_arrow_schema(asked), to_arrow_schema(broken)
 
     def look(it):
         for b in it:
@@ -349,18 +355,10 @@ def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], mo
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(("u_block", "i", "row", "id", "by_much"), o, strict=True)) for o in out], schema=broken_arrow)
 
-    def join(it):
-        for b in it:
-            for r in b.to_pylist():
-                work = [list(w or []) for w in r["work"]]
-                for n in r["new"] or []:
-                    if (n["row"], n["id"]) not in [(p["row"], p["id"]) for p in work[n["i"]]]:
-                        work[n["i"]].append({"row": n["row"], "id": n["id"]})
-                yield pa.RecordBatch.from_pylist([{c: r[c] for c in state_arrow.names} | {"work": work}], schema=state_arrow)
-
     # blocks of units and of peers meet by numbers: each is copied to the places where it meets the others' groups
     g, h = max(1, -(-table.count() // MEET_PEERS)), max(1, -(-rows.count() // MEET_UNITS))
     table = table.select(F.col("set_").alias("p_set"), "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    state = state.withColumn("new", F.lit(None).cast(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *peer.fields]))))
     while True:
         solved = cut(state.mapInArrow(solve, asked), "solved")
         dealt = solved.withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)), "g": F.explode(F.sequence(F.lit(0), F.lit(g - 1)))})
@@ -372,7 +370,7 @@ def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], mo
         if new.isEmpty():
             break
         per = new.groupBy("u_block").agg(F.collect_list(F.struct("i", "row", "id")).alias("new"))
-        state = cut(solved.drop("prices", "values").join(per, "u_block", "left").mapInArrow(join, state.schema), "state")
+        state = solved.drop("prices", "values").join(per, "u_block", "left")
 
     def finish(it):
         import pickle
