@@ -162,7 +162,10 @@ def learn(docs: DataFrame, rows: int = SAMPLE) -> Model | None:
     if not counts.any():
         return None
     prior = np.array([n for _, n in known], np.float64)
-    return Model([lang for lang, _ in known], (counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS), prior / prior.sum())
+    likelihood = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)
+    unseen = ~counts.any(1)
+    likelihood[unseen] = likelihood[unseen].mean(1, keepdims=True)  # tells nothing, though languages differ in size
+    return Model([lang for lang, _ in known], likelihood, prior / prior.sum())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
