@@ -16,6 +16,10 @@ Rows with equal or null ids are units each on their own.
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,22 +27,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from tessera.operators import facets as hulls
 from tessera.operators import simplex
-from tessera.sources.tables import cut
+from tessera.operators.boundtree import Tree
+from tessera.sources.tables import Scratch
 
 #: Bytes of candidates that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Units that the driver may hold; larger sets are pruned on executors.
 SMALL = 10_000
+#: Units of a peer set that is solved in one task.
+GROUP_UNITS = 4096
+#: Candidates and facets of a set whose facets are built.
+HULL_UNITS, HULL_FACETS = 20_000, 200_000
+#: From so many peers on, a tree looks for those that matter.
+MANY = 512
 #: Units pruned against each other at once; peers of a block, units of a block; blocks of each that meet in one place.
 PART, PEERS, UNITS = 20_000, 4096, 512
 MEET_PEERS, MEET_UNITS = 8, 64
 #: A unit is efficient from this score on.
 EFFICIENT = 1 - 1e-9
-#: By so much (of prices with u.yo = 1) a peer's constraint must be broken to join a working set; peers that join at a time.
-BROKEN, JOIN = 1e-9, 4
+#: By so much (of prices with u.yo = 1) a peer's constraint must be broken to join a working set, and so near one only touches it; peers
+#: that join at a time.
+BROKEN, TOUCHING, JOIN = 1e-9, 1e-8, 4
 
 
 def _good(measures: list[str]) -> Column:
@@ -63,25 +75,30 @@ def skipped(df: DataFrame, inputs: list[str], outputs: list[str], by: str | None
     return _doubles(df, kept, [*inputs, *outputs]).groupBy(*kept).agg(F.count("*").alias("units"), F.sum(F.when(part, 0).otherwise(1)).cast("long").alias("skipped"))
 
 
-def undominated(less: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Rows that no other one equals or betters in every column (smaller in `less`, larger in `more`); of equal rows the first."""
+def undominated(less: np.ndarray, more: np.ndarray, weak: bool = False) -> np.ndarray:
+    """Rows that no other one equals or betters in every column (smaller in `less`, larger in `more`); of equal rows the first.
+
+    weak: rows that no other one betters in every column; these may lie on the frontier, if not at a corner.
+    """
     both = np.hstack([less, -more])
     if not both.shape[1]:
-        return np.arange(min(1, len(both)))
+        return np.arange(len(both) if weak else min(1, len(both)))
     order = np.lexsort((*both.T[::-1], both.sum(1)))  # a row can only be dominated by one before it
     kept = np.zeros((0, both.shape[1]))
     found = []
+    beats = np.less if weak else np.less_equal
     for at in range(0, len(order), 256):
         rows = order[at : at + 256]
         part = both[rows]
         free = np.ones(len(rows), bool)
         for k in range(0, len(kept), 4096):
-            free[free] = ~(kept[k : k + 4096, None] <= part[None, free]).all(2).any(0)
+            free[free] = ~beats(kept[k : k + 4096, None], part[None, free]).all(2).any(0)
         rows, part = rows[free], part[free]
-        beats = (part[:, None] <= part[None]).all(2)
-        free = ~np.triu(beats, 1).any(0)
+        free = ~np.triu(beats(part[:, None], part[None]).all(2), 1).any(0)
         found.append(rows[free])
         kept = np.vstack([kept, part[free]])
+        if weak:  # only corners beat others
+            kept = kept[np.append(True, (kept[1:] != kept[:-1]).any(1))]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, int)
 
 
@@ -99,42 +116,42 @@ def _matrix(batch, names: list[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in names]).astype(float) if names else np.zeros((batch.num_rows, 0))
 
 
-def _pruned(batch, less: list[str], more: list[str], by: str | None):
+def _pruned(batch, less: list[str], more: list[str], by: str | None, weak: bool):
     x, y = _matrix(batch, less), _matrix(batch, more)
-    keep = [rows[undominated(x[rows], y[rows])] for rows in _grouped(batch, by).values()]
+    keep = [rows[undominated(x[rows], y[rows], weak)] for rows in _grouped(batch, by).values()]
     return batch.take(pa.array(np.sort(np.concatenate(keep)))) if keep else batch
 
 
-def _prune(less, more, by):
+def _prune(less, more, by, weak):
     def run(it):
         held, n = [], 0
         for b in it:
             held.append(b)
             n += b.num_rows
             if n >= PART:
-                table = _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by)
+                table = _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by, weak)
                 held, n = table.to_batches(), table.num_rows
                 if n >= PART // 2:
                     yield from held
                     held, n = [], 0
         if held:
-            yield from _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by).to_batches()
+            yield from _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by, weak).to_batches()
 
     return run
 
 
-def _candidates(units: DataFrame, less: list[str], more: list[str], by: str | None, dominated: bool) -> DataFrame | None:
-    """Undominated units (all, if dominated ones count), as a written table; more stages while they take away a fifth."""
-    names = [c for c in units.columns if c in (by, *less, *more) or dominated]
-    left = units.select(*names)
-    if dominated:
-        return cut(left, "peers")
-    n, before = None, None
+def _candidates(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, weak: bool, scratch: Scratch) -> DataFrame:
+    """Undominated units as a written table; more stages while they take away a fifth. weak: also those that may lie on a facet
+    beside its corners, with their ids; of equal units the one of the least id."""
+    names = [c for c in units.columns if c in (by, *less, *more)]
+    left = units.groupBy(*names).agg(F.min(id_).alias(id_)) if weak and id_ not in names else units.select(*names)
+    n, before, stage = None, None, 0
     while before is None or n > PART and n < 0.8 * before:
         if n is not None:
             left = left.repartition(max(1, n // PART), F.rand(17))
-        left = cut(left.mapInArrow(_prune(less, more, by), left.schema), "candidates")
-        n, before = left.count(), n if n is not None else float("inf")
+        left = scratch.cut(left.mapInArrow(_prune(less, more, by, weak), left.schema), f"candidates-{stage}")
+        scratch.drop(f"candidates-{stage - 1}")
+        n, before, stage = left.count(), n if n is not None else float("inf"), stage + 1
     return left
 
 
@@ -150,6 +167,8 @@ class Problem:
 
     columns: tuple[tuple[str, T.DataType, pa.DataType], ...]
     touching = False
+    #: Whether `by_facets` can answer.
+    on_facets = False
 
     def prepare(self, x, y, ids):
         """The peers of a set as `solve` needs them."""
@@ -158,6 +177,15 @@ class Problem:
     def solve(self, x, y, xo, yo, ids):
         raise NotImplementedError
 
+    def many(self, x, y, xo, yo, ids) -> list[tuple]:
+        """The values of many units of a set."""
+        if len(x) > MANY and x.shape[1] + y.shape[1]:
+            return _by_tree(self, x, y, xo, yo, ids)
+        return [self.solve(*_scaled(x, y, a, b)[:4], ids)[0] for a, b in zip(xo, yo, strict=True)]
+
+    def by_facets(self, facets: tuple, x, y, xo, yo, ids) -> list[tuple]:
+        raise NotImplementedError
+
 
 def _prices(phi, v, u, xo):
     return np.concatenate([v, u, [phi - v @ xo]])
@@ -170,14 +198,48 @@ def _extreme(best, phi, v, u, xo, yo):
 
 class Score(Problem):
     columns = (("phi", T.DoubleType(), pa.float64()),)
+    on_facets = True
 
     def solve(self, x, y, xo, yo, ids):
         phi, v, u = simplex.score(x, y, xo, yo)
         return (max(1.0, phi),), [_prices(phi, v, u, xo)] if np.isfinite(phi) else []
 
+    def many(self, x, y, xo, yo, ids):
+        if len(x) > MANY:
+            return super().many(x, y, xo, yo, ids)
+        return [(p,) for p in np.maximum(1, simplex.scores(x, y, xo, yo)[:, 0]).tolist()]
+
+    def by_facets(self, facets, x, y, xo, yo, ids):
+        return [(p,) for p in np.maximum(1, hulls.scores(facets, xo, yo)).tolist()]
+
+
+class Sensitivity(Problem):
+    """phi with all measures, then without each of `dropped` (a number below inputs + outputs)."""
+
+    def __init__(self, dropped: tuple[int, ...]):
+        self.dropped = dropped
+        self.columns = tuple((f"_phi_{k}", T.DoubleType(), pa.float64()) for k in range(len(dropped) + 1))
+
+    def solve(self, x, y, xo, yo, ids):
+        m, values, prices = len(xo), [], []
+        for d in (-1, *self.dropped):
+            left = np.arange(m + len(yo)) != d
+            phi, v, u = simplex.score(x[:, left[:m]], y[:, left[m:]], xo[left[:m]], yo[left[m:]])
+            values.append(max(1.0, phi))
+            if np.isfinite(phi):
+                p = np.zeros(m + len(yo) + 1)
+                p[:-1][left], p[-1] = np.concatenate([v, u]), phi - v @ xo[left[:m]]
+                prices.append(p)
+        return tuple(values), prices
+
+    def many(self, x, y, xo, yo, ids):
+        if len(x) > MANY:
+            return super().many(x, y, xo, yo, ids)
+        return [tuple(p) for p in np.maximum(1, simplex.scores(x, y, xo, yo, self.dropped)).tolist()]
+
 
 class Peers(Problem):
-    touching = True
+    touching = on_facets = True
 
     def __init__(self, id_type: T.DataType, arrow: pa.DataType):
         self.columns = (("peers", T.ArrayType(id_type), pa.list_(arrow)),)
@@ -194,9 +256,13 @@ class Peers(Problem):
         on = simplex.supports(x, y, xo, yo, phi, v, u)
         return ([ids[i] for i in on],), [_prices(phi, v, u, xo)]
 
+    def by_facets(self, facets, x, y, xo, yo, ids):
+        return [([ids[i] for i in on],) for on in hulls.peers(facets, x, y, xo, yo)]
+
 
 class Scale(Problem):
     columns = tuple((c, T.DoubleType(), pa.float64()) for c in ("phi", "vstar_min", "vstar_max"))
+    on_facets = True
 
     def solve(self, x, y, xo, yo, ids):
         phi, v, u = simplex.score(x, y, xo, yo)
@@ -207,6 +273,10 @@ class Scale(Problem):
             prices.append(_extreme(best, phi, p[: len(xo)], p[len(xo) :], xo, yo))
         return (max(1.0, phi), *ends), prices
 
+    def by_facets(self, facets, x, y, xo, yo, ids):
+        phi, low, high = hulls.scales(facets, xo, yo)
+        return [(max(1.0, p), a if np.isfinite(a) else None, b) for p, a, b in zip(phi.tolist(), low.tolist(), high.tolist(), strict=True)]
+
 
 class Weights(Problem):
     def __init__(self, n: int):
@@ -226,14 +296,81 @@ class Weights(Problem):
         return tuple(ends), prices
 
 
-def _run(it, problem: Problem, less, more, by, kept: list[str], peers: dict):
-    """Solves the problem for each unit against the peers of its set: {set: (x, y, ids)}."""
+@dataclass
+class Working:
+    """A unit's working set: peers by key, their rows and ids, and what solving on them gave."""
+
+    rows: dict
+    values: tuple = ()
+    prices: list | None = None
+
+    def solve(self, problem: Problem, own: np.ndarray, m: int) -> None:
+        z = np.array([r for r, _ in self.rows.values()]).reshape(-1, len(own))
+        x, y, ids = problem.prepare(z[:, :m], z[:, m:], [i for _, i in self.rows.values()])
+        self.values, self.prices = problem.solve(x, y, own[:m], own[m:], ids)
+
+
+def _widen(problem: Problem, m: int, tree: Tree, ids, name: Callable[[int], tuple], own: np.ndarray, work: list[Working], units: list[int]) -> set[int]:
+    """Adds peers of the tree to the working sets of `units` until none breaks their prices (or touches them, where that counts); the
+    units that got any. First the most broken few join; those that only touch come last."""
+    live, joined = [i for i in units if work[i].prices is None or work[i].prices], set()
+    for i in live:
+        if work[i].prices is None:
+            work[i].solve(problem, own[i], m)
+    touch = False
+    while live:
+        at, prices = zip(*((i, p) for i in live for p in work[i].prices), strict=True) if any(work[i].prices for i in live) else ((), ())
+        p = np.array(prices).reshape(-1, own.shape[1] + 1)
+        w, least = np.hstack([-p[:, :m], p[:, m:-1]]), p[:, -1] + (-TOUCHING if touch else BROKEN)
+        if not touch:  # nearly as broken as the worst one found at once
+            least = np.maximum(least, p[:, -1] + 0.5 * np.maximum(0, tree.best(w) - p[:, -1]))
+        q, rows, value = tree.search(w, least)
+        order = np.lexsort((rows, -(value - p[q, -1]), q))
+        got, taken = set(), Counter()
+        for k in order.tolist():
+            i, key = at[q[k]], name(int(rows[k]))
+            if key not in work[i].rows and (touch or taken[q[k]] < JOIN):
+                taken[q[k]] += 1
+                work[i].rows[key] = (tree.z[rows[k]], ids[tree.order[rows[k]]])
+                got.add(i)
+        for i in got:
+            work[i].solve(problem, own[i], m)
+        joined |= got
+        if touch:
+            live, touch = sorted(got), False
+        elif got:
+            live = sorted(got) if not problem.touching else live
+        elif problem.touching:
+            touch = True
+        else:
+            live = []
+    return joined
+
+
+def _by_tree(problem: Problem, x, y, xo, yo, ids) -> list[tuple]:
+    """`Problem.many` for many peers: working sets that a tree over the peers widens."""
+    m = x.shape[1]
+    z = np.hstack([x, y])
+    scale = np.where(z.max(0) > 0, z.max(0), 1)
+    tree, own = Tree(z / scale), np.hstack([xo, yo]) / scale
+    place = np.argsort(tree.order)
+    first = {int(k): (z[k] / scale, ids[k]) for k in np.unique(np.concatenate([x.argmin(0), y.argmax(0)]).astype(int))}
+    start = {(int(place[k]),): v for k, v in first.items()}
+    work = [Working(dict(start)) for _ in own]
+    for at in range(0, len(own), UNITS):
+        _widen(problem, m, tree, ids, lambda r: (r,), own, work, list(range(at, min(len(own), at + UNITS))))
+    return [w.values for w in work]
+
+
+def _run(it, problem: Problem, less, more, by, kept: list[str], peers: dict, facets: dict | None = None):
+    """Solves the problem for each unit against the peers of its set: {set: (x, y, ids)}, or from facets {set: (v, u, t)}."""
     for b in it:
-        x, y, values = _matrix(b, less), _matrix(b, more), []
-        keys = b.column(by).to_pylist() if by else [None] * b.num_rows
-        for xo, yo, k in zip(x, y, keys, strict=True):
-            px, py, ids = peers[k]
-            values.append(problem.solve(*_scaled(px, py, xo, yo)[:4], ids)[0])
+        x, y, values = _matrix(b, less), _matrix(b, more), [()] * b.num_rows
+        for key, rows in _grouped(b, by).items():
+            px, py, ids = peers.get(key) or (None, None, None)
+            got = problem.by_facets(facets[key], px, py, x[rows], y[rows], ids) if facets else problem.many(px, py, x[rows], y[rows], ids)
+            for i, v in zip(rows, got, strict=True):
+                values[i] = v
         yield _out(b, kept, values, problem)
 
 
@@ -248,26 +385,97 @@ def _sets(table: pa.Table, less, more, by, id_, problem: Problem) -> dict:
     return {k: problem.prepare(x[rows], y[rows], [ids[i] for i in rows]) for k, rows in _grouped(table, by).items()}
 
 
+def _schema(units: DataFrame, problem: Problem) -> T.StructType:
+    return T.StructType([*units.schema.fields, *(T.StructField(c, t) for c, t, _ in problem.columns)])
+
+
 def _solve(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem) -> DataFrame:
-    """units with the problem's columns: one pass over units against broadcast candidates, or rounds over blocks of peers."""
-    spark = units.sparkSession
-    kept = units.columns
-    schema = T.StructType([*units.schema.fields, *(T.StructField(c, t) for c, t, _ in problem.columns)])
+    """units with the problem's columns: few units against broadcast peers; many by peer set, the sets that a task can hold each in
+    one, and larger ones by `_solve_large`."""
+    spark, kept = units.sparkSession, units.columns
     few = units.limit(SMALL + 1).toArrow()
     if few.num_rows <= SMALL:
         units = spark.createDataFrame(few, units.schema) if few.num_rows else units
-        peers = few if problem.touching else _pruned(few.combine_chunks(), less, more, by)
-    else:
-        table = _candidates(units, less, more, by, problem.touching)
-        if 8 * len(table.columns) * table.count() > BROADCAST_BYTES:
-            return _in_blocks(units, table, id_, less, more, by, problem, schema)
-        peers = table.toArrow()
-    shared = spark.sparkContext.broadcast(_sets(peers, less, more, by, id_, problem))
-    return units.mapInArrow(lambda it: _run(it, problem, less, more, by, kept, shared.value), schema)
+        shared = spark.sparkContext.broadcast(_sets(_pruned(few.combine_chunks(), less, more, by, problem.touching), less, more, by, id_, problem))
+        return units.mapInArrow(lambda it: _run(it, problem, less, more, by, kept, shared.value), _schema(units, problem))
+    scratch = Scratch(spark, "frontier")
+    if not by:
+        return _solve_large(units, id_, less, more, by, problem, scratch)
+    large = scratch.cut(units.groupBy(F.col(by).alias("_set")).agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_UNITS).select("_set", F.lit(True).alias("_large")), "large-sets")
+    n_large = large.count()
+    if not n_large:
+        return _solve_sets(units, id_, less, more, by, problem)
+    large = F.broadcast(large) if n_large * 256 <= BROADCAST_BYTES else large
+    marked = units.join(large, F.col(by).eqNullSafe(F.col("_set")), "left")
+    small, rest = marked.filter("_large is null").select(*kept), marked.filter("_large is not null").select(*kept)
+    return _solve_sets(small, id_, less, more, by, problem).unionByName(_solve_large(rest, id_, less, more, by, problem, scratch))
+
+
+def _solve_sets(units: DataFrame, id_: str, less: list[str], more: list[str], by: str, problem: Problem) -> DataFrame:
+    """Each peer set in a task of its own kind: nothing is broadcast."""
+    kept = units.columns
 
+    def solve(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        peers = _sets(_pruned(batch, less, more, None, problem.touching), less, more, None, id_, problem)
+        return pa.Table.from_batches(_run([batch], problem, less, more, None, kept, peers))
+
+    return units.groupBy(by).applyInArrow(solve, _schema(units, problem))
+
+
+def _solve_large(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem, scratch: Scratch) -> DataFrame:
+    """Sets that one task can't hold: from facets of few measures, else against broadcast candidates, else in rounds over blocks."""
+    spark, kept = units.sparkSession, units.columns
+    table = _candidates(units, id_, less, more, by, problem.touching, scratch)
+    fits = 8 * len(table.columns) * table.count() <= BROADCAST_BYTES
+    if fits and problem.on_facets and len(less) + len(more) <= hulls.MEASURES:
+        found = scratch.cut(_facets(table, id_, less, more, by, False), "facets")
+        n, short = found.agg(F.count("*"), F.count("t")).first()
+        if n == short and 8 * (len(less) + len(more) + 1) * n <= BROADCAST_BYTES:
+            rows = found.toArrow()
+            v, u, t = (np.array(rows.column(c).to_pylist(), float).reshape(n, -1) for c in ("v", "u", "t"))
+            facets = spark.sparkContext.broadcast({k: (v[i], u[i], t[i, 0]) for k, i in _grouped(rows, "set_" if by else None).items()})
+            peers = spark.sparkContext.broadcast(_sets(table.toArrow(), less, more, by, id_, problem) if problem.touching else {})
+            return units.mapInArrow(lambda it: _run(it, problem, less, more, by, kept, peers.value, facets.value), _schema(units, problem))
+    if not fits:
+        return _in_blocks(units, table, id_, less, more, by, problem, scratch)
+    shared = spark.sparkContext.broadcast(_sets(table.toArrow(), less, more, by, id_, problem))
+    return units.mapInArrow(lambda it: _run(it, problem, less, more, by, kept, shared.value), _schema(units, problem))
+
+
+def _facets(table: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, corners: bool) -> DataFrame:
+    """set_, v, u, t (and corners: ids of the units on it) of each facet of the sets of a table of candidates; a set of too many has
+    one row of nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def _packed(names: list[str], less, more, by, id_, rows: int):
-    """Rows of each peer set in blocks: (set, block, x and y as bytes, ids)."""
+    key = table.schema[by].dataType if by else T.StringType()
+    fields = [T.StructField("set_", key), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("u", T.ArrayType(T.DoubleType())), T.StructField("t", T.DoubleType())]
+    fields += [T.StructField("corners", T.ArrayType(table.schema[id_].dataType))] if corners else []
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+
+    def build(rows: pa.Table) -> pa.Table:
+        x, y = _matrix(rows, less), _matrix(rows, more)
+        name = rows.column("set_").to_pylist()[0]
+        try:
+            if len(x) > HULL_UNITS:
+                raise hulls.TooMany
+            v, u, t = hulls.hull(x, y, HULL_FACETS)
+        except hulls.TooMany:
+            return pa.Table.from_pylist([{"set_": name}], schema=arrow)
+        out = [{"set_": name, "v": a, "u": b, "t": c} for a, b, c in zip(v.tolist(), u.tolist(), t.tolist(), strict=True)]
+        if corners:
+            ids = rows.column(id_).to_pylist()
+            for row, a, b, c in zip(out, v, u, t, strict=True):
+                row["corners"] = [ids[i] for i in np.flatnonzero(np.abs(x @ a + c - y @ b) <= hulls.TIED)]
+        return pa.Table.from_pylist(out, schema=arrow)
+
+    named = table.withColumn("set_", F.col(by) if by else F.lit(None).cast(key))
+    return named.groupBy("set_").applyInArrow(build, schema)
+
+
+def _packed(names: list[str], less, more, by, id_, rows: int, tree: bool):
+    """Rows of each peer set in blocks: (set, block, x and y as bytes, ids, numbers), in the order of a bound tree if there is to be one."""
 
     def run(it):
         from pyspark import TaskContext
@@ -278,7 +486,11 @@ def _packed(names: list[str], less, more, by, id_, rows: int):
             nonlocal n
             x, ids, numbers = zip(*held.pop(key), strict=True)
             n += 1
-            return pa.RecordBatch.from_pylist([{"set_": key, "block": (part << 32) + n, "matrix": np.array(x).tobytes(), "ids": list(ids), "numbers": list(numbers)}], schema=names)
+            x, order = np.array(x), range(len(ids))
+            if tree:
+                order = Tree(x).order
+                x = x[order]
+            return pa.RecordBatch.from_pylist([{"set_": key, "block": (part << 32) + n, "matrix": x.tobytes(), "ids": [ids[i] for i in order], "numbers": [numbers[i] for i in order]}], schema=names)
 
         for b in it:
             m = np.hstack([_matrix(b, less), _matrix(b, more)])
@@ -295,93 +507,93 @@ def _packed(names: list[str], less, more, by, id_, rows: int):
     return run
 
 
-def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem, schema: T.StructType) -> DataFrame:
-    """The problem by working sets: rounds of solving on these and of looking through all blocks of peers for broken constraints."""
+def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, problem: Problem, scratch: Scratch) -> DataFrame:
+    """The problem by working sets: in each round the units whose sets grew meet all blocks of peers. Where a block of units meets one of
+    peers, its bound tree widens their sets until no peer of that block breaks a constraint; what joined and matters goes back to
+    the units. The last round finds nothing more, so the sets' optima are those of all peers."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark, kept, m = units.sparkSession, units.columns, len(less)
+    kept, measures, m = units.columns, [*less, *more], len(less)
     key = units.schema[by].dataType if by else T.StringType()
     id_type = units.schema[id_].dataType
     block = T.StructType([T.StructField("set_", key), T.StructField("block", T.LongType()), T.StructField("matrix", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("numbers", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(block)
-    numbered = cut(units.withColumn("_no", F.monotonically_increasing_id()), "units")
-    table = cut(peers.mapInArrow(_packed(arrow, less, more, by, id_, PEERS), block), "peer-blocks")
-    rows = cut(numbered.mapInArrow(_packed(arrow, less, more, by, id_, UNITS), block), "unit-blocks").withColumnsRenamed({"block": "u_block", "matrix": "u_matrix", "ids": "u_ids", "numbers": "u_numbers"})
-    # the measures' maxima of each set scale all its programmes alike
-    tops = numbered.groupBy(*([F.col(by).alias("set_")] if by else [F.lit(None).cast(key).alias("set_")])).agg(F.array(*(F.max(c) for c in (*less, *more))).alias("tops"))
-    rows = cut(rows.join(tops, rows["set_"].eqNullSafe(tops["set_"])).select(rows["*"], "tops"), "scaled-units")
-    peer = T.StructType([T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type)])
-    state = rows.select("u_block", "set_", "u_matrix", "u_numbers", "tops", F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))).alias("work"))
-    asked = T.StructType([*state.schema.fields, T.StructField("prices", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("values", T.BinaryType())])
+    # the measures' maxima of each set scale all its programmes alike; each measure's best peers start all working sets
+    numbered = scratch.cut(units.withColumn("_no", F.monotonically_increasing_id()), "units")
+    own_set = F.col(by) if by else F.lit(None).cast(key)
+    tops = numbered.groupBy(own_set.alias("top_set")).agg(*(F.max(c).alias(f"_top_{i}") for i, c in enumerate(measures)))
+    tops = scratch.cut(tops.withColumns({f"_top_{i}": F.when(F.col(f"_top_{i}") > 0, F.col(f"_top_{i}")).otherwise(1.0) for i in range(len(measures))}), "tops")
+    tops = F.broadcast(tops) if tops.count() * 8 * (len(measures) + 32) <= BROADCAST_BYTES else tops
+
+    def scaled(df):
+        return df.join(tops, own_set.eqNullSafe(F.col("top_set"))).withColumns({c: F.col(c) / F.col(f"_top_{i}") for i, c in enumerate(measures)}).select(*df.columns)
+
+    table = scratch.cut(scaled(peers).mapInArrow(_packed(arrow, less, more, by, id_, PEERS, True), block), "peer-blocks")
+    rows = scratch.cut(scaled(numbered).mapInArrow(_packed(arrow, less, more, by, id_, UNITS, False), block), "unit-blocks").select("set_", F.col("block").alias("u_block"), F.col("matrix").alias("u_matrix"), F.col("numbers").alias("u_numbers"))
+    peer = T.StructType([T.StructField("block", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type)])
+    new = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *peer.fields]))
+    state = rows.withColumns({"work": F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))), "new": F.lit(None).cast(new), "round": F.lit(0)})
+    asked = T.StructType([*(f for f in state.schema.fields if f.name not in ("new", "round")), T.StructField("live", T.ArrayType(T.IntegerType())), T.StructField("prices", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("values", T.BinaryType())])
+    asked_arrow, dims = to_arrow_schema(asked), len(measures)
+
+    def sets_of(r) -> list[Working]:
+        return [Working({(p["block"], p["no"]): (np.array(p["row"]), p["id"]) for p in w or []}) for w in r["work"]]
 
     def solve(it):
         """Adds a round's new peers to the working sets and solves on these."""
-        import pickle
-
         for b in it:
             for r in b.to_pylist():
-                sets = [list(w or []) for w in r["work"]]
+                own, work = np.frombuffer(r["u_matrix"]).reshape(-1, dims), sets_of(r)
                 for n in r["new"] or []:
-                    p = {"row": n["row"], "id": n["id"]}
-                    if p not in sets[n["i"]]:
-                        sets[n["i"]].append(p)
-                tops_ = np.where(np.array(r["tops"]) > 0, r["tops"], 1)
-                own, prices, values = np.frombuffer(r["u_matrix"]).reshape(len(r["u_numbers"]), -1) / tops_, [], []
-                for o, work in zip(own, sets, strict=True):
-                    w = np.array([p["row"] for p in work]).reshape(-1, len(o))
-                    x, y, ids = problem.prepare(w[:, :m], w[:, m:], [p["id"] for p in work])
-                    got, points = problem.solve(x, y, o[:m], o[m:], ids)
-                    values.append(got)
-                    prices.append([p.tolist() for p in points])
-                yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} | {"work": sets, "prices": prices, "values": pickle.dumps(values)}], schema=asked_arrow)
-
-    broken = T.StructType([T.StructField("u_block", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type), T.StructField("by_much", T.DoubleType())])
-    names, asked_arrow, broken_arrow = state.columns, to_arrow_schema(asked), to_arrow_schema(broken)
+                    work[n["i"]].rows[n["block"], n["no"]] = (np.array(n["row"]), n["id"])
+                live = sorted({n["i"] for n in r["new"] or []}) if r["round"] else list(range(len(own)))
+                for w, o in zip(work, own, strict=True):
+                    w.solve(problem, o, m)
+                yield pa.RecordBatch.from_pylist([{"u_block": r["u_block"], "set_": r["set_"], "u_matrix": r["u_matrix"], "u_numbers": r["u_numbers"], "live": live, "work": [[{"block": k[0], "no": k[1], "row": z.tolist(), "id": i} for k, (z, i) in w.rows.items()] for w in work], "prices": [[p.tolist() for p in w.prices] for w in work], "values": pickle.dumps([w.values for w in work])}], schema=asked_arrow)
+
+    broken = T.StructType([T.StructField("u_block", T.LongType()), T.StructField("i", T.IntegerType()), *peer.fields])
+    broken_arrow = to_arrow_schema(broken)
 
     def look(it):
         for b in it:
             for r in b.to_pylist():
-                tops_ = np.where(np.array(r["tops"]) > 0, r["tops"], 1)
-                peers_ = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1) / tops_
+                own, work, tree = np.frombuffer(r["u_matrix"]).reshape(-1, dims), sets_of(r), Tree(np.frombuffer(r["matrix"]).reshape(-1, dims), True)
+                known = [set(w.rows) for w in work]
+                for w, p in zip(work, r["prices"], strict=True):
+                    w.prices = [np.array(x) for x in p]
                 out = []
-                for i, (points, work) in enumerate(zip(r["prices"], r["work"], strict=True)):
-                    known = {(tuple(p["row"]), p["id"]) for p in work or []}
-                    for p in points:
-                        p = np.array(p)
-                        gap = peers_[:, m:] @ p[m:-1] - peers_[:, :m] @ p[:m] - p[-1]
-                        for j in np.argsort(-gap, kind="stable")[: JOIN + len(known)] if not problem.touching else np.flatnonzero(gap > -1e-8):
-                            if gap[j] > (BROKEN if not problem.touching else -1e-8) and (tuple(peers_[j]), r["ids"][j]) not in known:
-                                out.append((r["u_block"], i, peers_[j].tolist(), r["ids"][j], float(gap[j])))
+                for i in sorted(_widen(problem, m, tree, r["ids"], lambda k, at=r["block"]: (at, k), own, work, r["live"])):
+                    for k, (z, id__) in work[i].rows.items():
+                        if k not in known[i] and any(z[m:] @ p[m:-1] - z[:m] @ p[:m] - p[-1] > -1e-6 for p in work[i].prices):
+                            out.append((r["u_block"], i, *k, z.tolist(), id__))
                 if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("u_block", "i", "row", "id", "by_much"), o, strict=True)) for o in out], schema=broken_arrow)
+                    yield pa.RecordBatch.from_pylist([dict(zip(broken.names, o, strict=True)) for o in out], schema=broken_arrow)
 
     # blocks of units and of peers meet by numbers: each is copied to the places where it meets the others' groups
     g, h = max(1, -(-table.count() // MEET_PEERS)), max(1, -(-rows.count() // MEET_UNITS))
-    table = table.select(F.col("set_").alias("p_set"), "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
-    state = state.withColumn("new", F.lit(None).cast(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *peer.fields]))))
+    table = table.select(F.col("set_").alias("p_set"), "block", "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    turn = 0
     while True:
-        solved = cut(state.mapInArrow(solve, asked), "solved")
-        dealt = solved.withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)), "g": F.explode(F.sequence(F.lit(0), F.lit(g - 1)))})
+        solved = scratch.cut(state.mapInArrow(solve, asked), f"solved-{turn}")
+        scratch.drop(f"solved-{turn - 1}", f"broken-{turn - 1}")
+        dealt = solved.filter(F.size("live") > 0).withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)), "g": F.explode(F.sequence(F.lit(0), F.lit(g - 1)))})
         met = dealt.join(table, (dealt["g"] == table["g"]) & (dealt["h"] == table["h"]) & F.col("set_").eqNullSafe(F.col("p_set")))
-        new = met.select("u_block", "prices", "work", "tops", "matrix", "ids").mapInArrow(look, broken)
-        if not problem.touching:  # the worst few of each unit are enough for a round
-            new = new.withColumn("n", F.row_number().over(Window.partitionBy("u_block", "i").orderBy(F.col("by_much").desc(), "row"))).filter(F.col("n") <= JOIN).drop("n")
-        new = cut(new, "broken")
-        if new.isEmpty():
+        found = scratch.cut(met.select("u_block", "u_matrix", "live", "prices", "work", "block", "matrix", "ids").mapInArrow(look, broken), f"broken-{turn}")
+        if found.isEmpty():
             break
-        per = new.groupBy("u_block").agg(F.collect_list(F.struct("i", "row", "id")).alias("new"))
-        state = solved.drop("prices", "values").join(per, "u_block", "left")
+        per = found.groupBy("u_block").agg(F.collect_list(F.struct("i", *peer.names)).alias("new"))
+        state = solved.drop("prices", "values", "live").join(per, "u_block", "left").withColumn("round", F.lit(turn + 1))
+        turn += 1
 
     def finish(it):
-        import pickle
-
         for b in it:
             for r in b.to_pylist():
                 columns = list(zip(*pickle.loads(r["values"]), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(r["u_numbers"], pa.int64()), *(pa.array(c, t) for c, (_, _, t) in zip(columns, problem.columns, strict=True))], names=["_no", *(c for c, _, _ in problem.columns)])
 
-    found = solved.select("u_numbers", "values").mapInArrow(finish, T.StructType([T.StructField("_no", T.LongType()), *(T.StructField(c, t) for c, t, _ in problem.columns)]))
-    return numbered.join(found, "_no").select(*kept, *(c for c, _, _ in problem.columns))
+    results = solved.select("u_numbers", "values").mapInArrow(finish, T.StructType([T.StructField("_no", T.LongType()), *(T.StructField(c, t) for c, t, _ in problem.columns)]))
+    scratch.drop("peer-blocks", "unit-blocks", f"broken-{turn}")
+    return numbered.join(results, "_no").select(*kept, *(c for c, _, _ in problem.columns))
 
 
 def _scored(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None) -> DataFrame:
@@ -438,13 +650,11 @@ def dea_sensitivity(df: DataFrame, id_: str, inputs: list[str], outputs: list[st
 
     Without an output, units whose others are all 0 have no score: eff and delta are null.
     """
-    runs = [(d, [i for i in inputs if i != d], outputs) for d in inputs if len(inputs) > 1]
-    runs += [(d, inputs, [o for o in outputs if o != d]) for d in outputs if len(outputs) > 1]
+    runs = [d for of in (inputs, outputs) if len(of) > 1 for d in of]
     if not runs:
         raise ValueError("there is no variable that can be dropped")
-    keys, out = _keys(id_, by), _scored(df, id_, inputs, outputs, by)
-    for k, (_, less, more) in enumerate([("", inputs, outputs), *runs]):  # a column a run, so that rows are never joined by id
-        out = _solve(out, id_, less, more, by, Score()).withColumnRenamed("phi", f"_phi_{k}")
+    keys, measures = _keys(id_, by), [*inputs, *outputs]
+    out = _solve(_scored(df, id_, inputs, outputs, by), id_, inputs, outputs, by, Sensitivity(tuple(measures.index(d) for d in runs)))
     eff = [F.when(F.col(f"_phi_{k}") < float("inf"), 1 / F.col(f"_phi_{k}")) for k in range(len(runs) + 1)]
-    each = F.array(*(F.struct(F.lit(d).alias("dropped"), eff[k].alias("eff"), (eff[k] - eff[0]).alias("delta")) for k, (d, _, _) in enumerate(runs, 1)))
+    each = F.array(*(F.struct(F.lit(d).alias("dropped"), eff[k].alias("eff"), (eff[k] - eff[0]).alias("delta")) for k, d in enumerate(runs, 1)))
     return out.select(*keys, F.explode(each).alias("r")).select(*keys, "r.*")

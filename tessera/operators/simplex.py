@@ -121,3 +121,65 @@ def supports(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, phi:
             if np.isfinite(best):
                 found |= z[:n] > least
     return on[found]
+
+
+def _together(t: np.ndarray, basis: np.ndarray, columns: int) -> np.ndarray:
+    """`_pivots` on many tableaus of one shape at once; which of them are bounded."""
+    m, steps, live, bounded = basis.shape[1], 0, np.arange(len(t)), np.ones(len(t), bool)
+    while True:
+        row = t[live, m, :columns]
+        j = row.argmin(1) if steps < 20 * (m + 5) else (row < -EPS).argmax(1)
+        more = row[np.arange(len(live)), j] < -EPS
+        live, j = live[more], j[more]
+        col = t[live, :, j]
+        up = col[:, :m] > EPS
+        some = up.any(1)
+        bounded[live[~some]] = False
+        live, j, col, up = live[some], j[some], col[some], up[some]
+        if not len(live):
+            return bounded
+        k, part = np.arange(len(live)), t[live]
+        ratio = np.where(up, part[:, :m, -1] / np.where(up, col[:, :m], 1), np.inf)
+        ties = ratio <= ratio.min(1, keepdims=True) + EPS
+        i = np.where(ties, basis[live], np.iinfo(basis.dtype).max).argmin(1)
+        pivot = part[k, i] / col[k, i][:, None]
+        part -= col[:, :, None] * pivot[:, None, :]
+        part[k, i] = pivot
+        t[live] = part
+        basis[live, i] = j
+        steps += 1
+
+
+#: Numbers of all tableaus that are pivoted at once.
+TOGETHER = 1 << 20
+
+
+def scores(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, dropped: tuple[int, ...] = ()) -> np.ndarray:
+    """`score` of many units (rows of xo, yo) by the same peers, any measures: a row a unit, its phi first and then phi without each
+    dropped measure (a number below inputs + outputs); inf without positive output.
+
+    A dropped measure's constraint is lifted by one more column, its slack taken the other way, from the optimum with all
+    measures on: that tableau stays feasible, so a few pivots are enough.
+    """
+    (units, m), s, n = xo.shape, yo.shape[1], len(x)
+    out = np.full((units, 1 + len(dropped)), np.inf)
+    r = m + s + 1
+    size = max(1, TOGETHER // ((r + 1) * (n + r + 3)))
+    able = np.flatnonzero((yo > 0).any(1))
+    top_x, top_y = x.max(0, initial=0), y.max(0, initial=0)
+    for at in range(0, len(able), size):
+        rows = able[at : at + size]
+        ux, uy = xo[rows], yo[rows]
+        sx, sy = np.maximum(top_x, ux), np.maximum(top_y, uy)
+        sx, sy = np.where(sx > 0, sx, 1)[:, :, None], np.where(sy > 0, sy, 1)[:, :, None]
+        t = np.zeros((len(rows), r + 1, n + 1 + r + 1))
+        t[:, :m, :n], t[:, m : m + s, :n], t[:, m : m + s, n], t[:, r - 1, :n] = (x.T - ux[:, :, None]) / sx, (uy[:, :, None] - y.T) / sy, uy / sy[:, :, 0], 1
+        t[:, :r, n + 1 : -1], t[:, r - 1, -1], t[:, r, n] = np.eye(r), 1, -1
+        basis = np.tile(np.arange(n + 1, n + 1 + r), (len(rows), 1))
+        _together(t, basis, n + 1 + r)
+        out[rows, 0] = 1 + t[:, r, -1]
+        for k, d in enumerate(dropped, 1):
+            more, on = np.insert(t, n + 1 + r, -t[:, :, n + 1 + d], axis=2), basis.copy()
+            bounded = _together(more, on, n + 2 + r)
+            out[rows, k] = np.where(bounded, 1 + more[:, r, -1], np.inf)
+    return out

@@ -20,17 +20,27 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the folder that spark.checkpoint.dir names and reads it back: lineage ends there, and any executor can
-    read it. Where that is unset, a local master gets a temporary folder; a cluster has to name one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one run of an operator in the folder that spark.checkpoint.dir names: lineage ends there, and any executor can read
+    them. Where that is unset, a local master gets a temporary folder; a cluster has to name one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            spark.conf.set("spark.checkpoint.dir", folder)
+        self.spark, self.path = spark, f"{folder}/tessera-{name}-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it back."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more; those that aren't there are passed over."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
