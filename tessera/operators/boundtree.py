@@ -60,18 +60,21 @@ class Tree:
         found = value > least[q]
         return q[found], rows[found], value[found]
 
-    def best(self, w: np.ndarray) -> np.ndarray:
-        """A lower bound of each direction's greatest z.w: the best row of the leaf that the larger bounds lead to."""
+    def near(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the leaf that the larger bounds lead to, for each direction, and their z.w: a matrix each, with -inf where a leaf
+        has fewer rows. A quick look for rows with a large z.w, not a sure one."""
         if not self.levels:
-            return np.full(len(w), -np.inf)
+            return np.zeros((len(w), 0), int), np.zeros((len(w), 0))
         norm, starts = np.sqrt((w**2).sum(1)), np.zeros(len(w), int)
         for level in range(1, len(self.levels)):
             first, above = self.levels[level][0], self.levels[level - 1]
             up = np.searchsorted(above[0], starts)
             middle = (above[0][up] + above[1][up]) // 2
-            a, b = np.searchsorted(first, starts), np.searchsorted(first, middle)
-            right = self._bound(level, b, w, norm) > self._bound(level, a, w, norm)
+            right = self._bound(level, np.searchsorted(first, middle), w, norm) > self._bound(level, np.searchsorted(first, starts), w, norm)
             starts = np.where(right, middle, starts)
         first, last, *_ = self.levels[-1]
         node = np.searchsorted(first, starts)
-        return np.array([(self.z[first[k] : last[k]] @ v).max() for k, v in zip(node, w, strict=True)])
+        rows = first[node][:, None] + np.arange((last - first).max())
+        inside = rows < last[node][:, None]
+        rows = np.minimum(rows, len(self.z) - 1)
+        return rows, np.where(inside, np.einsum("qkd,qd->qk", self.z[rows], w), -np.inf)

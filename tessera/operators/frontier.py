@@ -46,11 +46,13 @@ MANY = 512
 #: Units pruned against each other at once; peers of a block, units of a block; blocks of each that meet in one place.
 PART, PEERS, UNITS = 20_000, 4096, 512
 MEET_PEERS, MEET_UNITS = 8, 64
+#: Tasks that blocks meet in, at most; peers that a unit is given by all blocks in a round, about.
+MEETINGS, ALL_KEPT = 20_000, 512
 #: A unit is efficient from this score on.
 EFFICIENT = 1 - 1e-9
 #: By so much (of prices with u.yo = 1) a peer's constraint must be broken to join a working set, and so near one only touches it; peers
-#: that join at a time.
-BROKEN, TOUCHING, JOIN = 1e-9, 1e-8, 4
+#: that join at a time, and at first.
+BROKEN, TOUCHING, JOIN, START = 1e-9, 1e-8, 8, 24
 
 
 def _good(measures: list[str]) -> Column:
@@ -177,6 +179,10 @@ class Problem:
     def solve(self, x, y, xo, yo, ids):
         raise NotImplementedError
 
+    def solve_sets(self, peers: list[tuple], xo, yo) -> list[tuple]:
+        """`solve` for units with peers (x, y, ids) each."""
+        return [self.solve(x, y, a, b, ids) for (x, y, ids), a, b in zip(peers, xo, yo, strict=True)]
+
     def many(self, x, y, xo, yo, ids) -> list[tuple]:
         """The values of many units of a set."""
         if len(x) > MANY and x.shape[1] + y.shape[1]:
@@ -204,6 +210,17 @@ class Score(Problem):
         phi, v, u = simplex.score(x, y, xo, yo)
         return (max(1.0, phi),), [_prices(phi, v, u, xo)] if np.isfinite(phi) else []
 
+    def solve_sets(self, peers, xo, yo):
+        out, able, m = [((np.inf,), [])] * len(xo), np.flatnonzero((yo > 0).any(1)), xo.shape[1]
+        for at in range(0, len(able), 128):
+            units = able[at : at + 128]
+            n = max(len(peers[i][0]) for i in units)
+            # a unit is its own peer in any case: it fills up the shorter sets
+            x, y = (np.stack([np.vstack([peers[i][k], np.repeat(own[i][None], n - len(peers[i][k]), axis=0)]) for i in units]) for k, own in ((0, xo), (1, yo)))
+            for i, phi, p in zip(units.tolist(), *simplex.score_sets(x, y, xo[units], yo[units]), strict=True):
+                out[i] = (max(1.0, float(phi)),), [_prices(phi, p[:m], p[m:], xo[i])]
+        return out
+
     def many(self, x, y, xo, yo, ids):
         if len(x) > MANY:
             return super().many(x, y, xo, yo, ids)
@@ -304,61 +321,74 @@ class Working:
     values: tuple = ()
     prices: list | None = None
 
-    def solve(self, problem: Problem, own: np.ndarray, m: int) -> None:
-        z = np.array([r for r, _ in self.rows.values()]).reshape(-1, len(own))
-        x, y, ids = problem.prepare(z[:, :m], z[:, m:], [i for _, i in self.rows.values()])
-        self.values, self.prices = problem.solve(x, y, own[:m], own[m:], ids)
+
+def _solve_all(problem: Problem, own: np.ndarray, m: int, work: list[Working], units: list[int]) -> None:
+    peers = []
+    for i in units:
+        z = np.array([r for r, _ in work[i].rows.values()]).reshape(-1, own.shape[1])
+        peers.append(problem.prepare(z[:, :m], z[:, m:], [k for _, k in work[i].rows.values()]))
+    for i, (values, prices) in zip(units, problem.solve_sets(peers, own[units, :m], own[units, m:]), strict=True):
+        work[i].values, work[i].prices = values, prices
 
 
 def _widen(problem: Problem, m: int, tree: Tree, ids, name: Callable[[int], tuple], own: np.ndarray, work: list[Working], units: list[int]) -> set[int]:
     """Adds peers of the tree to the working sets of `units` until none breaks their prices (or touches them, where that counts); the
-    units that got any. First the most broken few join; those that only touch come last."""
-    live, joined = [i for i in units if work[i].prices is None or work[i].prices], set()
-    for i in live:
-        if work[i].prices is None:
-            work[i].solve(problem, own[i], m)
-    touch = False
-    while live:
-        at, prices = zip(*((i, p) for i in live for p in work[i].prices), strict=True) if any(work[i].prices for i in live) else ((), ())
-        p = np.array(prices).reshape(-1, own.shape[1] + 1)
-        w, least = np.hstack([-p[:, :m], p[:, m:-1]]), p[:, -1] + (-TOUCHING if touch else BROKEN)
-        if not touch:  # nearly as broken as the worst one found at once
-            least = np.maximum(least, p[:, -1] + 0.5 * np.maximum(0, tree.best(w) - p[:, -1]))
-        q, rows, value = tree.search(w, least)
-        order = np.lexsort((rows, -(value - p[q, -1]), q))
-        got, taken = set(), Counter()
-        for k in order.tolist():
-            i, key = at[q[k]], name(int(rows[k]))
-            if key not in work[i].rows and (touch or taken[q[k]] < JOIN):
-                taken[q[k]] += 1
-                work[i].rows[key] = (tree.z[rows[k]], ids[tree.order[rows[k]]])
-                got.add(i)
-        for i in got:
-            work[i].solve(problem, own[i], m)
+    units that got any. Empty sets start with the peers most like the unit. Then what a quick look finds broken joins, then what a
+    sure one does; those that only touch come last."""
+    joined: set[int] = set()
+
+    def add(i: int, row: int) -> bool:
+        key = name(row)
+        if key in work[i].rows:
+            return False
+        work[i].rows[key] = (tree.z[row], ids[tree.order[row]])
+        return True
+
+    fresh = [i for i in units if not work[i].rows]
+    for at in range(0, len(fresh), 64) if len(tree.z) else ():
+        some = fresh[at : at + 64]
+        like = (own[some] * np.array([-1.0] * m + [1.0] * (own.shape[1] - m))) @ tree.z.T
+        first = min(START, len(tree.z))
+        for i, rows in zip(some, np.argpartition(-like, first - 1, axis=1)[:, :first].tolist(), strict=True):
+            joined.update(i for r in rows if add(i, r))
+    _solve_all(problem, own, m, work, sorted({*(i for i in units if work[i].prices is None), *joined}))
+    stages = ("quick", "sure", "touch") if problem.touching else ("quick", "sure")
+    stage = dict.fromkeys(units, 0)
+    while live := [i for i in units if stage[i] < len(stages)]:
+        got = set()
+        for k, kind in enumerate(stages):
+            mine = [(i, p) for i in live if stage[i] == k for p in work[i].prices]
+            if mine:
+                at, p = [i for i, _ in mine], np.array([p for _, p in mine])
+                w, c = np.hstack([-p[:, :m], p[:, m:-1]]), p[:, -1]
+                if kind == "quick":
+                    near, value = tree.near(w)
+                    top = np.argsort(-value, axis=1, kind="stable")[:, :JOIN]
+                    q, rows = np.nonzero(np.take_along_axis(value, top, 1) > c[:, None] + BROKEN)
+                    rows = near[q, top[q, rows]]
+                else:
+                    q, rows, value = tree.search(w, c + (BROKEN if kind == "sure" else -TOUCHING))
+                    order = np.lexsort((-value, q))
+                    q, rows = q[order], rows[order]
+                taken: Counter = Counter()
+                for j, row in zip(q.tolist(), rows.tolist(), strict=True):
+                    if (kind == "touch" or taken[j] < JOIN) and add(at[j], row):
+                        taken[j] += 1
+                        got.add(at[j])
+        for i in live:
+            stage[i] = 0 if i in got else stage[i] + 1
+        _solve_all(problem, own, m, work, sorted(got))
         joined |= got
-        if touch:
-            live, touch = sorted(got), False
-        elif got:
-            live = sorted(got) if not problem.touching else live
-        elif problem.touching:
-            touch = True
-        else:
-            live = []
     return joined
 
 
 def _by_tree(problem: Problem, x, y, xo, yo, ids) -> list[tuple]:
     """`Problem.many` for many peers: working sets that a tree over the peers widens."""
-    m = x.shape[1]
     z = np.hstack([x, y])
     scale = np.where(z.max(0) > 0, z.max(0), 1)
-    tree, own = Tree(z / scale), np.hstack([xo, yo]) / scale
-    place = np.argsort(tree.order)
-    first = {int(k): (z[k] / scale, ids[k]) for k in np.unique(np.concatenate([x.argmin(0), y.argmax(0)]).astype(int))}
-    start = {(int(place[k]),): v for k, v in first.items()}
-    work = [Working(dict(start)) for _ in own]
+    tree, own, work = Tree(z / scale), np.hstack([xo, yo]) / scale, [Working({}) for _ in xo]
     for at in range(0, len(own), UNITS):
-        _widen(problem, m, tree, ids, lambda r: (r,), own, work, list(range(at, min(len(own), at + UNITS))))
+        _widen(problem, x.shape[1], tree, ids, lambda r: (r,), own, work, list(range(at, min(len(own), at + UNITS))))
     return [w.values for w in work]
 
 
@@ -513,12 +543,12 @@ def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], mo
     the units. The last round finds nothing more, so the sets' optima are those of all peers."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept, measures, m = units.columns, [*less, *more], len(less)
+    spark, kept, measures, m = units.sparkSession, units.columns, [*less, *more], len(less)
     key = units.schema[by].dataType if by else T.StringType()
     id_type = units.schema[id_].dataType
     block = T.StructType([T.StructField("set_", key), T.StructField("block", T.LongType()), T.StructField("matrix", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("numbers", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(block)
-    # the measures' maxima of each set scale all its programmes alike; each measure's best peers start all working sets
+    # the measures' maxima of each set scale all its programmes alike
     numbered = scratch.cut(units.withColumn("_no", F.monotonically_increasing_id()), "units")
     own_set = F.col(by) if by else F.lit(None).cast(key)
     tops = numbered.groupBy(own_set.alias("top_set")).agg(*(F.max(c).alias(f"_top_{i}") for i, c in enumerate(measures)))
@@ -528,61 +558,66 @@ def _in_blocks(units: DataFrame, peers: DataFrame, id_: str, less: list[str], mo
     def scaled(df):
         return df.join(tops, own_set.eqNullSafe(F.col("top_set"))).withColumns({c: F.col(c) / F.col(f"_top_{i}") for i, c in enumerate(measures)}).select(*df.columns)
 
-    table = scratch.cut(scaled(peers).mapInArrow(_packed(arrow, less, more, by, id_, PEERS, True), block), "peer-blocks")
-    rows = scratch.cut(scaled(numbered).mapInArrow(_packed(arrow, less, more, by, id_, UNITS, False), block), "unit-blocks").select("set_", F.col("block").alias("u_block"), F.col("matrix").alias("u_matrix"), F.col("numbers").alias("u_numbers"))
-    peer = T.StructType([T.StructField("block", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())), T.StructField("id", id_type)])
-    new = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *peer.fields]))
-    state = rows.withColumns({"work": F.transform("u_numbers", lambda _: F.lit(None).cast(T.ArrayType(peer))), "new": F.lit(None).cast(new), "round": F.lit(0)})
-    asked = T.StructType([*(f for f in state.schema.fields if f.name not in ("new", "round")), T.StructField("live", T.ArrayType(T.IntegerType())), T.StructField("prices", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("values", T.BinaryType())])
-    asked_arrow, dims = to_arrow_schema(asked), len(measures)
-
-    def sets_of(r) -> list[Working]:
-        return [Working({(p["block"], p["no"]): (np.array(p["row"]), p["id"]) for p in w or []}) for w in r["work"]]
+    table = scratch.cut(scaled(peers).repartition(-(-peers.count() // PEERS) or 1).mapInArrow(_packed(arrow, less, more, by, id_, PEERS, True), block), "peer-blocks")
+    rows = scratch.cut(scaled(numbered).mapInArrow(_packed(arrow, less, more, by, id_, UNITS, False), block), "unit-blocks").select(F.col("block").alias("u_block"), "set_", F.col("matrix").alias("u_matrix"), F.col("numbers").alias("u_numbers"))
+    n_peers, n_units, cores = max(1, table.count()), max(1, rows.count()), spark.sparkContext.defaultParallelism
+    keep = max(START, ALL_KEPT // n_peers)
+    dims = len(measures)
+    state = rows.withColumns({"held": F.lit(None).cast("binary"), "new": F.lit(None).cast("array<binary>"), "round": F.lit(0)})
 
     def solve(it):
-        """Adds a round's new peers to the working sets and solves on these."""
+        """Adds a round's new peers to the working sets and solves on these; `asked` has the units whose sets grew."""
         for b in it:
             for r in b.to_pylist():
-                own, work = np.frombuffer(r["u_matrix"]).reshape(-1, dims), sets_of(r)
-                for n in r["new"] or []:
-                    work[n["i"]].rows[n["block"], n["no"]] = (np.array(n["row"]), n["id"])
-                live = sorted({n["i"] for n in r["new"] or []}) if r["round"] else list(range(len(own)))
-                for w, o in zip(work, own, strict=True):
-                    w.solve(problem, o, m)
-                yield pa.RecordBatch.from_pylist([{"u_block": r["u_block"], "set_": r["set_"], "u_matrix": r["u_matrix"], "u_numbers": r["u_numbers"], "live": live, "work": [[{"block": k[0], "no": k[1], "row": z.tolist(), "id": i} for k, (z, i) in w.rows.items()] for w in work], "prices": [[p.tolist() for p in w.prices] for w in work], "values": pickle.dumps([w.values for w in work])}], schema=asked_arrow)
-
-    broken = T.StructType([T.StructField("u_block", T.LongType()), T.StructField("i", T.IntegerType()), *peer.fields])
-    broken_arrow = to_arrow_schema(broken)
+                own = np.frombuffer(r["u_matrix"]).reshape(-1, dims)
+                work = [Working(w) for w in pickle.loads(r["held"])] if r["held"] else [Working({}) for _ in own]
+                live = set() if r["round"] else set(range(len(own)))
+                for i, found in (x for new in r["new"] or [] for x in pickle.loads(new).items()):
+                    work[i].rows |= found
+                    live.add(i)
+                _solve_all(problem, own, m, work, list(range(len(own))))
+                asked = pickle.dumps({i: (own[i], work[i].rows, work[i].prices) for i in sorted(live)}) if live else None
+                yield pa.RecordBatch.from_pylist([{"u_block": r["u_block"], "set_": r["set_"], "u_matrix": r["u_matrix"], "u_numbers": r["u_numbers"], "held": pickle.dumps([w.rows for w in work]), "asked": asked, "values": pickle.dumps([w.values for w in work])}], schema=solved_arrow)
 
     def look(it):
         for b in it:
             for r in b.to_pylist():
-                own, work, tree = np.frombuffer(r["u_matrix"]).reshape(-1, dims), sets_of(r), Tree(np.frombuffer(r["matrix"]).reshape(-1, dims), True)
-                known = [set(w.rows) for w in work]
-                for w, p in zip(work, r["prices"], strict=True):
-                    w.prices = [np.array(x) for x in p]
-                out = []
-                for i in sorted(_widen(problem, m, tree, r["ids"], lambda k, at=r["block"]: (at, k), own, work, r["live"])):
-                    for k, (z, id__) in work[i].rows.items():
-                        if k not in known[i] and any(z[m:] @ p[m:-1] - z[:m] @ p[:m] - p[-1] > -1e-6 for p in work[i].prices):
-                            out.append((r["u_block"], i, *k, z.tolist(), id__))
+                tree, asked = Tree(np.frombuffer(r["matrix"]).reshape(-1, dims), True), pickle.loads(r["asked"])
+                own = np.array([o for o, _, _ in asked.values()])
+                work = [Working(dict(w), (), p if w else None) for _, w, p in asked.values()]
+                known, numbers, out = [set(w.rows) for w in work], list(asked), {}
+                for i in _widen(problem, m, tree, r["ids"], lambda k, at=r["block"]: (at, k), own, work, list(range(len(own)))):
+                    new = {k: v for k, v in work[i].rows.items() if k not in known[i]}
+                    if new:  # all that the prices touch, and of the others the nearest: sets without them would be as good, but slower to settle
+                        z, p = np.array([v for v, _ in new.values()]), np.array(work[i].prices).reshape(-1, dims + 1)
+                        gap = (z[:, m:] @ p[:, m:-1].T - z[:, :m] @ p[:, :m].T - p[:, -1]).max(1, initial=-np.inf)
+                        least = min(-1e-6, np.sort(gap)[-min(keep, len(gap))])
+                        new = {k: v for (k, v), x in zip(new.items(), gap, strict=True) if x >= least}
+                    if new:
+                        out[numbers[i]] = new
                 if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(broken.names, o, strict=True)) for o in out], schema=broken_arrow)
-
-    # blocks of units and of peers meet by numbers: each is copied to the places where it meets the others' groups
-    g, h = max(1, -(-table.count() // MEET_PEERS)), max(1, -(-rows.count() // MEET_UNITS))
-    table = table.select(F.col("set_").alias("p_set"), "block", "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["u_block"]], pa.int64()), pa.array([pickle.dumps(out)], pa.binary())], names=["u_block", "new"])
+
+    solved_type = T.StructType([*rows.schema.fields, *(T.StructField(c, T.BinaryType()) for c in ("held", "asked", "values"))])
+    solved_arrow = to_arrow_schema(solved_type)
+    # blocks of units and of peers meet by numbers: each is copied to the places where it meets the others' groups; there are enough
+    # places for all cores, and their number is stated, so small bytes of long work aren't taken together in one task
+    g = -(-n_peers // MEET_PEERS)
+    h = max(-(-n_units // MEET_UNITS), min(n_units, -(-3 * cores // g)))
+    places, key_of = min(g * h, MEETINGS), F.xxhash64("set_")
+    table = table.select(F.col("set_").alias("p_set"), key_of.alias("key"), "block", "matrix", "ids", F.pmod(F.xxhash64("block"), F.lit(g)).cast("long").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h - 1).cast("long"))).alias("h"))
+    table = table.repartition(places, "g", "h", "key")
     turn = 0
     while True:
-        solved = scratch.cut(state.mapInArrow(solve, asked), f"solved-{turn}")
+        solved = scratch.cut(state.repartition(min(n_units, MEETINGS), "u_block").mapInArrow(solve, solved_type), f"solved-{turn}")
         scratch.drop(f"solved-{turn - 1}", f"broken-{turn - 1}")
-        dealt = solved.filter(F.size("live") > 0).withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)), "g": F.explode(F.sequence(F.lit(0), F.lit(g - 1)))})
-        met = dealt.join(table, (dealt["g"] == table["g"]) & (dealt["h"] == table["h"]) & F.col("set_").eqNullSafe(F.col("p_set")))
-        found = scratch.cut(met.select("u_block", "u_matrix", "live", "prices", "work", "block", "matrix", "ids").mapInArrow(look, broken), f"broken-{turn}")
+        dealt = solved.filter("asked is not null").select("u_block", "set_", "asked").withColumns({"h": F.pmod(F.xxhash64("u_block"), F.lit(h)).cast("long"), "g": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))), "key": key_of})
+        met = dealt.repartition(places, "g", "h", "key").join(table, ["g", "h", "key"]).filter(F.col("set_").eqNullSafe(F.col("p_set")))
+        found = scratch.cut(met.select("u_block", "asked", "block", "matrix", "ids").mapInArrow(look, "u_block long, new binary"), f"broken-{turn}")
         if found.isEmpty():
             break
-        per = found.groupBy("u_block").agg(F.collect_list(F.struct("i", *peer.names)).alias("new"))
-        state = solved.drop("prices", "values", "live").join(per, "u_block", "left").withColumn("round", F.lit(turn + 1))
+        per = found.groupBy("u_block").agg(F.collect_list("new").alias("new"))
+        state = solved.drop("values", "asked").join(per, "u_block", "left").withColumn("round", F.lit(turn + 1))
         turn += 1
 
     def finish(it):

@@ -154,6 +154,24 @@ def _together(t: np.ndarray, basis: np.ndarray, columns: int) -> np.ndarray:
 TOGETHER = 1 << 20
 
 
+def _tableaus(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tableaus and bases of `score` for each unit (row of xo, yo) by its peers x[i], y[i] (or x[0], y[0]) and itself, at the origin."""
+    (units, m), s, n = xo.shape, yo.shape[1], x.shape[1]
+    r = m + s + 1
+    t = np.zeros((units, r + 1, n + 1 + r + 1))
+    t[:, :m, :n], t[:, m : m + s, :n], t[:, m : m + s, n] = x.transpose(0, 2, 1) - xo[:, :, None], yo[:, :, None] - y.transpose(0, 2, 1), yo
+    t[:, r - 1, :n], t[:, :r, n + 1 : -1], t[:, r - 1, -1], t[:, r, n] = 1, np.eye(r), 1, -1
+    return t, np.tile(np.arange(n + 1, n + 1 + r), (units, 1))
+
+
+def score_sets(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """phi and prices (v, u: a row a unit) of `score` for units with peers x[i], y[i] each; all have positive output."""
+    t, basis = _tableaus(x, y, xo, yo)
+    n, r = x.shape[1], basis.shape[1]
+    _together(t, basis, n + 1 + r)
+    return 1 + t[:, r, -1], t[:, r, n + 1 : n + r]
+
+
 def scores(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, dropped: tuple[int, ...] = ()) -> np.ndarray:
     """`score` of many units (rows of xo, yo) by the same peers, any measures: a row a unit, its phi first and then phi without each
     dropped measure (a number below inputs + outputs); inf without positive output.
@@ -169,13 +187,9 @@ def scores(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, dropped
     top_x, top_y = x.max(0, initial=0), y.max(0, initial=0)
     for at in range(0, len(able), size):
         rows = able[at : at + size]
-        ux, uy = xo[rows], yo[rows]
-        sx, sy = np.maximum(top_x, ux), np.maximum(top_y, uy)
-        sx, sy = np.where(sx > 0, sx, 1)[:, :, None], np.where(sy > 0, sy, 1)[:, :, None]
-        t = np.zeros((len(rows), r + 1, n + 1 + r + 1))
-        t[:, :m, :n], t[:, m : m + s, :n], t[:, m : m + s, n], t[:, r - 1, :n] = (x.T - ux[:, :, None]) / sx, (uy[:, :, None] - y.T) / sy, uy / sy[:, :, 0], 1
-        t[:, :r, n + 1 : -1], t[:, r - 1, -1], t[:, r, n] = np.eye(r), 1, -1
-        basis = np.tile(np.arange(n + 1, n + 1 + r), (len(rows), 1))
+        sx, sy = np.maximum(top_x, xo[rows]), np.maximum(top_y, yo[rows])
+        sx, sy = np.where(sx > 0, sx, 1), np.where(sy > 0, sy, 1)
+        t, basis = _tableaus(x[None] / sx[:, None], y[None] / sy[:, None], xo[rows] / sx, yo[rows] / sy)
         _together(t, basis, n + 1 + r)
         out[rows, 0] = 1 + t[:, r, -1]
         for k, d in enumerate(dropped, 1):
