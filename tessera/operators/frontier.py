@@ -3,10 +3,15 @@ benefit-of-the-doubt scores with the ranges of their weights.
 
 Each unit's linear programmes are independent of the others', so units are spread over tasks. What they meet:
 
-- the frontier's candidates, where these were counted at no more than BROADCAST_BYTES: they are broadcast. Candidates are the units
-  that no other dominates, found in stages: within each batch where it is, then within parts of what is left.
-- else blocks of peers, by an equality of numbers: each unit keeps a small working set of peers, solves its programmes on that,
-  and a pass over all blocks finds the peers whose constraints its prices break; these join the set, until none does. Exact as well.
+- few units (SMALL): all peers, broadcast;
+- peer sets of at most GROUP_UNITS: each set in one task, by group; nothing is broadcast;
+- larger sets: their frontier's candidates, the units that no other dominates, found in stages: within each batch where it is, then
+  within parts of what is left. Up to four measures: facets are built of them once a set, and units read their answers from these.
+  Else candidates counted at no more than BROADCAST_BYTES are broadcast;
+- else blocks of peers, by an equality of numbers, in rounds: each unit keeps a working set of peers, and the blocks' bound trees find
+  the peers whose constraints its prices break; these join the set, until none does.
+
+All ways are exact and give the same rows.
 
 Conventions: both phi >= 1 and eff = 1/phi are given. The scale variable vstar has a plus sign (v.x + vstar >= u.y with u.yo = 1, for
 measures divided by their maxima): below 0 is increasing, above 0 decreasing returns. Units with a null, NaN or infinite measure, or
@@ -313,6 +318,38 @@ class Weights(Problem):
         return tuple(ends), prices
 
 
+class Bounded(Problem):
+    """The score by weights within bounds, and, with `ranges`, the range of each weight. Bounds and ratios are columns of the dual like
+    peers are: a bound's price is what its lifting would give. Nulls if no weights keep to them."""
+
+    def __init__(self, bounds: list[tuple[float, float | None]], ratios: list[tuple[int, int, float, float | None]], ranges: bool = False):
+        n, unit = len(bounds), np.eye(len(bounds))
+        self.ranges = ranges
+        self.columns = tuple((c, T.DoubleType(), pa.float64()) for c in ("ci", *(f"{e}_{k}" for e in ("lo", "hi") for k in range(n if ranges else 0))))
+        limits = [(-unit[k], -lo) for k, (lo, _) in enumerate(bounds) if lo] + [(unit[k], hi) for k, (_, hi) in enumerate(bounds) if hi is not None]
+        limits += [(lo * unit[j] - unit[i], 0.0) for i, j, lo, _ in ratios if lo] + [(unit[i] - hi * unit[j], 0.0) for i, j, _, hi in ratios if hi is not None]
+        self.rows, self.rights = np.array([a for a, _ in limits]).reshape(-1, n), np.array([b for _, b in limits])
+
+    def solve(self, x, y, xo, yo, ids):
+        n = len(yo)
+        rows, rights = np.vstack([y, yo, self.rows]), np.concatenate([np.ones(len(y) + 1), self.rights])
+
+        def greatest(goal, rows, rights):
+            best, _, w = simplex.minimize(np.hstack([rows.T, -np.eye(n)]), goal, np.append(rights, np.zeros(n)))
+            return best, w
+
+        best, w = greatest(yo, rows, rights)
+        if not np.isfinite(best):
+            return (None,) * len(self.columns), []
+        values, prices = [min(1.0, best)], [np.append(w, 1.0)]
+        for sign in (-1, 1) if self.ranges else ():
+            for k in range(n):  # over the weights that reach the score
+                end, w = greatest(sign * np.eye(n)[k], np.vstack([rows, -yo]), np.append(rights, simplex.TIGHT - best))
+                values.append(max(0.0, sign * end) if np.isfinite(end) else None)
+                prices += [np.append(w, 1.0)] if np.isfinite(end) else []
+        return tuple(values), prices
+
+
 @dataclass
 class Working:
     """A unit's working set: peers by key, their rows and ids, and what solving on them gave."""
@@ -656,30 +693,98 @@ def dea_peers(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by
     return _solve(units, id_, inputs, outputs, by, Peers(kind, to_arrow_type(kind))).select(*_keys(id_, by), F.explode("peers").alias("peer_id"))
 
 
+def _returns() -> Column:
+    return F.when(F.col("vstar_max") < -1e-9, "IRS").when(F.col("vstar_min") > 1e-9, "DRS").otherwise("CRS")
+
+
 def dea_scale(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
     """id, (by,) phi, vstar_min, vstar_max, rts: the range of the scale variable over all optimal prices.
 
     A null vstar_min is unbounded; such a unit is never called decreasing. rts: IRS if vstar_max < 0, DRS if vstar_min > 0, else CRS.
     """
     out = _solve(_scored(df, id_, inputs, outputs, by), id_, inputs, outputs, by, Scale())
-    rts = F.when(F.col("vstar_max") < -1e-9, "IRS").when(F.col("vstar_min") > 1e-9, "DRS").otherwise("CRS")
-    return out.select(*_keys(id_, by), "phi", "vstar_min", "vstar_max", rts.alias("rts"))
+    return out.select(*_keys(id_, by), "phi", "vstar_min", "vstar_max", _returns().alias("rts"))
+
+
+Bounds = dict[str, tuple[float, float | None]]
+Ratios = dict[tuple[str, str], tuple[float, float | None]]
 
 
-def bod(df: DataFrame, id_: str, indicators: list[str], by: str | None = None) -> DataFrame:
-    """id, (by,) ci: the score by each unit's own most favourable weights, at which no unit of its set exceeds 1."""
-    out = _solve(measured(df, id_, indicators, by), id_, [], indicators, by, Score())
-    return out.select(*_keys(id_, by), (1 / F.col("phi")).alias("ci"))
+def _bounded(indicators: list[str], bounds: Bounds | None, ratios: Ratios | None, ranges: bool) -> Bounded:
+    for lo, hi in [*(bounds or {}).values(), *(ratios or {}).values()]:
+        if lo < 0 or hi is not None and hi < lo:
+            raise ValueError(f"not a range of weights: {lo} to {hi}")
+    return Bounded([(bounds or {}).get(i, (0.0, None)) for i in indicators], [(indicators.index(i), indicators.index(j), *r) for (i, j), r in (ratios or {}).items()], ranges)
 
 
-def bod_weights(df: DataFrame, id_: str, indicators: list[str], by: str | None = None) -> DataFrame:
+def bod(df: DataFrame, id_: str, indicators: list[str], by: str | None = None, bounds: Bounds | None = None, ratios: Ratios | None = None) -> DataFrame:
+    """id, (by,) ci: the score by each unit's own most favourable weights, at which no unit of its set exceeds 1.
+
+    bounds: {indicator: (least, greatest weight or None)}, for indicators divided by their maxima in the set; ratios: {(a, b): (lo, hi or None)}
+    for the weight of a over that of b. A null ci: no weights keep to all of them, in a set where they would let a unit exceed 1.
+    """
+    units = measured(df, id_, indicators, by)
+    if bounds or ratios:
+        return _solve(units, id_, [], indicators, by, _bounded(indicators, bounds, ratios, False)).select(*_keys(id_, by), "ci")
+    return _solve(units, id_, [], indicators, by, Score()).select(*_keys(id_, by), (1 / F.col("phi")).alias("ci"))
+
+
+def bod_weights(df: DataFrame, id_: str, indicators: list[str], by: str | None = None, bounds: Bounds | None = None, ratios: Ratios | None = None) -> DataFrame:
     """id, (by,) indicator, w_min, w_max: the range of each weight over all most favourable ones, for indicators divided
-    by their maxima."""
-    wide = _solve(measured(df, id_, indicators, by), id_, [], indicators, by, Weights(len(indicators)))
+    by their maxima; bounds and ratios as in `bod`."""
+    problem = _bounded(indicators, bounds, ratios, True) if bounds or ratios else Weights(len(indicators))
+    wide = _solve(measured(df, id_, indicators, by), id_, [], indicators, by, problem)
     rows = F.array(*(F.struct(F.lit(i).alias("indicator"), F.col(f"lo_{k}").alias("w_min"), F.col(f"hi_{k}").alias("w_max")) for k, i in enumerate(indicators)))
     return wide.select(*_keys(id_, by), F.explode(rows).alias("w")).select(*_keys(id_, by), "w.*")
 
 
+def dea_facets(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """(by,) v_<input>, u_<output> for each, vstar, corners: the facets v.x + vstar >= u.y of each set's frontier and the units on them (of
+    equal units the one of the least id), for up to four measures. Prices are for the measures as given; the largest of a facet's is 1
+    for measures divided by their maxima. A set with too many candidates (HULL_UNITS) or facets is an error."""
+    if len(inputs) + len(outputs) > hulls.MEASURES:
+        raise ValueError(f"facets are for up to {hulls.MEASURES} measures")
+    units = _scored(df, id_, inputs, outputs, by)
+    table = _candidates(units, id_, inputs, outputs, by, True, Scratch(df.sparkSession, "facets"))
+    found = _facets(table, id_, inputs, outputs, by, True)
+    vstar = F.when(F.col("t").isNull(), F.raise_error(F.lit("a peer set has too many facets"))).otherwise(F.col("t"))
+    return found.select(*([F.col("set_").alias(by)] if by else []), *(F.col("v")[k].alias(f"v_{c}") for k, c in enumerate(inputs)), *(F.col("u")[k].alias(f"u_{c}") for k, c in enumerate(outputs)), vstar.alias("vstar"), "corners")
+
+
+def _on_facets(df: DataFrame, facets: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None) -> DataFrame:
+    """Units with phi and `_f`: reach (v.x + vstar), own (u.y), vstar and corners of each facet of their set, by built-in functions."""
+    units = _scored(df, id_, inputs, outputs, by)
+    rows = F.collect_list(F.struct(*(F.col(f"{k}_{c}") for k, cs in (("v", inputs), ("u", outputs)) for c in cs), "vstar", "corners")).alias("_f")
+    if by:
+        sets = facets.groupBy(F.col(by).alias("_set")).agg(rows)
+        joined = units.join(sets, F.col(by).eqNullSafe(F.col("_set")))
+    else:
+        sets = facets.groupBy(F.lit(0).alias("_one")).agg(rows)
+        joined = units.withColumn("_one", F.lit(0)).join(F.broadcast(sets), "_one")  # one row of as many facets as `dea_facets` allows
+    of = lambda f: F.struct(sum((f[f"v_{c}"] * F.col(c) for c in inputs), f["vstar"]).alias("reach"), sum((f[f"u_{c}"] * F.col(c) for c in outputs[1:]), f[f"u_{outputs[0]}"] * F.col(outputs[0])).alias("own"), f["vstar"].alias("vstar"), f["corners"].alias("corners"))
+    joined = joined.withColumn("_f", F.transform("_f", of))
+    return joined.withColumn("phi", F.array_min(F.transform("_f", lambda f: F.when(f["own"] > 0, f["reach"] / f["own"]))))
+
+
+def facet_scores(df: DataFrame, facets: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """id, (by,) phi, eff, vstar_min, vstar_max, rts of units by a table of `dea_facets`, which may come from other units: phi is then
+    below 1 for a unit beyond their frontier. Built-in functions only; units of a set without facets have no row."""
+    units = _on_facets(df, facets, id_, inputs, outputs, by)
+    tied = F.filter("_f", lambda f: (f["own"] > 0) & (f["reach"] / F.when(f["own"] > 0, f["own"]) <= F.col("phi") + hulls.TIED))
+    ends = F.transform(tied, lambda f: f["vstar"] / f["own"])
+    ray = F.exists("_f", lambda f: (f["own"] <= 0) & (F.abs(f["reach"]) <= hulls.TIED) & (f["vstar"] < -hulls.TIED))
+    out = units.select(*_keys(id_, by), "phi", (1 / F.col("phi")).alias("eff"), F.when(~ray, F.array_min(ends)).alias("vstar_min"), F.array_max(ends).alias("vstar_max"))
+    return out.withColumn("rts", _returns())
+
+
+def facet_peers(df: DataFrame, facets: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """id, (by,) peer_id: the corners that all facets at a unit's projection share. Built-in functions only."""
+    units = _on_facets(df, facets, id_, inputs, outputs, by)
+    holds = F.transform(F.filter("_f", lambda f: F.abs(f["reach"] - F.col("phi") * f["own"]) <= hulls.TIED), lambda f: f["corners"])
+    shared = F.aggregate(F.slice(F.col("_h"), 2, F.greatest(F.size("_h") - 1, F.lit(0))), F.col("_h")[0], F.array_intersect)
+    return units.withColumn("_h", holds).filter(F.size("_h") > 0).select(*_keys(id_, by), F.explode(shared).alias("peer_id"))
+
+
 def dea_sensitivity(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
     """id, (by,) dropped, eff, delta: each unit's score without one of the variables, and what that changes.
 

@@ -41,11 +41,37 @@ facets AS (
   GROUP BY v1, v2, t HAVING min(v1 * x1 + v2 * x2 + t - y) >= -1e-9),
 dual AS (SELECT o.dmu_id, (f.v1 * o.x1 + f.v2 * o.x2 + f.t) / o.y AS phi, f.t / o.y AS vstar FROM facets f CROSS JOIN u o)"""
 
+#: Each facet once, with the output's price 1.
+FACET_TABLE = f"""WITH {UNITS}, {FACETS}
+SELECT DISTINCT round(v1, 6) + 0.0 AS v_x1, round(v2, 6) + 0.0 AS v_x2, round(t, 6) + 0.0 AS vstar FROM facets"""
+
 SCORE = f"""WITH {UNITS}, {FACETS},
 best AS (SELECT dmu_id, greatest(1.0, min(phi)) AS phi FROM dual GROUP BY dmu_id)
 SELECT b.dmu_id, round(b.phi, 6) AS phi, round(1 / b.phi, 6) AS eff, round(b.phi * r.y, 4) AS y_target, 1 / b.phi >= 1 - 1e-9 AS efficient
 FROM best b JOIN raw r ON b.dmu_id = r.dmu_id"""
 
+#: The frontier of each region: the facets above with every join within a region.
+SCORE_BY = f"""WITH {UNITS.split("tops AS")[0].rstrip().rstrip(",")},
+named AS (SELECT r_name AS grp, raw.* FROM raw JOIN nation ON dmu_id = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+tops AS (SELECT grp AS g, max(x1) AS m1, max(x2) AS m2, max(y) AS my FROM named GROUP BY grp),
+u AS (SELECT grp, dmu_id, x1 / m1 AS x1, x2 / m2 AS x2, y / my AS y FROM named JOIN tops ON grp = g WHERE y > 0),
+tri AS (
+  SELECT a.grp, a.x1 AS ax, a.x2 AS az, a.y AS ay, b.x1 - a.x1 AS bx, b.x2 - a.x2 AS bz, b.y - a.y AS dy, c.x1 - a.x1 AS cx, c.x2 - a.x2 AS cz, c.y - a.y AS ey
+  FROM u a JOIN u b ON a.grp = b.grp AND a.dmu_id < b.dmu_id JOIN u c ON b.grp = c.grp AND b.dmu_id < c.dmu_id),
+cand AS (
+  SELECT grp, v1, v2, ay - v1 * ax - v2 * az AS t FROM (
+    SELECT grp, ax, az, ay, (dy * cz - ey * bz) / nullif(bx * cz - cx * bz, 0) AS v1, (bx * ey - cx * dy) / nullif(bx * cz - cx * bz, 0) AS v2
+    FROM tri WHERE abs(bx * cz - cx * bz) > 1e-12) q
+  UNION ALL SELECT grp, v1, CAST(0 AS DOUBLE), ay - v1 * ax FROM (SELECT a.grp, a.x1 AS ax, a.y AS ay, (b.y - a.y) / nullif(b.x1 - a.x1, 0) AS v1
+    FROM u a JOIN u b ON a.grp = b.grp AND a.dmu_id < b.dmu_id WHERE abs(b.x1 - a.x1) > 1e-12) q
+  UNION ALL SELECT grp, CAST(0 AS DOUBLE), v2, ay - v2 * az FROM (SELECT a.grp, a.x2 AS az, a.y AS ay, (b.y - a.y) / nullif(b.x2 - a.x2, 0) AS v2
+    FROM u a JOIN u b ON a.grp = b.grp AND a.dmu_id < b.dmu_id WHERE abs(b.x2 - a.x2) > 1e-12) q
+  UNION ALL SELECT grp, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), max(y) FROM u GROUP BY grp),
+facets AS (
+  SELECT cand.grp, v1, v2, t FROM cand JOIN u ON cand.grp = u.grp WHERE v1 >= -1e-9 AND v2 >= -1e-9
+  GROUP BY cand.grp, v1, v2, t HAVING min(v1 * x1 + v2 * x2 + t - y) >= -1e-9)
+SELECT o.grp AS region, o.dmu_id, round(greatest(1.0, min((f.v1 * o.x1 + f.v2 * o.x2 + f.t) / o.y)), 6) AS phi FROM facets f JOIN u o ON f.grp = o.grp GROUP BY o.grp, o.dmu_id"""
+
 #: Ways to reach a unit's inputs by mixing up to three units, with the output of each.
 PRIMAL = """solo AS (
   SELECT o.dmu_id, o.y AS yo, a.y AS reach, a.dmu_id AS a, a.dmu_id AS b, a.dmu_id AS c, CAST(1 AS DOUBLE) AS wa, CAST(0 AS DOUBLE) AS wb, CAST(0 AS DOUBLE) AS wc
@@ -91,11 +117,16 @@ SELECT e.dmu_id, CASE WHEN r.dmu_id IS NULL THEN NULL ELSE round(e.lo, 4) + 0.0
 FROM ends e LEFT JOIN roomy r ON e.dmu_id = r.dmu_id"""
 
 
-def corners(units: str, group: str) -> str:
-    """Corners (w1, w2, w3) of the weights at which no unit of a group exceeds 1; `units` has grp, dmu_id and z1, z2, z3."""
+def corners(units: str, group: str, limits: tuple[tuple[float, float, float, float], ...] = ()) -> str:
+    """Corners (w1, w2, w3) of the weights at which no unit of a group exceeds 1; `units` has grp, dmu_id and z1, z2, z3.
+
+    limits: further planes (p, q, r, s) with p * w1 + q * w2 + r * w3 <= s.
+    """
+    more = "".join(f" UNION ALL SELECT grp, {-4 - k}, CAST({p} AS DOUBLE), CAST({q} AS DOUBLE), CAST({r} AS DOUBLE), CAST({s} AS DOUBLE) FROM {group}" for k, (p, q, r, s) in enumerate(limits))
+    held = "".join(f" AND {p} * w1 + {q} * w2 + {r} * w3 <= {s} + 1e-9" for p, q, r, s in limits)
     return f"""planes AS (
   SELECT grp, dmu_id AS k, z1 AS p, z2 AS q, z3 AS r, CAST(1 AS DOUBLE) AS s FROM {units}
-  UNION ALL SELECT grp, -1, 1.0, 0.0, 0.0, 0.0 FROM {group} UNION ALL SELECT grp, -2, 0.0, 1.0, 0.0, 0.0 FROM {group} UNION ALL SELECT grp, -3, 0.0, 0.0, 1.0, 0.0 FROM {group}),
+  UNION ALL SELECT grp, -1, 1.0, 0.0, 0.0, 0.0 FROM {group} UNION ALL SELECT grp, -2, 0.0, 1.0, 0.0, 0.0 FROM {group} UNION ALL SELECT grp, -3, 0.0, 0.0, 1.0, 0.0 FROM {group}{more}),
 meets AS (
   SELECT a.grp, a.p AS ap, a.q AS aq, a.r AS ar, a.s AS sa, b.p AS bp, b.q AS bq, b.r AS br, b.s AS sb, c.p AS cp, c.q AS cq, c.r AS cr, c.s AS sc,
     a.p * (b.q * c.r - b.r * c.q) - a.q * (b.p * c.r - b.r * c.p) + a.r * (b.p * c.q - b.q * c.p) AS det
@@ -106,15 +137,22 @@ points AS (
     (ap * (bq * sc - sb * cq) - aq * (bp * sc - sb * cp) + sa * (bp * cq - bq * cp)) / nullif(det, 0) AS w3
   FROM meets WHERE abs(det) > 1e-12),
 corners AS (
-  SELECT p.grp, w1, w2, w3 FROM points p JOIN {units} x ON p.grp = x.grp WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND w3 >= -1e-9
+  SELECT p.grp, w1, w2, w3 FROM points p JOIN {units} x ON p.grp = x.grp WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND w3 >= -1e-9{held}
   GROUP BY p.grp, w1, w2, w3 HAVING max(w1 * z1 + w2 * z2 + w3 * z3) <= 1 + 1e-9),
 scored AS (SELECT x.grp, x.dmu_id, c.w1, c.w2, c.w3, c.w1 * z1 + c.w2 * z2 + c.w3 * z3 AS ci FROM {units} x JOIN corners c ON x.grp = c.grp)"""
 
 
-_ALL = f"""WITH {INDICATORS},
+_SCALED = f"""WITH {INDICATORS},
 tops AS (SELECT max(y1) AS m1, max(y2) AS m2, max(y3) AS m3 FROM raw),
 z AS (SELECT 0 AS grp, dmu_id, y1 / m1 AS z1, y2 / m2 AS z2, y3 / m3 AS z3 FROM raw CROSS JOIN tops),
-groups AS (SELECT DISTINCT grp FROM z), {corners("z", "groups")}"""
+groups AS (SELECT DISTINCT grp FROM z)"""
+
+_ALL = f"""{_SCALED}, {corners("z", "groups")}"""
+
+#: What BOUNDED and BOUNDED_WEIGHTS keep to: weights of 0.1 to 0.5 for y1, 0.15 at least for y2, and y2's from half to twice y3's.
+LIMITS = ((-1.0, 0.0, 0.0, -0.1), (1.0, 0.0, 0.0, 0.5), (0.0, -1.0, 0.0, -0.15), (0.0, -1.0, 0.5, 0.0), (0.0, 1.0, -2.0, 0.0))
+_LIMITED = f"""{_SCALED}, {corners("z", "groups", LIMITS)}"""
+BOUNDED = f"""{_LIMITED} SELECT dmu_id, round(least(1.0, max(ci)), 6) AS ci FROM scored GROUP BY dmu_id"""
 
 BOD = f"""{_ALL} SELECT dmu_id, round(least(1.0, max(ci)), 6) AS ci FROM scored GROUP BY dmu_id"""
 
@@ -141,3 +179,5 @@ parts AS (
   UNION ALL SELECT o.dmu_id, 'x2', min((f.v1 * o.x1 + f.t) / o.y) FROM facets f CROSS JOIN u o WHERE f.v2 = 0 GROUP BY o.dmu_id)
 SELECT p.dmu_id, p.dropped, round(1 / greatest(1.0, p.phi), 6) AS eff, round(1 / greatest(1.0, p.phi) - 1 / greatest(1.0, n.phi), 6) + 0.0 AS delta
 FROM parts p JOIN parts n ON p.dmu_id = n.dmu_id AND n.dropped = 'none' WHERE p.dropped <> 'none'"""
+
+BOUNDED_WEIGHTS = WEIGHTS.replace(_ALL, _LIMITED)

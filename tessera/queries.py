@@ -45,12 +45,54 @@ def bod_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dmu_id", "indicator", (F.round("w_min", 6) + 0.0).alias("w_min"), (F.round("w_max", 6) + 0.0).alias("w_max"))
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("dmu_id"), F.col("r_name").alias("region"))
+
+
 def bod_score_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("dmu_id"), F.col("r_name").alias("region"))
-    out = frontier.bod(indicators(spark, sf_dir).join(nations, "dmu_id"), "dmu_id", ["y1", "y2", "y3"], by="region")
+    out = frontier.bod(indicators(spark, sf_dir).join(regions(spark, sf_dir), "dmu_id"), "dmu_id", ["y1", "y2", "y3"], by="region")
     return out.select("region", "dmu_id", F.round("ci", 6).alias("ci"))
 
 
+#: As in the SQL's LIMITS.
+BOUNDS = {"y1": (0.1, 0.5), "y2": (0.15, None)}
+RATIOS = {("y2", "y3"): (0.5, 2.0)}
+
+
+def bod_bounded_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.bod(indicators(spark, sf_dir), "dmu_id", ["y1", "y2", "y3"], bounds=BOUNDS, ratios=RATIOS).select("dmu_id", F.round("ci", 6).alias("ci"))
+
+
+def bod_bounded_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frontier.bod_weights(indicators(spark, sf_dir), "dmu_id", ["y1", "y2", "y3"], bounds=BOUNDS, ratios=RATIOS)
+    return out.select("dmu_id", "indicator", (F.round("w_min", 6) + 0.0).alias("w_min"), (F.round("w_max", 6) + 0.0).alias("w_max"))
+
+
+def dea_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frontier.dea_bcc(units(spark, sf_dir).join(regions(spark, sf_dir), "dmu_id"), "dmu_id", ["x1", "x2"], ["y"], by="region")
+    return out.select("region", "dmu_id", F.round("phi", 6).alias("phi"))
+
+
+def dea_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets with a price of the output, which is taken as 1, for measures divided by their maxima."""
+    raw = units(spark, sf_dir)
+    tops = raw.agg(F.max("x1").alias("m1"), F.max("x2").alias("m2"), F.max("y").alias("my"))
+    found = frontier.dea_facets(raw, "dmu_id", ["x1", "x2"], ["y"]).filter("u_y > 0").withColumn("one", F.lit(1)).join(F.broadcast(tops.withColumn("one", F.lit(1))), "one")
+    unit = F.col("u_y") * F.col("my")
+    return found.select((F.round(F.col("v_x1") * F.col("m1") / unit, 6) + 0.0).alias("v_x1"), (F.round(F.col("v_x2") * F.col("m2") / unit, 6) + 0.0).alias("v_x2"), (F.round(F.col("vstar") / unit, 6) + 0.0).alias("vstar"))
+
+
+def dea_facet_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = units(spark, sf_dir)
+    out = frontier.facet_scores(raw, frontier.dea_facets(raw, "dmu_id", ["x1", "x2"], ["y"]), "dmu_id", ["x1", "x2"], ["y"])
+    return out.select("dmu_id", (F.round("vstar_min", 4) + 0.0).alias("vstar_min"), (F.round("vstar_max", 4) + 0.0).alias("vstar_max"), "rts")
+
+
+def dea_facet_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = units(spark, sf_dir)
+    return frontier.facet_peers(raw, frontier.dea_facets(raw, "dmu_id", ["x1", "x2"], ["y"]), "dmu_id", ["x1", "x2"], ["y"])
+
+
 def dea_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frontier.dea_sensitivity(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
     return out.select("dmu_id", "dropped", F.round("eff", 6).alias("eff"), (F.round("delta", 6) + 0.0).alias("delta"))
@@ -73,6 +115,12 @@ QUERIES = {
     "bod_score": bod_score,
     "bod_weights": bod_weights,
     "bod_score_by_region": bod_score_by_region,
+    "bod_bounded_score": bod_bounded_score,
+    "bod_bounded_weights": bod_bounded_weights,
+    "dea_by_region": dea_by_region,
+    "dea_facets": dea_facets,
+    "dea_facet_scale": dea_facet_scale,
+    "dea_facet_peers": dea_facet_peers,
     "dea_sensitivity": dea_sensitivity,
     "run_report": run_report,
     "path_containment": path_containment,
@@ -85,6 +133,12 @@ ORACLES = {
     "bod_score": plans.BOD,
     "bod_weights": plans.WEIGHTS,
     "bod_score_by_region": plans.BOD_BY,
+    "bod_bounded_score": plans.BOUNDED,
+    "bod_bounded_weights": plans.BOUNDED_WEIGHTS,
+    "dea_by_region": plans.SCORE_BY,
+    "dea_facets": plans.FACET_TABLE,
+    "dea_facet_scale": plans.SCALE,
+    "dea_facet_peers": plans.PEERS,
     "dea_sensitivity": plans.SENSITIVITY,
     "run_report": """
 SELECT CAST(user_id AS VARCHAR) AS script, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS finished,
