@@ -5,9 +5,11 @@ names and its text; a potential on each edge ties parent and child. Sum-product
 the root and back, which gives the exact marginal of every node; text whose node is likelier content than not is
 kept. Both kinds of potential are trained together, by the likelihood's gradient under the same messages, from
 labelled pages: `training_pages` makes them from a fixed seed, with menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments around and within articles.
+notices, adverts, forms and reader comments around and within articles, and with wrappers of all kinds, named or not, around articles and
+their parts: an element's share of the page's text and its paragraphs tell a wrapper from what stands beside the text. A page's
+header is left out; a `header` within an article that holds its title is the article's.
 
-Scripts, styles and form controls never hold text; one that isn't closed ends at the page's end where browsers take it so (scripts,
+The text of `xmp` is taken as it stands. Scripts, styles and form controls never hold text; one that isn't closed ends at the page's end where browsers take it so (scripts,
 styles, titles, text fields), else it counts nothing. Pages are read in linear time, however torn their tags are. Character references are decoded; white space in a block, <br>
 included, is one blank; blocks are joined by an empty line.
 
@@ -38,6 +40,10 @@ CONTROLS = frozenset("button datalist select template".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
 BLOCK = CLOSES_P | frozenset("body caption colgroup frameset html legend optgroup option tbody td tfoot th thead tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold text rather than other blocks.
+INLINE_BLOCKS = HEADINGS | frozenset("caption dd dt figcaption legend li p pre summary td th".split())
+#: Elements that stand for an article, and those of prose.
+MAIN, PROSE = frozenset(["article", "main"]), HEADINGS | {"p"}
 #: An element of the first kind ends the nearest open one of the second kind, unless one of the third kind is nearer.
 LISTS, CELLS = BLOCK - {"address", "div", "p"}, frozenset(["table"])
 ENDS = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, LISTS), "dd": ({"dt", "dd"}, LISTS), "td": ({"td", "th"}, CELLS), "th": ({"td", "th"}, CELLS), "tr": ({"tr"}, CELLS)}
@@ -153,7 +159,11 @@ def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
             node.letters += n
             node.linked += n if link else 0
         elif mark == "=":
-            continue
+            if name == "xmp":  # references aren't decoded there
+                flush()
+                nodes[stack[-1]].letters += len(attrs.strip())
+                part.append((stack[-1], attrs.replace("&", "&amp;")))
+                flush()
         elif name == "br":
             part.append((stack[-1], " "))
         elif name == "a":
@@ -199,14 +209,19 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(sorted({f"name:{w}" for k in ("class", "id", "role") if k in found for w in WORD.findall(found[k].lower())}))
 
 
-def features(node: Node, total: int, linked: int, items: int) -> list[str]:
-    """total, linked, items: letters, letters in links and nodes of the subtree."""
+def features(node: Node, total: int, linked: int, items: int, paragraphs: int, share: float, within: str, beside: bool) -> list[str]:
+    """total, linked, items, paragraphs: letters, letters in links, nodes and p elements of the subtree; share: of the page's letters
+    outside links; within: the nearest of MAIN above; beside: whether headings or paragraphs are siblings."""
     names = names_of(node.attrs) + names_of(f'class="{node.tag}"') if "-" in node.tag else names_of(node.attrs)
     out = ["bias", f"tag:{node.tag}", f"size:{min(5, int(math.log10(total + 1) * 2))}", *names]
     if total:
         out.append(f"links:{min(3, int(4 * linked / total))}")
     if node.letters:
         out.append("own")
+    if node.tag not in INLINE_BLOCKS:
+        out += [f"share:{int(4 * share)}", f"paragraphs:{min(3, paragraphs)}", f"within:{within}", f"within:{within}:{bool(names)}"]
+        if beside:
+            out += ["beside", f"beside:{within}"]
     if items > 1:
         out.append(f"mean:{min(4, int(math.log10(total / items + 1) * 2))}")
     return out
@@ -238,19 +253,25 @@ class TreeModel:
         return [b / (1 + b) for b in belief]
 
 
-def subtree(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    total, linked, items = [x.letters for x in nodes], [x.linked for x in nodes], [1] * len(nodes)
+def subtree(nodes: list[Node]) -> list[tuple[int, int, int, int, float, str, bool]]:
+    total, linked, items, paragraphs = [x.letters for x in nodes], [x.linked for x in nodes], [1] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
         total[p] += total[i]
         linked[p] += linked[i]
         items[p] += items[i]
-    return list(zip(total, linked, items, strict=True))
+        paragraphs[p] += paragraphs[i] + (nodes[i].tag == "p")
+    page, within, prose = max(1, total[0] - linked[0]), [""] * len(nodes), [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        p = nodes[i].parent
+        within[i] = nodes[p].tag if nodes[p].tag in MAIN else within[p]
+        prose[p] |= nodes[i].tag in PROSE
+    return [(t, k, i, p, (t - k) / page, w, prose[x.parent]) for t, k, i, p, w, x in zip(total, linked, items, paragraphs, within, nodes, strict=True)]
 
 
-def training_pages(n: int = 240, seed: int = 7) -> list[str]:
+def training_pages(n: int = 400, seed: int = 7) -> list[str]:
     """Labelled pages: elements that aren't content, and all below, bear the attribute data-out."""
-    r = random.Random(seed)
+    r, within = random.Random(seed), False
     word = lambda: "".join(r.choice("aeioulnrstbcdfgm") for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     span = lambda: f'<span class="{r.choice("sponsored ad promo advert".split())}" data-out>{words(1, 6)}</span>' if r.random() < 0.3 else f'<span class="{r.choice(("term", "highlight", "lead", word(), word()))}">{words(1, 6)}</span>'
@@ -258,36 +279,61 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
     links = lambda a, b: "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(r.randint(a, b))) + "</ul>"
 
     def out(tags, names, body):
-        # some names are new to the model, some are missing: what the element holds must tell then
-        tag, name = r.choice(tags.split()), r.choice(names.split()) if r.random() < 0.75 else word()
-        named = f' {r.choice(["class", "id"])}="{name}"' if r.random() < (0.9 if tag in ("div", "section", "ul") else 0.4) else ""
+        # beside an article some names are new to the model, some are missing: what the element holds must tell then
+        tag, name = r.choice(tags.split()), r.choice(names.split()) if within or r.random() < 0.75 else word()
+        named = f' {r.choice(["class", "id"])}="{name}"' if r.random() < (1 if within and tag in ("div", "section", "ul") else 0.9 if tag in ("div", "section", "ul") else 0.4) else ""
         return f"<{tag}{named} data-out>{body}</{tag}>"
 
     def around():
-        k = r.randrange(10)
+        k = r.choice([0, *range(2, 10)]) if within else r.randrange(10)
         return [
-            lambda: out("nav nav div", "nav menu navbar navigation main-menu breadcrumb topnav", links(3, 9)),
-            lambda: out("header div", "header masthead site-header banner page-header", f"<h1>{words(1, 4)}</h1>" * r.randint(0, 1) + f"<p>{words(2, 8)}</p>"),
-            lambda: out("footer div", "footer site-footer copyright bottom colophon", f"&copy; {words(3, 14)}" if r.random() < 0.6 else f"<p>{words(3, 15)}</p>" + links(2, 5)),
-            lambda: out("aside div", "sidebar side widget related recommended trending popular", f"<h3>{words(1, 3)}</h3>" + (links(3, 8) if r.random() < 0.6 else par() + par())),
-            lambda: out("div section", "notice cookie consent alert gdpr cookie-banner disclaimer popup modal warning", f"<p>{words(5, 40)}</p>"),
-            lambda: out("div div aside", "ad ads advert advertisement sponsor sponsored promo banner-ad promotion", words(3, 40) if r.random() < 0.6 else par()),
+            lambda: out("nav nav div", "nav menu navbar navigation main-menu breadcrumb topnav navegacion hauptmenu menue", links(3, 9)),
+            lambda: out("header div", "header masthead site-header banner page-header kopfzeile cabecera entete", f"<h1>{words(1, 4)}</h1>" * r.randint(0, 1) + f"<p>{words(2, 8)}</p>"),
+            lambda: out("footer div", "footer site-footer copyright bottom colophon fusszeile pie pied", f"&copy; {words(3, 14)}" if r.random() < 0.6 else f"<p>{words(3, 15)}</p>" + links(2, 5)),
+            lambda: out("aside div", "sidebar side widget related recommended trending popular seitenleiste lateral laterale", f"<h3>{words(1, 3)}</h3>" + (links(3, 8) if r.random() < 0.6 else par() + par())),
+            lambda: out("div section", "notice cookie consent alert gdpr cookie-banner disclaimer popup modal warning hinweis aviso avis", f"<p>{words(5, 40)}</p>"),
+            lambda: out("div div aside", "ad ads advert advertisement sponsor sponsored promo banner-ad promotion werbung anzeige publicidad publicite anuncio", words(3, 40) if r.random() < 0.6 else par()),
             lambda: out("form div", "search newsletter login signup subscribe form contact-form", f"<label>{words(1, 3)}</label><input><p>{words(2, 12)}</p>"),
-            lambda: out("div section", "comments comment-list comment discussion replies disqus responses", "".join(f'<div class="comment" data-out><p data-out>{words(3, 60)}</p></div>' for _ in range(r.randint(1, 5)))),
+            lambda: out("div section", "comments comment-list comment discussion replies disqus responses kommentare comentarios commentaires", "".join(f'<div class="comment" data-out><p data-out>{words(3, 60)}</p></div>' for _ in range(r.randint(1, 5)))),
             lambda: out("ul div", "share social sharing tags pagination pager toolbar meta", links(2, 5)),
             lambda: out("menu dialog", "menu dialog", f"<p>{words(2, 20)}</p>"),
         ][k]()
 
+    def wrapped(body, most):
+        """body within up to so many wrappers, named for grids, for text, by chance, or not at all."""
+        for _ in range(r.randint(0, most)):
+            name = r.choice((*"row col col-8 col-md-9 container inner wrapper wrap body section-1 text block grid column page panel card intro chapter part field rich-text article-content article-text post-body content entry-content inhalt contenido contenu texto".split(), word(), word()))
+            named = f' {r.choice(["class", "class", "id"])}="{name}"' if r.random() < 0.7 else ""
+            tag = r.choice("div div div section".split())
+            body = f"<{tag}{named}>{body}</{tag}>"
+        return body
+
     def article():
-        body = f"<h1>{words(2, 10)}</h1>" if r.random() < 0.8 else ""
+        nonlocal within
+        within, parts = True, [f"<h1>{words(2, 10)}</h1>" if r.random() < 0.8 else ""]
+        tag = r.choice(["article"] * 5 + ["main", "div", "section"])
+        if tag in MAIN and r.random() < 0.2:
+            parts[0] = f"<header>{parts[0]}{par() if r.random() < 0.3 else ''}</header>"
         for _ in range(r.randint(1, 12)):
             x = r.random()
-            body += par() if x < 0.75 else f"<h2>{words(1, 6)}</h2>" if x < 0.83 else f"<ul>{''.join(f'<li>{words(2, 15)}</li>' for _ in range(r.randint(2, 6)))}</ul>" if x < 0.88 else f"<blockquote>{par()}</blockquote>" if x < 0.91 else f"<pre>{words(3, 20)}</pre>" if x < 0.93 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if x < 0.95 else f"<figure><figcaption>{words(3, 12)}</figcaption></figure>" if x < 0.97 else around()
-        tag = r.choice(["article"] * 5 + ["main", "div", "section"])
+            parts.append(par() if x < 0.75 else f"<h2>{words(1, 6)}</h2>" if x < 0.83 else f"<ul>{''.join(f'<li>{words(2, 15)}</li>' for _ in range(r.randint(2, 6)))}</ul>" if x < 0.87 else f"<blockquote>{par()}</blockquote>" if x < 0.89 else f"<pre>{words(3, 20)}</pre>" if x < 0.9 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if x < 0.915 else f"<figure><figcaption>{words(3, 12)}</figcaption></figure>" if x < 0.93 else around())
+        body, at = "", 0
+        while at < len(parts):  # runs of parts may have wrappers of their own, and a wrapper may hold bare text
+            n = r.randint(1, 5)
+            run = "".join(parts[at : at + n]) + (words(5, 40) if r.random() < 0.1 else "")
+            body, at = body + (wrapped(run, 2) if r.random() < 0.4 else run), at + n
+        body, within = wrapped(body, 2) if r.random() < 0.6 else body, False
         name = f' class="{r.choice((*"content post article entry story body text main post-content article-body entry-content".split(), word(), word()))}"' if tag in ("div", "section") or r.random() < 0.3 else ""
         return f"<{tag}{name}>{body}</{tag}>"
 
-    return ["<html><body>" + "".join(around() for _ in range(r.randint(1, 5))) + (article() if r.random() < 0.7 else f"<div class='{r.choice('container wrapper page layout content'.split())}'>{around() if r.random() < 0.3 else ''}{article()}{around() if r.random() < 0.5 else ''}</div>") + "".join(around() for _ in range(r.randint(1, 4))) + "</body></html>" for _ in range(n)]
+    def page():
+        text = wrapped(article(), 2)
+        if r.random() < 0.5:
+            text = f"<div class='{r.choice('container wrapper page layout content row'.split())}'>{around() if r.random() < 0.3 else ''}{text}{around() if r.random() < 0.5 else ''}</div>"
+        before, after = ("".join(around() for _ in range(r.randint(1, 5))) for _ in range(2))
+        return f"<html><body>{before}{text}{after}</body></html>"
+
+    return [page() for _ in range(n)]
 
 
 def train(pages: list[str]) -> TreeModel:
