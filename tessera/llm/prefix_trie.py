@@ -231,46 +231,48 @@ def _compressed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def _hashed(ends: DataFrame) -> DataFrame:
     """k, ends_sha256 of ends (k, c)."""
 
+    def many(rows, names):
+        """Batches of up to 5000 rows."""
+        held = []
+        for r in rows:
+            held.append(r)
+            if len(held) == 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=names)
+
     def pieces(it):
         now, held, size, first = None, [], 0, 0
-
-        def out():
-            d, a, b = now
-            return pa.RecordBatch.from_arrays([pa.array([d]), pa.array([a]), pa.array([b]), pa.array([first]), pa.array([",".join(held)])], names=["d", "a", "b", "first", "ids"])
-
         for batch in it:
             for *k, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held and (k != now or size > PIECE):
-                    yield out()
+                    yield *now, first, ",".join(held)
                     held, size = [], 0
                 if not held:
                     now, first = k, c
                 held.append(str(c))
                 size += len(held[-1]) + 1
         if held:
-            yield out()
+            yield *now, first, ",".join(held)
 
     def digests(it):
-        now, sha, done = None, None, []
+        now, sha = None, None
         for batch in it:
             for *k, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                 if k == now:
                     sha.update(b",")
                 else:
                     if now:
-                        done.append((*now, sha.hexdigest()))
+                        yield *now, sha.hexdigest()
                     now, sha = k, hashlib.sha256()
                 sha.update(ids.encode())
-            if len(done) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["d", "a", "b", "sha"])
-                done = []
         if now:
-            done.append((*now, sha.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["d", "a", "b", "sha"])
+            yield *now, sha.hexdigest()
 
     flat = ends.select("k.d", "k.a", "k.b", "c")
-    joined = flat.repartitionByRange("d", "a", "b", "c").sortWithinPartitions("d", "a", "b", "c").mapInArrow(trimmed(pieces), "d long, a long, b long, first long, ids string")
-    hashed = joined.repartition("d", "a", "b").sortWithinPartitions("d", "a", "b", "first").mapInArrow(trimmed(digests), "d long, a long, b long, sha string")
+    joined = flat.repartitionByRange("d", "a", "b", "c").sortWithinPartitions("d", "a", "b", "c").mapInArrow(trimmed(lambda it: many(pieces(it), ["d", "a", "b", "first", "ids"])), "d long, a long, b long, first long, ids string")
+    hashed = joined.repartition("d", "a", "b").sortWithinPartitions("d", "a", "b", "first").mapInArrow(trimmed(lambda it: many(digests(it), ["d", "a", "b", "sha"])), "d long, a long, b long, sha string")
     return hashed.select(F.struct("d", "a", "b").alias("k"), F.col("sha").alias("ends_sha256"))
 
 
