@@ -7,9 +7,9 @@ the shingle's place in the window and the document's length bound where the wind
 are then compared one by one. A word inside any occurrence of any window is hit.
 
 The index over the items is broadcast; items come in blocks of BLOCK_WORDS words, so a larger benchmark takes
-further passes instead of a larger broadcast.
+further passes instead of a larger broadcast; a longer item is dealt to several blocks.
 
-Defined results: a null text has no words; equal items are all counted; an item without an id hits words, but isn't among n_items; documents with equal or null doc_id are
+doc_id and item_id are whole numbers. Defined results: a null text has no words; very long texts are read whole; equal items are all counted; an item without an id hits words, but isn't among n_items; documents with equal or null doc_id are
 judged each on its own; an empty benchmark gives no hits; an empty table no rows; further columns are ignored.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, batches, cut, join_counted, named, private, slices, table, trimmed
 
 WINDOW, SHINGLE = 13, 3
+#: A shingle's key is a polynomial of its words' numbers by this factor, modulo 2^64; equal keys are told apart when words are compared.
+FACTOR = 0x9E3779B97F4A7C15 - 2**64
 #: Item words of one block: what is broadcast at once is at most some 40 MB.
 BLOCK_WORDS = 500_000
 
@@ -57,15 +59,14 @@ class Index:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in ws]
             for i in range(max(0, len(ids) - window) + 1 if ids else 0):
                 found[tuple(ids[i : i + window])].add(item)
-        self.base = len(self.vocab) + 1
         self.windows, self.items = list(found), [sorted(x - {None}) for x in found.values()]
         self.shingles = {g: np.unique(np.array([self._key(w[o : o + g]) for w in self.windows if min(len(w), shingle) == g for o in range(len(w) - g + 1)], np.int64)) for g in range(1, shingle + 1)}
 
     def _key(self, ids) -> int:
         key = 0
         for i in ids:
-            key = key * self.base + i
-        return key
+            key = (key * FACTOR + i) % 2**64
+        return key - 2**64 if key >= 2**63 else key
 
     def keys(self, ids: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ids of shingles that items have, and their numbers in self.shingles[g]."""
@@ -79,7 +80,7 @@ class Index:
         at = np.flatnonzero(good)
         key = ids[at]
         for k in range(1, g):
-            key = key * self.base + ids[at + k]
+            key = key * np.int64(FACTOR) + ids[at + k]  # wraps
         where = np.searchsorted(known, key)
         ok = known[np.minimum(where, len(known) - 1)] == key
         return at[ok], where[ok]
@@ -167,11 +168,13 @@ def _blocks(benchmark: DataFrame, block_words: int):
     block, n = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         ws = words((r[1] or "").encode())
-        if block and n + len(ws) > block_words:
-            yield block
-            block, n = [], 0
-        block.append((r[0], ws))
-        n += len(ws)
+        # a long item comes in parts that have each window whole once
+        for part in [ws[at : at + block_words + WINDOW - 1] for at in range(0, max(1, len(ws) - WINDOW + 1), block_words)]:
+            if block and n + len(part) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((r[0], part))
+            n += len(part)
     if block:
         yield block
 

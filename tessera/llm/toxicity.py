@@ -5,7 +5,8 @@ of which nothing is known (U). With the class prior p, the risk of labelling all
 part that U's hidden positives have in it, is p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]); where the second
 term would be negative, the step goes against it, so the classifier can't profit from overfitting U.
 
-Training reads a bounded sample: the POSITIVES and UNLABELLED rows whose hash is lowest, in one task. The prior
+Training reads a bounded sample: at most POSITIVES and UNLABELLED different rows, those whose ids' hashes are lowest, in one task. Its
+features are bounded as well: the FEATURES most telling ones. The prior
 is the share of toxic rows among all labelled rows of the training folds. Every whole text is scored.
 
 Defined results: null and empty texts get the score of a text without known words; documents with equal doc_id
@@ -25,11 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tessera.llm.common import named, numbered, table, texts_of, trimmed, unused
+from tessera.llm.common import cut, join_counted, named, numbered, table, texts_of, trimmed, unused
 
 FOLDS = 5
 #: Bounds of the training sample, in rows, and of the features.
@@ -158,12 +160,22 @@ def model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not counted[1]:
         return {"": -30.0}
     prior = min(0.9, max(0.001, counted[1] / counted[0]))
-    # the lowest hashes: a sample that doesn't hang on the order of rows; heaps of bounded size, no full sort
-    rank = F.xxhash64("doc_id")
-    toxic = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    p = docs.select("doc_id", "text").join(F.broadcast(toxic.select("doc_id")), "doc_id").select("doc_id", F.lit(1).alias("p"), "text")
-    ids = docs.select("doc_id").filter(mine).orderBy(rank, "doc_id").limit(unlabelled)
-    u = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", F.lit(0).alias("p"), "text")
+    # rows by their ids' lowest hashes: a sample that doesn't hang on the order of rows. A bound on the hash leaves about twice the rows
+    # asked for; repeated rows become one before the rest is ranked, so that neither copies nor long tables meet in one task
+    rank = F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))
+
+    def sample(rows: DataFrame, most: int, p: int) -> DataFrame:
+        alone = rows.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
+        n = Window.partitionBy(F.lit(p)).orderBy(rank, "doc_id", "hash")
+        return alone.withColumn("n", F.row_number().over(n)).filter(F.col("n") <= most).select("doc_id", F.lit(p).alias("p"), "text")
+
+    def low(of: int, most: int) -> Column:
+        return rank <= int(min(1.0, 2 * most / max(1, of)) * 2**62)
+
+    own = docs.select("doc_id", "text").filter(mine)
+    toxic = cut(known.filter("toxic = 1").filter(low(counted[1], positives)).select("doc_id"), "toxic-ids")
+    p = sample(join_counted(own, toxic, ["doc_id"], "left_semi"), positives, 1)
+    u = sample(own.filter(low(docs.select("doc_id").filter(mine).count(), unlabelled)), unlabelled, 0)
 
     def fit(it):
         found = {0: [], 1: []}

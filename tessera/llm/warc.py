@@ -58,11 +58,11 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join(parts))}>"
 
 
-def response_of_page(url: str, page: bytes) -> dict:
-    """A response record of a page: its id, date, HTTP head, payload and digests."""
+def response_of_page(url: str, page: bytes, page_id: int | None = None) -> dict:
+    """A response record of a page: its id, date, HTTP head, payload and digests. Pages of equal url and content differ by page_id."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page)}\r\n\r\n".encode()
     payload = digest(page)
-    return {"record_id": record_id("response", url, payload), "target_uri": url, "date": DATE, "block_digest": digest(head + page), "payload_digest": payload, "head": head.decode(), "payload": page}
+    return {"record_id": record_id("response", url, payload, *([] if page_id is None else [str(page_id)])), "target_uri": url, "date": DATE, "block_digest": digest(head + page), "payload_digest": payload, "head": head.decode(), "payload": page}
 
 
 def read_page(page: str) -> tuple[str, str | None, str | None, list[tuple[str, str]]]:
@@ -265,7 +265,7 @@ def _pages(it):
     for b in it:
         rows = []
         for page_id, url, page in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            for r in derivatives(response_of_page(url or "", (page or "").encode("utf-8", "surrogatepass"))):
+            for r in derivatives(response_of_page(url or "", (page or "").encode("utf-8", "surrogatepass"), page_id)):
                 rows.append((page_id, *(r[n] for n, _, _ in COLUMNS[1:])))
         if rows:
             yield _batch(rows)

@@ -256,7 +256,7 @@ def test_op7_links_and_warc(spark, tmp_path):
     rows = spark.createDataFrame([(1, "http://a/", page), (2, None, None)], "page_id long, url string, html string")
     got = warc.derive_pages(rows).collect()
     assert [r.warc_type for r in got] == ["metadata", "conversion"] * 2
-    response = warc.response_of_page("http://a/", page.encode())
+    response = warc.response_of_page("http://a/", page.encode(), 1)
     assert {r.refers_to for r in got[:2]} == {response["record_id"]} and got[0].source_payload_digest == warc.digest(page.encode())
     assert got[1].content == "T & u\none\ntwo" and "outlink: /b a" in got[0].content and got[3].content == ""
     assert got[1].block_digest == warc.digest(got[1].content.encode()) and dict(json.loads(got[1].source_headers))["Content-Type"].startswith("text/html")

@@ -241,7 +241,7 @@ def test_op7_equals_another_reader(spark):
         seen, raw = Seen(page), page.encode()
         text, about = got[i, "conversion"], got[i, "metadata"]
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n".encode()
-        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response {url} {sha(raw)}')}>"
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response {url} {sha(raw)} {i}')}>"
         assert text.content == "\n".join(seen.lines) and text.target_uri == url and text.refers_to == about.refers_to == source
         assert about.content.split("\r\n") == [f"title: {' '.join(seen.title.split())}", "charset-detected: utf-8", "http-status: 200", *seen.links, ""]
         for r in (text, about):
@@ -360,3 +360,35 @@ def test_pipeline_keeps_clean_documents_of_odd_rows(spark, tmp_path, clashing):
     assert {i for i, _ in clean} | {None} <= kept and not kept & {1, 2002, 3003}
     out = pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in out.select("doc_id").distinct().collect()} == kept
+
+
+def test_op7_ids_differ(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x"), (2, "http://a/", "<p>x"), (None, "http://a/", "<p>x")], "page_id long, url string, html string")
+    ids = [r.record_id for r in pages.mapInArrow(warc._pages, ", ".join(f"{n} {k}" for n, _, k in warc.COLUMNS)).collect()]
+    assert len(ids) == len(set(ids)) == 6
+
+
+def test_op8_huge_vocabulary_and_long_items(spark, monkeypatch):
+    """Keys of shingles don't overflow, and an item longer than a block gives the hits of a shorter one."""
+    index = decontamination.Index([(1, [b"w%d" % i for i in range(40)])])
+    assert all(-(2**63) <= index._key(ids) < 2**63 for ids in ([3_000_000] * 3, [2**40] * 3))
+    ids = index.ids([b"w%d" % i for i in range(40)])
+    assert index.keys(ids, 3)[0].tolist() == list(range(38))
+    item = [f"w{i % 37}x{i % 11}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[50:90])), (3, " ".join(item[50:62])), (4, "clean " * 20_000 + " ".join(item[:13]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "other words"), (9, "")], "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.contamination(docs, bench).drop("row_no").collect()))
+    assert [r[2] for r in whole] == [300, 40, 0, 13]
+    assert sorted(map(tuple, decontamination.contamination(docs, bench, 37).drop("row_no").collect())) == whole
+
+
+def test_op9_bounds_rows_not_ids(spark, monkeypatch):
+    """An id with very many rows, and labels without documents."""
+    # the number of rows comes back in a feature: training runs in a task
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: {"": -1.0, f"{len(p)} {len(u)}": 1.0})
+    ids = [i for i in range(60) if not toxicity.held_out(i)]
+    docs = spark.createDataFrame([(ids[0], f"text {k % 500}") for k in range(2000)] + [(i, "a") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids[:3]] + [(i, 0) for i in ids[3:]] + [(10_000 + i, 1) for i in range(50)], "doc_id long, toxic int")
+    (sizes,) = [k for k in toxicity.model(docs, labels, 30, 40) if k]
+    n_p, n_u = map(int, sizes.split())
+    assert 0 < n_p <= 30 and 0 < n_u <= 40
