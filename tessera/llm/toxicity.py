@@ -5,7 +5,7 @@ of which nothing is known (U). With the class prior p, the risk of labelling all
 part that U's hidden positives have in it, is p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]); where the second
 term would be negative, the step goes against it, so the classifier can't profit from overfitting U.
 
-Training reads a bounded sample: at most POSITIVES and UNLABELLED different rows, those whose ids' hashes are lowest, in one task. Its
+Training reads a bounded sample: at most POSITIVES and UNLABELLED different rows, those whose hashes are lowest, in one task. Its
 features are bounded as well: the FEATURES most telling ones. The prior
 is the share of toxic rows among all labelled rows of the training folds. Every whole text is scored.
 
@@ -160,22 +160,23 @@ def model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not counted[1]:
         return {"": -30.0}
     prior = min(0.9, max(0.001, counted[1] / counted[0]))
-    # rows by their ids' lowest hashes: a sample that doesn't hang on the order of rows. A bound on the hash leaves about twice the rows
-    # asked for; repeated rows become one before the rest is ranked, so that neither copies nor long tables meet in one task
-    rank = F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))
+    # rows of the lowest hashes: a sample that doesn't hang on their order. A bound on the hash leaves about twice the rows asked
+    # for; repeated rows become one before the rest is ranked, so that neither copies nor long tables meet in one task
+    def rank(*columns: str) -> Column:
+        return F.xxhash64(*columns).bitwiseAND(F.lit(2**62 - 1))
 
     def sample(rows: DataFrame, most: int, p: int) -> DataFrame:
-        alone = rows.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
-        n = Window.partitionBy(F.lit(p)).orderBy(rank, "doc_id", "hash")
+        alone = rows.groupBy("doc_id", rank("doc_id", "text").alias("rank")).agg(F.first("text").alias("text"))
+        n = Window.partitionBy(F.lit(p)).orderBy("rank", "doc_id")
         return alone.withColumn("n", F.row_number().over(n)).filter(F.col("n") <= most).select("doc_id", F.lit(p).alias("p"), "text")
 
-    def low(of: int, most: int) -> Column:
-        return rank <= int(min(1.0, 2 * most / max(1, of)) * 2**62)
+    def low(hash_: Column, of: int, most: int) -> Column:
+        return hash_ <= int(min(1.0, 2 * most / max(1, of)) * 2**62)
 
     own = docs.select("doc_id", "text").filter(mine)
-    toxic = cut(known.filter("toxic = 1").filter(low(counted[1], positives)).select("doc_id"), "toxic-ids")
+    toxic = cut(known.filter("toxic = 1").filter(low(rank("doc_id"), counted[1], positives)).select("doc_id"), "toxic-ids")
     p = sample(join_counted(own, toxic, ["doc_id"], "left_semi"), positives, 1)
-    u = sample(own.filter(low(docs.select("doc_id").filter(mine).count(), unlabelled)), unlabelled, 0)
+    u = sample(own.filter(low(rank("doc_id", "text"), docs.select("doc_id").filter(mine).count(), unlabelled)), unlabelled, 0)
 
     def fit(it):
         found = {0: [], 1: []}
