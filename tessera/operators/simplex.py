@@ -113,13 +113,12 @@ def supports(x: np.ndarray, y: np.ndarray, xo: np.ndarray, yo: np.ndarray, phi:
     a[: m + s, n:] = np.eye(m + s)
     b = np.concatenate([xo, -(phi - LOOSE) * yo, [1.0]])
     found = np.zeros(n, bool)
-    for j in range(n):
-        if not found[j]:
-            c = np.zeros(n + m + s)
-            c[j] = -1
-            best, z, _ = minimize(a, b, c)
-            if np.isfinite(best):
-                found |= z[:n] > least
+    while not found.all():  # as much as can be of those not seen yet, together: nothing means that none of them can be positive
+        best, z, _ = minimize(a, b, np.append(-(~found).astype(float), np.zeros(m + s)))
+        new = ~found & (z[:n] > least)
+        if not np.isfinite(best) or not new.any():
+            break
+        found |= new
     return on[found]
 
 

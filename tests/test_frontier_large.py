@@ -180,3 +180,38 @@ def test_bounds_and_facets_of_odd_tables(spark):
     none = frontier.bod(df, "id", ["x", "y"], bounds={"x": (0.9, None), "y": (0.9, None)}).collect()
     assert len(none) == 5 and {r.ci for r in none} == {None}
     assert frontier.bod(df.limit(0), "id", ["x", "y"], bounds={"x": (0.1, None)}).count() == 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_candidates_by_brute_force(spark, weak):
+    r = np.random.default_rng(9)
+    data = [(i, "ab"[i % 2], *map(float, z)) for i, z in enumerate(r.integers(0, 9, (600, 3)))]
+    df = spark.createDataFrame(data, "id long, g string, x double, y double, q double").repartition(5)
+    for by in (None, "g"):
+        got = {(r_["g"] if by else None, r_["x"], r_["y"], r_["q"]) for r_ in frontier._candidates(df if by else df.drop("g"), "id", ["x"], ["y", "q"], by, weak, frontier.Scratch(spark, "test")).collect()}
+        rows = {(g if by else None, *z) for _, g, *z in data}
+        beats = (lambda a, b: a[1] < b[1] and a[2] > b[2] and a[3] > b[3]) if weak else (lambda a, b: a != b and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3])
+        assert got == {b for b in rows if not any(a[0] == b[0] and beats(a, b) for a in rows)}
+
+
+def test_peers_of_many_equal_units(spark):
+    """Working sets and facets hold distinct units only, whatever the copies."""
+    df = spark.range(200_000).select("id", *((F.pmod(F.xxhash64(F.col("id") % 1000, F.lit(k)), F.lit(1000)) / 100.0 + 0.1).alias(c) for k, c in enumerate("xyq")))
+    few = frontier._candidates(df, "id", ["x"], ["y", "q"], None, True, frontier.Scratch(spark, "test"))
+    assert few.count() < 100 and few.agg(F.max("id")).first()[0] < 1000
+    got = frontier.dea_peers(df, "id", ["x"], ["y", "q"])
+    want = frontier.dea_peers(df.filter("id < 1000"), "id", ["x"], ["y", "q"])
+    assert got.agg(F.countDistinct("id")).first()[0] == 200_000
+    assert {(r["k"], r["peer_id"]) for r in got.select((F.col("id") % 1000).alias("k"), "peer_id").distinct().collect()} == {(r["id"], r["peer_id"]) for r in want.collect()}
+
+
+def test_supports_take_few_programmes(monkeypatch):
+    """Units that can't be peers are ruled out together."""
+    x, y = np.zeros((300, 0)), np.column_stack([np.linspace(0, 1, 300), np.linspace(1, 0, 300)])  # all on one facet
+    calls, solve = [], simplex.minimize
+    monkeypatch.setattr(simplex, "minimize", lambda *a: calls.append(1) or solve(*a))
+    phi, v, u = simplex.score(x, y, x[0], y[150])
+    assert len(simplex.supports(x, y, x[0], y[150], phi, v, u)) == 300
+    phi, v, u = simplex.score(x, y, x[0], y[0])
+    calls.clear()
+    assert simplex.supports(x, y, x[0], y[0], phi, v, u).tolist() == [0] and len(calls) <= 3
