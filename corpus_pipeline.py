@@ -11,14 +11,13 @@ the text; empty tables give no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, line_dedup, minhash, packing, toxicity
-from tessera.llm.common import named, shared_dir, table
+from tessera.llm.common import Scratch, named, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])  # its reader has written
     return docs
