@@ -12,6 +12,8 @@ others are joined with it. Units on a facet change nothing. Whatever is asked of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Measures that facets are built of, at most; what a unit must exceed a facet by to lie beyond; what may be missed by when facets tie.
@@ -28,10 +30,16 @@ def _normals(spans: np.ndarray, inner: np.ndarray) -> np.ndarray:
     return n * np.where(n @ inner < 0, -1.0, 1.0)[:, None]
 
 
-def hull(x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, u, t) of the facets of units x (n x inputs), y (n x outputs), n >= 1, each facet once, with v or u > 0.
+def _beyond(_corners: np.ndarray, values: np.ndarray, _unit: int) -> np.ndarray:
+    return values < -BEYOND
 
-    The largest of v, u and t of a facet is 1 for measures divided by their maxima; the prices are for the measures as given.
+
+def parts(x: np.ndarray, y: np.ndarray, most: int, beyond: Callable = _beyond, unclear: float = -BEYOND, normals_of: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hull's facets as sets of d corners (numbers of the d directions, then of the units), and their normals; a facet with more
+    corners is in several parts.
+
+    beyond: which facets (corners, and their normals' products with a unit) a unit lies beyond; a unit for which no product is under
+    `unclear` lies beyond none; normals_of: normals for corners, of which the first are those of d + 1 facets that have all in common.
     """
     (n, m), s = x.shape, y.shape[1]
     sx, sy = np.where(x.max(0) > 0, x.max(0), 1), np.where(y.max(0) > 0, y.max(0), 1)
@@ -43,7 +51,8 @@ def hull(x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray,
     start = np.array([*range(d), d + first])
     inner = (gens[start] / np.linalg.norm(gens[start], axis=1, keepdims=True)).sum(0)
     corners = np.array([np.delete(start, k) for k in range(d + 1)])
-    normals = _normals(gens[corners], inner)
+    normals_of = normals_of or (lambda c: _normals(gens[c], inner))
+    normals = normals_of(corners)
     # units far out in some direction come first: they take most others out
     order = np.argsort(-(points[:, m:d].sum(1) - points[:, :m].sum(1)), kind="stable")
     order = np.unique(np.concatenate([points[:, :m].argmin(0), points[:, m:d].argmax(0), order]).astype(int), return_index=True)
@@ -52,10 +61,10 @@ def hull(x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray,
     while at < len(order):
         # those of the next ones that lie beyond no facet now never will: facets only move out
         some = order[at : at + 512]
-        beyond = (normals @ points[some].T < -BEYOND).any(0)
+        maybe = (normals @ points[some].T < unclear).any(0)
         at += len(some)
-        for i in some[beyond]:
-            seen = normals @ points[i] < -BEYOND
+        for i in some[maybe]:
+            seen = beyond(corners, normals @ points[i], int(i)) & normals.any(1)  # none is where no facet is
             if not seen.any():
                 continue
             old = corners[seen]
@@ -76,8 +85,22 @@ def hull(x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray,
             if len(unused) < len(new):
                 unused = np.concatenate([unused, np.arange(len(corners), 2 * len(corners))])
                 corners, normals = np.vstack([corners, np.zeros_like(corners)]), np.vstack([normals, np.zeros_like(normals)])
-            corners[unused[: len(new)]], normals[unused[: len(new)]] = new, _normals(gens[new], inner)
+            if len(new):
+                corners[unused[: len(new)]], normals[unused[: len(new)]] = new, normals_of(new)
             unused = unused[len(new) :]
+    there = normals.any(1)
+    return corners[there], normals[there]
+
+
+def hull(x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, u, t) of the facets of units x (n x inputs), y (n x outputs), n >= 1, each facet once, with v or u > 0.
+
+    The largest of v, u and t of a facet is 1 for measures divided by their maxima; the prices are for the measures as given.
+    """
+    m, s = x.shape[1], y.shape[1]
+    d = m + s
+    sx, sy = np.where(x.max(0) > 0, x.max(0), 1), np.where(y.max(0) > 0, y.max(0), 1)
+    _, normals = parts(x, y, most)
     prices = np.where(np.abs(normals) < 1e-12, 0.0, normals) * np.array([1.0] * m + [-1.0] * s + [1.0])
     prices = prices[(np.abs(prices[:, :d]) > BEYOND).any(1)]
     prices /= np.abs(prices).max(1, keepdims=True)

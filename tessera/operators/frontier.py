@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from tessera.operators import facets as hulls
 from tessera.operators import simplex
 from tessera.operators.boundtree import Tree
+from tessera.operators.exact import Exact
 from tessera.sources.tables import Scratch
 
 #: Bytes of candidates that may be broadcast.
@@ -309,6 +310,23 @@ class Peers(Problem):
         return [([ids[i] for i in on],) for on in hulls.peers(facets, x, y, xo, yo)]
 
 
+class Exactly(Peers):
+    """phi, the scale variable's range and peers by facets in whole numbers."""
+
+    on_facets, held = False, (None, None)
+
+    def __init__(self, id_type: T.DataType, arrow: pa.DataType):
+        self.columns = (*((c, T.DoubleType(), pa.float64()) for c in ("phi", "vstar_min", "vstar_max")), ("peers", T.ArrayType(id_type), pa.list_(arrow)))
+
+    def solve(self, x, y, xo, yo, ids):
+        raise ValueError("exact answers are for peer sets whose candidates fit into a broadcast")
+
+    def many(self, x, y, xo, yo, ids):
+        if self.held[0] is not x:  # once a set and task
+            self.held = x, Exact(x, y, HULL_FACETS)
+        return [(max(1.0, float(phi)), None if low is None else float(low), float(high), [ids[i] for i in on]) for phi, on, low, high in self.held[1].solve(xo, yo)]
+
+
 class Scale(Problem):
     columns = tuple((c, T.DoubleType(), pa.float64()) for c in ("phi", "vstar_min", "vstar_max"))
     on_facets = True
@@ -733,6 +751,21 @@ def dea_scale(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by
     return out.select(*_keys(id_, by), "phi", "vstar_min", "vstar_max", _returns().alias("rts"))
 
 
+def dea_exact(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], by: str | None = None) -> DataFrame:
+    """id, (by,) phi, vstar_min, vstar_max, rts, peers: as `dea_scale` and `dea_peers` say, with ties decided in whole numbers: doubles that
+    agree to the last bit tie, others don't, whatever their size. For up to four measures; in Python's integers, so for sets of
+    some thousand candidates."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if len(inputs) + len(outputs) > hulls.MEASURES:
+        raise ValueError(f"facets are for up to {hulls.MEASURES} measures")
+    units = _scored(df, id_, inputs, outputs, by)
+    kind = units.schema[id_].dataType
+    out = _solve(units, id_, inputs, outputs, by, Exactly(kind, to_arrow_type(kind)))
+    rts = F.when(F.col("vstar_max") < 0, "IRS").when(F.col("vstar_min") > 0, "DRS").otherwise("CRS")
+    return out.select(*_keys(id_, by), "phi", "vstar_min", "vstar_max", rts.alias("rts"), "peers")
+
+
 Bounds = dict[str, tuple[float, float | None]]
 Ratios = dict[tuple[str, str], tuple[float, float | None]]
 

@@ -93,6 +93,15 @@ def dea_facet_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.facet_peers(raw, frontier.dea_facets(raw, "dmu_id", ["x1", "x2"], ["y"]), "dmu_id", ["x1", "x2"], ["y"])
 
 
+def dea_exact_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frontier.dea_exact(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
+    return out.select("dmu_id", (F.round("vstar_min", 4) + 0.0).alias("vstar_min"), (F.round("vstar_max", 4) + 0.0).alias("vstar_max"), "rts")
+
+
+def dea_exact_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.dea_exact(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"]).select("dmu_id", F.explode("peers").alias("peer_id"))
+
+
 def dea_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frontier.dea_sensitivity(units(spark, sf_dir), "dmu_id", ["x1", "x2"], ["y"])
     return out.select("dmu_id", "dropped", F.round("eff", 6).alias("eff"), (F.round("delta", 6) + 0.0).alias("delta"))
@@ -121,6 +130,8 @@ QUERIES = {
     "dea_facets": dea_facets,
     "dea_facet_scale": dea_facet_scale,
     "dea_facet_peers": dea_facet_peers,
+    "dea_exact_scale": dea_exact_scale,
+    "dea_exact_peers": dea_exact_peers,
     "dea_sensitivity": dea_sensitivity,
     "run_report": run_report,
     "path_containment": path_containment,
@@ -139,6 +150,8 @@ ORACLES = {
     "dea_facets": plans.FACET_TABLE,
     "dea_facet_scale": plans.SCALE,
     "dea_facet_peers": plans.PEERS,
+    "dea_exact_scale": plans.SCALE,
+    "dea_exact_peers": plans.PEERS,
     "dea_sensitivity": plans.SENSITIVITY,
     "run_report": """
 SELECT CAST(user_id AS VARCHAR) AS script, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS finished,
