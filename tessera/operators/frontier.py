@@ -805,7 +805,9 @@ def dea_facets(df: DataFrame, id_: str, inputs: list[str], outputs: list[str], b
     if len(inputs) + len(outputs) > hulls.MEASURES:
         raise ValueError(f"facets are for up to {hulls.MEASURES} measures")
     units = _scored(df, id_, inputs, outputs, by)
-    table = _candidates(units, id_, inputs, outputs, by, True, Scratch(df.sparkSession, "facets"))
+    few = units.limit(SMALL + 1).count() <= SMALL  # these needn't be pruned first
+    names = [c for c in units.columns if c in (by, *inputs, *outputs)]
+    table = units.groupBy(*names).agg(F.min(id_).alias(id_)) if few and id_ not in names else _candidates(units, id_, inputs, outputs, by, True, Scratch(df.sparkSession, "facets"))
     found = _facets(table, id_, inputs, outputs, by, True)
     vstar = F.when(F.col("t").isNull(), F.raise_error(F.lit("a peer set has too many facets"))).otherwise(F.col("t"))
     return found.select(*([F.col("set_").alias(by)] if by else []), *(F.col("v")[k].alias(f"v_{c}") for k, c in enumerate(inputs)), *(F.col("u")[k].alias(f"u_{c}") for k, c in enumerate(outputs)), vstar.alias("vstar"), "corners")

@@ -215,3 +215,16 @@ def test_supports_take_few_programmes(monkeypatch):
     phi, v, u = simplex.score(x, y, x[0], y[0])
     calls.clear()
     assert simplex.supports(x, y, x[0], y[0], phi, v, u).tolist() == [0] and len(calls) <= 3
+
+
+def test_facets_of_large_tables(spark, monkeypatch):
+    """Pruned on executors, the facets and corners are those of small tables."""
+    r = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, "ab"[i % 2], *map(float, z)) for i, z in enumerate(r.integers(1, 9, (120, 3)))], "id long, g string, x double, y double, q double").repartition(4)
+    rows = lambda: sorted(repr((f.g, *(round(v, 9) for v in (f.v_x, f.u_y, f.u_q, f.vstar)), sorted(f.corners))) for f in frontier.dea_facets(df, "id", ["x"], ["y", "q"], "g").collect())
+    want = rows()
+    monkeypatch.setattr(frontier, "SMALL", 0)
+    assert rows() == want
+    monkeypatch.setattr(frontier, "HULL_UNITS", 3)
+    with pytest.raises(Exception, match="too many facets"):
+        rows()
