@@ -45,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def released(spark: SparkSession):
-    """Executions within give their shuffle files back at their end."""
+    """Executions within give their shuffle files back at their end. This sets the session's own setting for as long, so a session
+    should run one operator at a time; others that run beside it give theirs back too."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -104,16 +105,6 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], hot:
     return big.join(small, [key, *also, "_piece"], how).drop("_piece")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """big JOIN small on keys, with each key's rows of big dealt to `salts` partitions by the columns in `spread`.
-
-    small has one row a key and is copied `salts` times; how: inner, left or left_semi.
-    """
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(small, [*keys, "_salt"], how).drop("_salt")
-
-
 def _bytes(c: Column, kind: T.DataType) -> Column:
     """What a value takes in a row, about."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
