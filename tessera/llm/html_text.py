@@ -10,7 +10,8 @@ their parts: an element's share of the page's text and its paragraphs tell a wra
 header is left out; a `header` within an article that holds its title is the article's.
 
 The text of `xmp` is taken as it stands. Scripts, styles and form controls never hold text; one that isn't closed ends at the page's end where browsers take it so (scripts,
-styles, titles, text fields), else it counts nothing. Pages are read in linear time, however torn their tags are. Character references are decoded; white space in a block, <br>
+styles, titles, text fields), else it counts nothing. Pages are read in linear time, however torn or deep their tags are, and
+by the same rules at every size: depths of open elements are kept by tag, and what follows an open quote is looked up once. Character references are decoded; white space in a block, <br>
 included, is one blank; blocks are joined by an empty line.
 
 Defined results: a null or empty html gives an empty text; unclosed or stray tags are mended as browsers do for blocks;
@@ -20,6 +21,7 @@ rows with equal page_id are extracted each on its own; an empty table gives no r
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -52,10 +54,7 @@ TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^"'>=]|=\s*+(?:"[^"]*"|'[^']*'|)
 END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | CONTROLS | {"noscript"}}
 ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s]++)))?""")
 WORD = re.compile(r"[a-z]{2,}")
-#: Quoted values that never end make a tag end at the next >; so often is that looked for on a page, then quotes count nothing.
-RETRIES = 32
-#: So far up is looked for an element that another one ends; inline elements with names of their own are nodes to this depth.
-DEPTH, INLINE_DEPTH = 512, 256
+NAME, MARK = re.compile(r"</?[a-zA-Z][^\s/>]*+"), re.compile(r""">|=\s*+["']""")
 
 
 class Node:
@@ -73,10 +72,33 @@ def attributes(attrs: str) -> dict[str, str]:
     return found
 
 
+class Ends:
+    """The first > outside quoted values, from any place of a page. What follows a quoted value is found once for all tags
+    that run into it, so all answers together take linear time."""
+
+    def __init__(self, page: str):
+        self.page, marks = page, list(MARK.finditer(page))
+        self.starts, self.stops = [m.start() for m in marks], [m.end() for m in marks]
+        self.known: dict[int, bool] = {len(marks): False}
+
+    def found(self, at: int) -> bool:
+        k, path = bisect.bisect_left(self.starts, at), []
+        while k not in self.known:
+            path.append(k)
+            last = self.stops[k] - 1
+            if self.page[last] == ">":
+                self.known[k] = True
+                break
+            # a quote that isn't closed counts nothing
+            k = bisect.bisect_left(self.starts, max(last, self.page.find(self.page[last], last + 1)) + 1)
+        self.known.update(dict.fromkeys(path, self.known[k]))
+        return self.known[k]
+
+
 def tokens(page: str, unparsed: frozenset[str] = RAW | CONTROLS):
     """(None, text, "") for text, (name, "/" or "", attributes) for tags, (name, "=", content) for whole elements whose content
     isn't parsed; comments are passed over. Linear."""
-    at, size, retries, unended, last = 0, len(page), RETRIES, set(), page.rfind(">")
+    at, size, ends, unended, last = 0, len(page), None, set(), page.rfind(">")
     while at < size:
         i = page.find("<", at)
         if i < 0:
@@ -99,11 +121,11 @@ def tokens(page: str, unparsed: frozenset[str] = RAW | CONTROLS):
             continue
         if i > last:  # a tag that the page's end cuts off
             return
-        m = TAG.match(page, i) if retries else None
+        m = TAG.match(page, i) if ends is None or ends.found(NAME.match(page, i).end()) else None
         if m:
             name, attrs, at = m[1].lower(), m[2], m.end()
-        else:
-            retries -= retries > 0
+        else:  # quoted values run to the page's end: the tag ends at the next >
+            ends = ends or Ends(page)
             at = page.index(">", i) + 1
             name, _, attrs = page[i + 1 + (mark[0] == "/") : at - 1].replace("/", " ").partition(" ")
             name = name.split()[0].lower()
@@ -122,7 +144,8 @@ def tokens(page: str, unparsed: frozenset[str] = RAW | CONTROLS):
 
 def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
     """Nodes in page order (a parent before its children), and the blocks of text, as parts (node, text)."""
-    nodes, stack, opened, blocks, part = [Node("html", "", -1)], [0], {}, [], []
+    nodes, stack, blocks, part = [Node("html", "", -1)], [0], [], []
+    opened, stops = {}, {id(k): (k, []) for k in (BLOCK, LISTS, CELLS)}  # depths of open elements, by tag and by kind
     link = False
 
     def flush():
@@ -134,23 +157,25 @@ def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
 
     def pop(depth):
         for i in stack[depth:]:
-            opened[nodes[i].tag] -= 1
+            opened[nodes[i].tag].pop()
+        for _, depths in stops.values():
+            while depths and depths[-1] >= depth:
+                depths.pop()
         del stack[depth:]
 
     def push(tag, attrs):
         nodes.append(Node(tag, attrs, stack[-1]))
         stack.append(len(nodes) - 1)
-        opened[tag] = opened.get(tag, 0) + 1
-
-    def nearest(wanted, stops, within=DEPTH):
-        """The depth of the nearest open element that is wanted, if no stop is nearer; else 0."""
-        for depth in range(len(stack) - 1, max(0, len(stack) - 1 - within), -1):
-            tag = nodes[stack[depth]].tag
-            if tag in wanted:
-                return depth
-            if tag in stops:
-                return 0
-        return 0
+        opened.setdefault(tag, []).append(len(stack) - 1)
+        for kind, depths in stops.values():
+            if tag in kind:
+                depths.append(len(stack) - 1)
+
+    def nearest(wanted, kind):
+        """The depth of the nearest open element that is wanted, if none of the kind is nearer; else 0."""
+        depth = max([opened[t][-1] for t in wanted if opened.get(t)], default=0)
+        nearer = stops[id(kind)][1]
+        return 0 if nearer and nearer[-1] > depth else depth
 
     for name, mark, attrs in tokens(page):
         if name is None:
@@ -177,12 +202,12 @@ def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
             if mark:
                 if opened.get(name) and (depth := nearest({name}, BLOCK)):
                     pop(depth)
-            elif ("-" in name or "=" in attrs and names_of(attrs)) and (len(stack) < INLINE_DEPTH or nodes[stack[-INLINE_DEPTH]].tag in BLOCK):
+            elif "-" in name or "=" in attrs and names_of(attrs):
                 push(name, attrs)
         elif mark:
             if opened.get(name):
                 flush()
-                pop(nearest({name}, (), len(stack)))
+                pop(opened[name][-1])
             elif name == "p":
                 flush()
         else:

@@ -1,5 +1,8 @@
 """Hand-written page layouts: nested and unnamed wrappers, grids, several languages. Each must give its article and nothing else."""
 
+import random
+import time
+
 import pytest
 
 from tessera.llm import html_text
@@ -67,3 +70,45 @@ def model():
 def test_layout(model, k):
     page, want = LAYOUTS[k]
     assert html_text.extract(f"<html><body>{page}</body></html>", model) == "\n\n".join(want)
+
+
+BITS = ["<p>", "</p>", "<div class=a>", "</div>", '<a href="x">', "</a>", '<b id="q>', '="', "='", '"', "'", ">", "<", " = ", "<i title='a>b'>", "<em data=", "text "]
+
+
+def test_tags_end_by_the_same_rule_however_many_are_torn():
+    """Where a tag ends is what the pattern says for that tag alone, after any number of torn ones before it."""
+    r = random.Random(5)
+    for _ in range(3000):
+        page = "".join(r.choice(BITS) for _ in range(r.randint(1, 60)))
+        ends = html_text.Ends(page)
+        for m in html_text.NAME.finditer(page):
+            assert ends.found(m.end()) == bool(html_text.TAG.match(page, m.start())), page
+
+
+def _seconds(page):
+    began = time.process_time()
+    html_text.parse(page)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ['<a b="x>', "<a b='>\"<c d=\"", "<li class=a><span class=b>", "<span class=k>w ", "<div><li>", "<x-y><p>", "<td><b id='q>w ", '<i a=">" b=\'<\'', "<dt class=x><em class=y></dt>"],
+)
+def test_torn_and_deep_pages_take_linear_time(unit):
+    small, large = _seconds(unit * 5_000), _seconds(unit * 50_000)
+    assert large < 40 * max(small, 0.02)
+
+
+def test_depth_changes_nothing():
+    """The same markup is read alike on top, below 5,000 inline elements, and below 5,000 blocks."""
+    part = f"<ul><li>{A}<li>{B}</ul><table><tr><td>x<td>y<tr><td>z</table><span class=k>{C}</span>"
+    shallow = [(n.tag, n.attrs) for n in html_text.parse(part)[0]][1:]
+    for deep in ("<span class=q>", "<div>"):
+        nodes, blocks = html_text.parse(deep * 5_000 + part)
+        assert [(n.tag, n.attrs) for n in nodes][-len(shallow) :] == shallow
+        assert [[t for _, t in b] for b in blocks] == [[t for _, t in b] for b in html_text.parse(part)[1]]
+    # an item ends the one before it, though 2,000 inline elements lie between
+    nodes, _ = html_text.parse("<ul><li>" + "<span class=q>" * 2_000 + "a<li>b</ul>")
+    items = [n for n in nodes if n.tag == "li"]
+    assert [nodes[n.parent].tag for n in items] == ["ul", "ul"]
