@@ -37,6 +37,7 @@ from tessera.operators import facets as hulls
 from tessera.operators import simplex
 from tessera.operators.boundtree import Tree
 from tessera.operators.exact import Exact
+from tessera.operators.skyline import _candidates, _grouped, _matrix, _pruned, undominated
 from tessera.sources.tables import Scratch
 
 #: Bytes of candidates that may be broadcast.
@@ -47,12 +48,10 @@ SMALL = 10_000
 GROUP_UNITS = 4096
 #: Candidates and facets of a set whose facets are built.
 HULL_UNITS, HULL_FACETS = 20_000, 200_000
-#: Strong units of a set that prune first, and the sets that may have some.
-STRONG, STRONG_SETS = 16, 1000
 #: From so many peers on, a tree looks for those that matter.
 MANY = 512
-#: Units pruned against each other at once; peers of a block, units of a block; blocks of each that meet in one place.
-PART, PEERS, UNITS = 20_000, 4096, 512
+#: Peers of a block, units of a block; blocks of each that meet in one place.
+PEERS, UNITS = 4096, 512
 MEET_PEERS, MEET_UNITS = 8, 64
 #: Tasks that blocks meet in, at most; peers that a unit is given by all blocks in a round, about.
 MEETINGS, ALL_KEPT = 20_000, 512
@@ -85,111 +84,6 @@ def skipped(df: DataFrame, inputs: list[str], outputs: list[str], by: str | None
     return _doubles(df, kept, [*inputs, *outputs]).groupBy(*kept).agg(F.count("*").alias("units"), F.sum(F.when(part, 0).otherwise(1)).cast("long").alias("skipped"))
 
 
-def undominated(less: np.ndarray, more: np.ndarray, weak: bool = False) -> np.ndarray:
-    """Rows that no other one equals or betters in every column (smaller in `less`, larger in `more`); of equal rows the first.
-
-    weak: rows that no other one betters in every column; these may lie on the frontier, if not at a corner.
-    """
-    both = np.hstack([less, -more])
-    if not both.shape[1]:
-        return np.arange(len(both) if weak else min(1, len(both)))
-    order = np.lexsort((*both.T[::-1], both.sum(1)))  # a row can only be dominated by one before it
-    kept = np.zeros((0, both.shape[1]))
-    found = []
-    beats = np.less if weak else np.less_equal
-    for at in range(0, len(order), 256):
-        rows = order[at : at + 256]
-        part = both[rows]
-        free = np.ones(len(rows), bool)
-        for k in range(0, len(kept), 4096):
-            free[free] = ~beats(kept[k : k + 4096, None], part[None, free]).all(2).any(0)
-        rows, part = rows[free], part[free]
-        free = ~np.triu(beats(part[:, None], part[None]).all(2), 1).any(0)
-        found.append(rows[free])
-        kept = np.vstack([kept, part[free]])
-        if weak:  # only corners beat others
-            kept = kept[np.append(True, (kept[1:] != kept[:-1]).any(1))]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, int)
-
-
-def _grouped(batch: pa.RecordBatch | pa.Table, by: str | None) -> dict:
-    """Row numbers by peer set."""
-    if not by:
-        return {None: np.arange(batch.num_rows)}
-    out: dict = {}
-    for i, k in enumerate(batch.column(by).to_pylist()):
-        out.setdefault(k, []).append(i)
-    return {k: np.array(v) for k, v in out.items()}
-
-
-def _matrix(batch, names: list[str]) -> np.ndarray:
-    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in names]).astype(float) if names else np.zeros((batch.num_rows, 0))
-
-
-def _pruned(batch, less: list[str], more: list[str], by: str | None, weak: bool, strong: dict | None = None):
-    x, y = _matrix(batch, less), _matrix(batch, more)
-    keep = []
-    for key, rows in _grouped(batch, by).items():
-        both = np.hstack([x[rows], -y[rows]])
-        for z in (strong or {}).get(key, ()):  # those beaten by strong units go first, one look each
-            beaten = (z < both).all(1) if weak else (z <= both).all(1) & (z < both).any(1)
-            rows, both = rows[~beaten], both[~beaten]
-        keep.append(rows[undominated(x[rows], y[rows], weak)])
-    return batch.take(pa.array(np.sort(np.concatenate(keep)))) if keep else batch
-
-
-def _prune(less, more, by, weak, strong):
-    def run(it):
-        held, n, few = [], 0, strong.value if strong else None
-        for b in it:
-            held.append(b)
-            n += b.num_rows
-            if n >= PART:
-                table = _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by, weak, few)
-                held, n = table.to_batches(), table.num_rows
-                if n >= PART // 2:
-                    yield from held
-                    held, n = [], 0
-        if held:
-            yield from _pruned(pa.Table.from_batches(held).combine_chunks(), less, more, by, weak, few).to_batches()
-
-    return run
-
-
-def _strong(units: DataFrame, less: list[str], more: list[str], by: str | None, scratch: Scratch) -> dict:
-    """A few units of each set that beat many others (x and -y in a row each): the best ones in some directions. None of more than
-    STRONG_SETS sets: these are only a quick way to prune."""
-    key = F.col(by) if by else F.lit(None).cast("string")
-    measures = [*less, *more]
-    tops = units.groupBy(key.alias("_set")).agg(*(F.max(c).alias(f"_top_{i}") for i, c in enumerate(measures))).limit(STRONG_SETS + 1)
-    tops = scratch.cut(tops, "strong-tops")
-    if tops.count() > STRONG_SETS:
-        return {}
-    shares = np.random.default_rng(11).dirichlet(np.ones(len(measures)), STRONG)
-    sizes = [F.when(F.col(f"_top_{i}") > 0, F.col(c) / F.col(f"_top_{i}")).otherwise(0.0) * (-1 if c in less else 1) for i, c in enumerate(measures)]
-    row = F.array(*(F.col(c) if c in less else -F.col(c) for c in measures))
-    best = units.join(F.broadcast(tops), key.eqNullSafe(F.col("_set"))).groupBy("_set").agg(*(F.max_by(row, sum((z * float(w) for z, w in zip(sizes, share, strict=True)), F.lit(0.0))).alias(f"_{k}") for k, share in enumerate(shares)))
-    return {r["_set"]: np.unique(np.array(r[1:], float), axis=0) for r in best.collect()}
-
-
-def _candidates(units: DataFrame, id_: str, less: list[str], more: list[str], by: str | None, weak: bool, scratch: Scratch) -> DataFrame:
-    """Undominated units as a written table: strong units prune in every task before any row is moved, then units prune each other; more
-    stages while they take away a fifth, the last one in one task, if PART are left. weak: also those that may lie on a facet beside
-    its corners, with their ids; of equal units the one of the least id."""
-    names = [c for c in units.columns if c in (by, *less, *more)]
-    left = units.groupBy(*names).agg(F.min(id_).alias(id_)) if weak and id_ not in names else units.select(*names)
-    strong = units.sparkSession.sparkContext.broadcast(_strong(left, less, more, by, scratch)) if less or more else None
-    n, before, stage, last = None, float("inf"), 0, False
-    while n is None or not last and n < 0.8 * before:
-        if n is not None:
-            last = n <= PART
-            left = left.repartition(max(1, n // PART), F.rand(17))
-        left = scratch.cut(left.mapInArrow(_prune(less, more, by, weak, strong), left.schema), f"candidates-{stage}")
-        scratch.drop(f"candidates-{stage - 1}")
-        n, before, stage = left.count(), n if n is not None else float("inf"), stage + 1
-    return left
-
-
 def _scaled(x, y, xo, yo):
     sx, sy = np.maximum(x.max(0, initial=0), xo), np.maximum(y.max(0, initial=0), yo)
     sx, sy = np.where(sx > 0, sx, 1), np.where(sy > 0, sy, 1)
